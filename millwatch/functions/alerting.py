@@ -15,7 +15,7 @@ def _reading(columns: Iterable[str], name: str, default: float) -> Column:
 
 def _capped(value: Column) -> Column:
     """min(1, value), where an unknown value counts as the worst case."""
-    return F.coalesce(F.when(value.isNotNull(), F.least(F.lit(1.0), value)), F.lit(1.0))
+    return F.least(F.lit(1.0), F.coalesce(value, F.lit(1.0)))
 
 
 def risk_factors(columns: Iterable[str], rules: AlertRules = ALERTS) -> dict[str, Column]:
@@ -74,6 +74,16 @@ def alert_level(rul: Column, probability: Column, risk: Column, rules: AlertRule
     )
 
 
+def raises_alert(rul: Column, probability: Column, risk: Column, rules: AlertRules = ALERTS) -> Column:
+    """True where ``alert_level`` is above the lowest level, as one flat predicate.
+
+    Filtering on the level itself would copy the whole rule tree below every projection
+    the optimiser pushes the filter through.
+    """
+    return ((rul <= rules.levels[-2].max_rul_days) | (risk > rules.high_above)
+            | (probability > min(rules.medium_above, rules.high_above)))
+
+
 def level_attribute(level: Column, attribute: str, rules: AlertRules = ALERTS) -> Column:
     """Attribute of an alert level (``action``, ``priority``, ...) from the rules."""
     pairs = [F.lit(v) for entry in rules.levels for v in (entry.name, getattr(entry, attribute))]

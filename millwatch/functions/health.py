@@ -7,16 +7,16 @@ from typing import Iterable, Mapping
 from pyspark.sql import Column, functions as F
 
 from millwatch import config
-from millwatch.functions.numeric import at_least, at_most, clip, half_even, ratio_or_zero
+from millwatch.functions.numeric import clip, half_even, ratio_or_zero
 
 # Which raw reading each component score is derived from, and how.
 # 35 mm/s and 100 bar are the nominal vibration and pressure.
 COMPONENTS: Mapping[str, tuple[str, object]] = {
-    "vibration": ("vibration", lambda c: at_least(100 - (c - 35) * 2, 0)),
-    "pressure": ("pressure", lambda c: at_least(100 - F.abs(c - 100) * 2, 0)),
-    "error": ("error_count", lambda c: at_least(100 - c * 2, 0)),
-    "maintenance": ("maint_count", lambda c: at_most(c * 3, 100)),
-    "age": ("age", lambda c: at_least(100 - c * 5, 0)),
+    "vibration": ("vibration", lambda c: clip(100 - (c - 35) * 2, 0, None, c)),
+    "pressure": ("pressure", lambda c: clip(100 - F.abs(c - 100) * 2, 0, None, c)),
+    "error": ("error_count", lambda c: clip(100 - c * 2, 0, None, c)),
+    "maintenance": ("maint_count", lambda c: clip(c * 3, None, 100, c)),
+    "age": ("age", lambda c: clip(100 - c * 5, 0, None, c)),
 }
 
 
@@ -32,13 +32,14 @@ def component_scores(columns: Iterable[str]) -> dict[str, Column]:
 def global_health(columns: Iterable[str],
                   weights: Mapping[str, float] = config.HEALTH_WEIGHTS,
                   digits: int | None = 2) -> Column:
-    """Weighted sum of the present component scores, clipped to 0..100."""
+    """Weighted sum of the present component scores, clipped to 0..100; NULL if a score is."""
     present = set(columns)
+    parts = [name for name in weights if f"{name}_score" in present]
     total = F.lit(0.0)
-    for name, weight in weights.items():
-        if f"{name}_score" in present:
-            total = total + F.col(f"{name}_score") * F.lit(float(weight))
-    score = clip(total, 0, 100)
+    for name in parts:
+        total = total + F.col(f"{name}_score") * F.lit(float(weights[name]))
+    sources = [COMPONENTS[n][0] if n in COMPONENTS and COMPONENTS[n][0] in present else f"{n}_score" for n in parts]
+    score = clip(total, 0, 100, *[F.col(c) for c in sources])
     return score if digits is None else half_even(score, digits)
 
 

@@ -18,16 +18,20 @@ def half_even(value: Column, digits: int) -> Column:
     return F.rint(value * F.lit(scale)) / F.lit(scale)
 
 
-def at_least(value: Column, floor: float) -> Column:
-    return F.when(value.isNotNull(), F.greatest(F.lit(float(floor)), value))
-
-
-def at_most(value: Column, ceiling: float) -> Column:
-    return F.when(value.isNotNull(), F.least(F.lit(float(ceiling)), value))
-
-
-def clip(value: Column, floor: float, ceiling: float) -> Column:
-    return at_most(at_least(value, floor), ceiling)
+def clip(value: Column, floor: float | None, ceiling: float | None, *readings: Column) -> Column:
+    """Limit ``value`` to floor..ceiling; NULL when one of the ``readings`` behind it is NULL.
+
+    The guard looks at the readings, not at ``value``, so a derived expression occurs once.
+    """
+    limited = value
+    if floor is not None:
+        limited = F.greatest(F.lit(float(floor)), limited)
+    if ceiling is not None:
+        limited = F.least(F.lit(float(ceiling)), limited)
+    known = None
+    for reading in readings:
+        known = reading.isNotNull() if known is None else known & reading.isNotNull()
+    return limited if known is None else F.when(known, limited)
 
 
 def ratio_or_zero(numerator: Column, denominator: Column) -> Column:

@@ -6,33 +6,41 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from millwatch.config import ALERTS, AlertRules, BASSE, CRITIQUE
+from millwatch.config import ALERTS, AlertRules, CRITIQUE
 from millwatch.functions import alerting
 from millwatch.functions.numeric import MICROS_PER_DAY, half_even
 from millwatch.operators.scan import SUM, running
 
 
-def score_risk(df: DataFrame, rules: AlertRules = ALERTS, predicted_probability: str | None = None,
-               predicted_rul: str | None = None) -> DataFrame:
-    """Add ``rul``, ``probability``, the four risk factors, ``total_risk`` and the alert levels.
-
-    Row-wise, so the same projection serves batch tables and streams. Rows without an id,
-    an age or a remaining life cannot be scored and are left out.
-    """
+def _scored(df: DataFrame, rules: AlertRules, predicted_probability: str | None,
+            predicted_rul: str | None) -> DataFrame:
     factors = alerting.risk_factors(df.columns, rules)
-    rul = alerting.remaining_life(df.columns, predicted_rul)
     probability = F.col(predicted_probability) if predicted_probability else alerting.failure_probability(df.columns)
-    scored = df.withColumns({"rul": rul, "probability": probability, **factors,
-                             "total_risk": alerting.total_risk(factors, rules)})
+    named = df.withColumns({"rul": alerting.remaining_life(df.columns, predicted_rul),
+                            "probability": probability, **factors})
+    scored = named.withColumn("total_risk", alerting.total_risk({name: F.col(name) for name in factors}, rules))
     known = F.col("rul").isNotNull() & F.col("machineID").isNotNull()
     if "age" in df.columns:
         known = known & F.col("age").isNotNull()
-    scored = scored.where(known)
+    return scored.where(known)
+
+
+def _levelled(scored: DataFrame, rules: AlertRules) -> DataFrame:
     return scored.withColumns({
         "base_level": alerting.base_level(F.col("rul"), rules),
         "alert_level": alerting.alert_level(F.col("rul"), F.col("probability"), F.col("total_risk"), rules)})
 
 
+def score_risk(df: DataFrame, rules: AlertRules = ALERTS, predicted_probability: str | None = None,
+               predicted_rul: str | None = None) -> DataFrame:
+    """Add ``rul``, ``probability``, the four risk factors, ``total_risk`` and the alert levels.
+
+    Row-wise, so the same projection serves batch tables and streams. Rows without an id,
+    an age or a remaining life cannot be scored and are left out.
+    """
+    return _levelled(_scored(df, rules, predicted_probability, predicted_rul), rules)
+
+
 def deadline(rul: Column, as_of: Column, rules: AlertRules = ALERTS) -> Column:
     """Calendar day ``as_of`` + remaining life - lead time, as ``yyyy-MM-dd``."""
     shift = F.floor((rul - rules.lead_time_days) * F.lit(float(MICROS_PER_DAY)))
@@ -43,10 +51,11 @@ def alerts(df: DataFrame, as_of: datetime | str, rules: AlertRules = ALERTS,
            predicted_probability: str | None = None, predicted_rul: str | None = None) -> DataFrame:
     """Alerts of every machine above the lowest level (unordered; see ``ranked``)."""
     moment = F.lit(str(as_of)).cast("timestamp")
-    scored = score_risk(df, rules, predicted_probability, predicted_rul)
+    scored = _scored(df, rules, predicted_probability, predicted_rul)
+    raised = scored.where(alerting.raises_alert(F.col("rul"), F.col("probability"), F.col("total_risk"), rules))
     level = F.col("alert_level")
     columns = set(df.columns)
-    return scored.where(level != BASSE).select(
+    return _levelled(raised, rules).select(
         F.col("machineID").cast("long").alias("machine_id"),
         (F.coalesce(F.col("model"), F.lit("Unknown")) if "model" in columns else F.lit("Unknown")).alias("model"),
         level, half_even(F.col("rul"), 1).alias("rul_days"),

@@ -82,7 +82,9 @@ def _derivatives(rows: DataFrame, beta: np.ndarray, small: bool):
     p = len(beta)
     x = [F.col(f"x{i}") for i in range(p)]
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    predictor = sum((x[i] * float(beta[i]) for i in range(1, p)), x[0] * float(beta[0]))
+    # An array literal keeps the generated code identical, and so compiled once, for all iterations.
+    weights = F.lit([float(b) for b in beta])
+    predictor = sum((x[i] * F.get(weights, F.lit(i)) for i in range(1, p)), x[0] * F.get(weights, F.lit(0)))
     failed = F.col("event") == 1
 
     moments = {"0": F.col("w")}

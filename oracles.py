@@ -5,6 +5,8 @@ The statements are assembled from shared CTEs: machine logs, survival table, fea
 
 from __future__ import annotations
 
+import re
+
 from millwatch.operators.dossier import BAND_RECOMMENDATIONS
 from millwatch.operators.reports import (
     EXECUTIVE_PROMPT, HIGH_ROI_RECOMMENDATION, STANDING_INSTRUCTIONS, STRATEGIC_RECOMMENDATIONS)
@@ -184,13 +186,12 @@ ORDER = list(CTES)
 
 
 def _needed(sql: str) -> list[str]:
-    import re
     wanted: set[str] = set()
     todo = [sql]
     while todo:
         body = todo.pop()
         for name in ORDER:
-            if name not in wanted and re.search(rf"\b(FROM|JOIN|,)\s+{name}\b", body):
+            if name not in wanted and re.search(rf"(\bFROM|\bJOIN|,)\s+{name}\b", body):
                 wanted.add(name)
                 todo.append(CTES[name])
     return [name for name in ORDER if name in wanted]
@@ -199,7 +200,8 @@ def _needed(sql: str) -> list[str]:
 def oracle(name: str, sql: str, extra: dict[str, str] | None = None) -> None:
     extra = extra or {}
     chain = [(n, CTES[n]) for n in _needed(" ".join([*extra.values(), sql]))] + list(extra.items())
-    ORACLES[name] = "WITH " + ",\n".join(f"{n} AS ({body})" for n, body in chain) + "\n" + sql
+    ctes = ",\n".join(f"{n} AS ({body})" for n, body in chain)
+    ORACLES[name] = f"WITH {ctes}\n{sql}" if chain else sql
 
 
 SURVIVAL_OUT = "machineID, model, age, event, error_count, maint_count, " + cols("time, volt, rotate, pressure, vibration")
