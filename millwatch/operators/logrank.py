@@ -18,7 +18,7 @@ def logrank_pairs(df: DataFrame, group: str = "model", time: str = "time", event
     takes part in, one row per partner group, so a pair's table is the merge of two curves and never
     a join of their rows. The list of groups is as long as one side of the requested result.
     """
-    points = materialise(observations(df, group, time, event, min_rows=1), "grid")
+    points = materialise(observations(df, group, time, event), "grid")
     groups = [r["group"] for r in points.select("group").distinct().collect()]
     names = F.lit(sorted(groups)) if groups else F.array().cast("array<string>")
     partnered = points.withColumn("partner", F.explode(F.filter(names, lambda x: x != F.col("group"))))

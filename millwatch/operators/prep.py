@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from millwatch import config
 from millwatch.operators.quantiles import exact_quantiles
-from millwatch.operators.scan import carry_last
+from millwatch.operators.scan import fill_gaps
 
 
 def normalise_name(name: str) -> str:
@@ -74,8 +74,5 @@ def fill_forward(df: DataFrame, columns: Sequence[str], key: str = "machineID",
                  order: Sequence[str] = ("datetime",), bucket_seconds: int = 3600) -> DataFrame:
     """Carry the last known reading forward per machine, then the next known one backward."""
     bucketed = df.withColumn("_bucket", F.floor(F.unix_seconds(order[0]) / bucket_seconds))
-    path = [["_bucket"], list(order)]
-    forward = carry_last(bucketed, [key], path, {f"_f_{c}": c for c in columns})
-    both = carry_last(forward, [key], path, {f"_b_{c}": f"_f_{c}" for c in columns}, descending=True)
-    filled = both.withColumns({c: F.coalesce(f"_f_{c}", f"_b_{c}") for c in columns})
+    filled = fill_gaps(bucketed, [key], [["_bucket"], list(order)], {c: c for c in columns})
     return filled.select(*df.columns)

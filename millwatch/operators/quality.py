@@ -142,6 +142,8 @@ def machines_by_model(df: DataFrame) -> DataFrame:
 
 def statistics(df: DataFrame) -> dict[str, DataFrame]:
     """The statistics bundle: numeric and text profile, fleet figures, machines by model."""
-    return {"numeric": describe_numeric(df), "text": describe_string(df),
-            "missing": missing_values(df), "types": data_types(df),
-            "fleet": fleet_statistics(df), "by_model": machines_by_model(df)}
+    bundle = {"numeric": describe_numeric(df), "text": describe_string(df), "missing": missing_values(df),
+              "types": data_types(df), "fleet": fleet_statistics(df)}
+    if "model" in df.columns:
+        bundle["by_model"] = machines_by_model(df)
+    return bundle

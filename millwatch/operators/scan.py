@@ -73,27 +73,35 @@ def _scan(df, keys, path, measures, descending, upto):
     }).drop(*[f"_before_{out}" for out in measures])
 
 
-def carry_last(df: DataFrame, keys: Sequence[str], path: Path, columns: Mapping[str, str],
-               descending: bool = False) -> DataFrame:
-    """Add the last non-NULL value seen so far (own row included) per ``keys`` along ``path``.
+def fill_gaps(df: DataFrame, keys: Sequence[str], path: Path, columns: Mapping[str, str]) -> DataFrame:
+    """Last known value at or before each row, else the first known one after it.
 
-    Two levels: a window inside each bucket, and one over the buckets' own last values.
+    ``path`` has two levels. Inside a bucket both directions share one sort; across buckets
+    only each bucket's first and last known values travel. The rows are shuffled once.
     """
     keys, (outer, leaf) = list(keys), [list(level) for level in path]
     bucket = keys + outer
-    inside = (Window.partitionBy(*bucket).orderBy(*_ordering(leaf, descending))
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = df.withColumns({out: F.last(source, ignorenulls=True).over(inside)
-                            for out, source in columns.items()})
-    pick = F.min_by if descending else F.max_by
+    inside = Window.partitionBy(*bucket).orderBy(*leaf)
+    backward = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    forward = inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    local = df.withColumns({
+        **{f"_last_{out}": F.last(source, ignorenulls=True).over(backward) for out, source in columns.items()},
+        **{f"_next_{out}": F.first(source, ignorenulls=True).over(forward) for out, source in columns.items()}})
+
     position = F.struct(*leaf)
-    ends = df.groupBy(*bucket).agg(*[
-        pick(F.col(source), F.when(F.col(source).isNotNull(), position)).alias(f"_end_{out}")
-        for out, source in columns.items()])
-    before = (Window.partitionBy(*keys).orderBy(*_ordering(outer, descending))
-              .rowsBetween(Window.unboundedPreceding, -1))
-    carried = ends.select(*bucket, *[
-        F.last(f"_end_{out}", ignorenulls=True).over(before).alias(f"_before_{out}") for out in columns])
+    ends = df.groupBy(*bucket).agg(
+        *[F.max_by(F.col(source), F.when(F.col(source).isNotNull(), position)).alias(f"_end_{out}")
+          for out, source in columns.items()],
+        *[F.min_by(F.col(source), F.when(F.col(source).isNotNull(), position)).alias(f"_start_{out}")
+          for out, source in columns.items()])
+    across = Window.partitionBy(*keys).orderBy(*outer)
+    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
+    later = across.rowsBetween(1, Window.unboundedFollowing)
+    carried = ends.select(
+        *bucket,
+        *[F.last(f"_end_{out}", ignorenulls=True).over(earlier).alias(f"_before_{out}") for out in columns],
+        *[F.first(f"_start_{out}", ignorenulls=True).over(later).alias(f"_after_{out}") for out in columns])
     joined = local.join(carried, bucket, "left")
-    return joined.withColumns({out: F.coalesce(out, f"_before_{out}") for out in columns}) \
-        .drop(*[f"_before_{out}" for out in columns])
+    return joined.withColumns({
+        out: F.coalesce(f"_last_{out}", f"_before_{out}", f"_next_{out}", f"_after_{out}") for out in columns
+    }).drop(*[f"_{kind}_{out}" for kind in ("last", "next", "before", "after") for out in columns])

@@ -38,31 +38,32 @@ class Grid:
 
 
 def observations(df: DataFrame, group: str | None = "model", time: str = "time",
-                 event: str = "event", min_rows: int = 2) -> DataFrame:
+                 event: str = "event") -> DataFrame:
     """Distinct ``(group, time)`` with failures ``d`` and observations ``m`` at that time.
 
     This reduces the fleet to the points every estimator below works on; identical durations
-    collapse on the map side. Groups with fewer than ``min_rows`` observations are left out.
+    collapse on the map side.
     """
     key = F.col(group) if group else F.lit(POOLED)
     rows = df.select(key.alias("group"), F.col(time).cast("double").alias("time"),
                      F.col(event).cast("long").alias("event")).dropna()
-    points = rows.groupBy("group", "time").agg(
-        F.sum("event").alias("d"), F.count(F.lit(1)).alias("m"))
-    if min_rows <= 1:
-        return points
-    enough = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_rows)
-    return points.join(enough.select("group"), "group", "left_semi")
+    return rows.groupBy("group", "time").agg(F.sum("event").alias("d"), F.count(F.lit(1)).alias("m"))
 
 
 def estimation_grid(df: DataFrame, group: str | None = "model", time: str = "time", event: str = "event",
                     min_rows: int = 2, window_limit: int = WINDOW_LIMIT) -> Grid:
     """Store the distinct points once and choose the scan by their number.
 
-    Buckets are positions of the duration itself: 65 ms, and 65 536 of those per coarse bucket.
+    Groups with fewer than ``min_rows`` observations are left out; the join that removes
+    them is planned only where such groups exist. Buckets are positions of the duration
+    itself: 65 ms, and 65 536 of those per coarse bucket.
     """
-    rows = materialise(observations(df, group, time, event, min_rows), "grid")
-    return grid_of(rows, rows.count() <= window_limit)
+    rows = materialise(observations(df, group, time, event), "grid")
+    sizes = rows.groupBy("group").agg(F.sum("m").alias("n"), F.count(F.lit(1)).alias("points"))
+    known = sizes.agg(F.sum("points").alias("points"), F.count_if(F.col("n") < min_rows).alias("lonely")).first()
+    if known["lonely"]:
+        rows = rows.join(sizes.where(F.col("n") < min_rows).select("group"), "group", "left_anti")
+    return grid_of(rows, (known["points"] or 0) <= window_limit)
 
 
 def grid_of(rows: DataFrame, small: bool) -> Grid:

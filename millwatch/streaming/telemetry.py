@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from millwatch import config
 
@@ -32,11 +32,28 @@ def event_windows(errors: DataFrame, maint: DataFrame, width: str = "7 days", de
     return _flat(rolled)
 
 
-def error_sessions(errors: DataFrame, gap: str = "12 hours", delay: str = "1 hour") -> DataFrame:
-    """Bursts of errors per machine: errors that follow each other within ``gap``."""
-    rolled = _watermarked(errors, delay).groupBy(
-        F.session_window("datetime", gap).alias("window"), "machineID").agg(F.count(F.lit(1)).alias("errors"))
-    return _flat(rolled)
+def error_sessions(errors: DataFrame, gap: str = "12 hours", delay: str = "1 hour",
+                   block: str = "1 day") -> DataFrame:
+    """Bursts of errors per machine: errors that follow each other within ``gap``.
+
+    A stream keeps one open session per machine. A batch finds the sessions of each machine
+    and ``block`` first and merges those that touch: the merge sees a machine's sessions,
+    whose number is bounded by elapsed time, and never its rows.
+    """
+    session = F.session_window("datetime", gap).alias("window")
+    if errors.isStreaming:
+        return _flat(_watermarked(errors, delay).groupBy(session, "machineID").agg(F.count(F.lit(1)).alias("errors")))
+    blocks = errors.withColumn("_block", F.window("datetime", block).getField("start"))
+    pieces = blocks.groupBy("machineID", "_block", session).agg(F.count(F.lit(1)).alias("errors")).select(
+        "machineID", F.col("window.start").alias("start"), F.col("window.end").alias("end"), "errors")
+    order = Window.partitionBy("machineID").orderBy("start")
+    seen = order.rowsBetween(Window.unboundedPreceding, -1)
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = pieces.withColumn("_apart", (F.col("start") > F.max("end").over(seen)).cast("int"))
+    numbered = marked.withColumn("_session", F.sum(F.coalesce("_apart", F.lit(0))).over(upto))
+    return numbered.groupBy("machineID", "_session").agg(
+        F.min("start").alias("window_start"), F.max("end").alias("window_end"), F.sum("errors").alias("errors")
+    ).drop("_session")
 
 
 def _flat(df: DataFrame) -> DataFrame:

@@ -616,5 +616,5 @@ oracle("error_sessions", f"""
     SELECT machineID, {STAMP.format('min(datetime)')} AS window_start, {STAMP.format('max(datetime) + INTERVAL 12 HOUR')} AS window_end,
            count(*) AS errors
     FROM (SELECT *, sum(fresh) OVER (PARTITION BY machineID ORDER BY datetime) AS burst FROM (
-              SELECT *, CASE WHEN datetime - lag(datetime) OVER (PARTITION BY machineID ORDER BY datetime) < INTERVAL 12 HOUR
+              SELECT *, CASE WHEN datetime - lag(datetime) OVER (PARTITION BY machineID ORDER BY datetime) <= INTERVAL 12 HOUR
                              THEN 0 ELSE 1 END AS fresh FROM errors)) GROUP BY machineID, burst""")

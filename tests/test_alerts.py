@@ -94,9 +94,10 @@ def test_calendar(spark):
     assert {r.machine_id for r in alerts.overdue(rows).collect()} == {0, 1}
 
 
-def test_calendar_positions_of_a_crowded_week(spark):
+@pytest.mark.parametrize("window_limit", [10 ** 6, 0])
+def test_calendar_positions_of_a_crowded_week(spark, window_limit):
     rows = _alert_rows(spark, [5.0] * 300 + [20.0] * 10)
-    placed = alerts.maintenance_calendar(rows).where("week = 1").orderBy("position").collect()
+    placed = alerts.maintenance_calendar(rows, window_limit=window_limit).where("week = 1").orderBy("position").collect()
     assert [(r.position, r.machine_id) for r in placed] == [(i + 1, i) for i in range(300)]
     top = alerts.calendar_top(rows).where("week = 1").orderBy("position").collect()
     assert [r.machine_id for r in top] == [0, 1, 2, 3, 4]
