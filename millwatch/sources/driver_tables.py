@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from millwatch.session import configure
 from millwatch.sources.readers import RawLogs
@@ -18,33 +18,24 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
     configure(spark)
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    return table(spark, folder, "events").withColumn(
-        "datetime", F.timestamp_micros((micros - EPOCH_MICROS) * STRETCH + EPOCH_MICROS))
+    moved = f"(unix_micros(CAST(ts AS TIMESTAMP)) - {EPOCH_MICROS}) * {STRETCH} + {EPOCH_MICROS}"
+    return table(spark, folder, "events").selectExpr("*", f"timestamp_micros({moved}) AS datetime")
 
 
 def raw_logs(spark: SparkSession, folder: str) -> RawLogs:
     rows = events(spark, folder)
-    machine = F.col("user_id").alias("machineID")
-    number = F.col("event_id")
-    customers = table(spark, folder, "customer")
-
-    def code(prefix: str, count: int):
-        return F.concat(F.lit(prefix), (1 + number % count).cast("string"))
-
+    coded = "concat('{0}', CAST(1 + event_id % {1} AS STRING)) AS {2}"
     return RawLogs(
-        telemetry=rows.select(
-            "datetime", machine, (150 + F.col("value") / 5).alias("volt"),
-            (430 + number % 40).cast("double").alias("rotate"),
-            (90 + (number % 41).cast("double") / 2).alias("pressure"),
-            (35 + F.col("value") / 10).alias("vibration")),
-        errors=rows.where(F.col("event_type").isin("error", "click")).select(
-            "datetime", machine, code("error", 5).alias("errorID")),
-        failures=rows.where((F.col("event_type") == "signup") & (F.col("value") > 90)).select(
-            "datetime", machine, code("comp", 4).alias("failure")),
-        maint=rows.where(F.col("event_type") == "purchase").select(
-            "datetime", machine, code("comp", 4).alias("comp")),
-        machines=customers.select(
-            F.col("c_custkey").alias("machineID"),
-            F.concat(F.lit("model"), (1 + F.col("c_nationkey") % 4).cast("string")).alias("model"),
-            ((F.col("c_custkey") * 7) % 21).cast("int").alias("age")))
+        telemetry=rows.selectExpr(
+            "datetime", "user_id AS machineID", "150 + value / 5 AS volt",
+            "CAST(430 + event_id % 40 AS DOUBLE) AS rotate", "90 + CAST(event_id % 41 AS DOUBLE) / 2 AS pressure",
+            "35 + value / 10 AS vibration"),
+        errors=rows.where("event_type IN ('error', 'click')").selectExpr(
+            "datetime", "user_id AS machineID", coded.format("error", 5, "errorID")),
+        failures=rows.where("event_type = 'signup' AND value > 90").selectExpr(
+            "datetime", "user_id AS machineID", coded.format("comp", 4, "failure")),
+        maint=rows.where("event_type = 'purchase'").selectExpr(
+            "datetime", "user_id AS machineID", coded.format("comp", 4, "comp")),
+        machines=table(spark, folder, "customer").selectExpr(
+            "c_custkey AS machineID", "concat('model', CAST(1 + c_nationkey % 4 AS STRING)) AS model",
+            "CAST((c_custkey * 7) % 21 AS INT) AS age"))

@@ -184,6 +184,25 @@ CTES = {
 # Each CTE with the CTEs it reads, in definition order.
 ORDER = list(CTES)
 
+# Whole numbers that DuckDB widens (sums) or narrows (positions) compared with the engine's types.
+TYPES = {
+    "event_counts": {"error_count": "BIGINT", "maint_count": "BIGINT"},
+    "km_curve": {"n_at_risk": "BIGINT", "d": "BIGINT"},
+    "km_pooled": {"n_at_risk": "BIGINT", "d": "BIGINT"},
+    "km_summary": {"total_events": "BIGINT", "total_observations": "BIGINT"},
+    "survival_consistency": {"total_events": "BIGINT"},
+    "data_quality_summary": {"columns": "BIGINT"},
+    "describe_string": {"count": "BIGINT"},
+    "calendar_top5": {"position": "INTEGER"},
+    "critical_risks": {"position": "INTEGER"},
+    "recommendations": {"position": "INTEGER"},
+    "band_recommendations": {"position": "INTEGER"},
+    "instructions": {"position": "INTEGER"},
+    "maintenance_report": {"minor": "INTEGER"},
+    "decision_pack": {"position": "INTEGER"},
+    "classification_report": {"support": "BIGINT"},
+}
+
 
 def _needed(sql: str) -> list[str]:
     wanted: set[str] = set()
@@ -201,6 +220,9 @@ def oracle(name: str, sql: str, extra: dict[str, str] | None = None) -> None:
     extra = extra or {}
     chain = [(n, CTES[n]) for n in _needed(" ".join([*extra.values(), sql]))] + list(extra.items())
     ctes = ",\n".join(f"{n} AS ({body})" for n, body in chain)
+    if name in TYPES:
+        casts = ", ".join(f"CAST({c} AS {kind}) AS {c}" for c, kind in TYPES[name].items())
+        sql = f"SELECT * REPLACE ({casts}) FROM ({sql})"
     ORACLES[name] = f"WITH {ctes}\n{sql}" if chain else sql
 
 
