@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from millwatch.functions.survival_stats import chi2_tail_1df
 from millwatch.operators.scan import SUM
-from millwatch.operators.survival import POOLED, WINDOW_LIMIT, grid_of
+from millwatch.operators.survival import POOLED, WINDOW_LIMIT, grid_of, scan_path
 from millwatch.session import materialise
 
 SUMMARY = "feature string, coef double, exp_coef double, se double, z double, p double, " \
@@ -47,15 +47,15 @@ def fit_cox(df: DataFrame, features: Sequence[str] | None = None, time: str = "t
     scaled = rows.select("time", "event", *[
         ((F.col(c) - profile[f"m_{c}"]) / profile[f"s_{c}"]).alias(f"x{i}") for i, c in enumerate(used)])
     scaled = materialise(scaled, "cox")
-    small = profile["times"] <= window_limit
+    path = scan_path(scaled.select("time").distinct(), [], profile["times"], window_limit)
 
     beta = np.zeros(len(used))
-    likelihood, gradient, hessian = _derivatives(scaled, beta, small)
+    likelihood, gradient, hessian = _derivatives(scaled, beta, path)
     try:
         for _ in range(max_iterations):
             step = np.linalg.solve(hessian, gradient)
             while True:
-                trial = _derivatives(scaled, beta + step, small)
+                trial = _derivatives(scaled, beta + step, path)
                 if trial[0] >= likelihood - 1e-9 * abs(likelihood) or np.max(np.abs(step)) < tolerance:
                     break
                 step = step / 2
@@ -77,7 +77,7 @@ def fit_cox(df: DataFrame, features: Sequence[str] | None = None, time: str = "t
         (F.col("coef") + Z_95 * F.col("se")).alias("coef_upper_95"))
 
 
-def _derivatives(rows: DataFrame, beta: np.ndarray, small: bool):
+def _derivatives(rows: DataFrame, beta: np.ndarray, path: list[list[str]]):
     """Log partial likelihood, its gradient and the observed information at ``beta``."""
     p = len(beta)
     x = [F.col(f"x{i}") for i in range(p)]
@@ -96,7 +96,8 @@ def _derivatives(rows: DataFrame, beta: np.ndarray, small: bool):
         *[F.sum(m).alias(f"r_{k}") for k, m in moments.items()],
         *[F.sum(F.when(failed, m)).alias(f"f_{k}") for k, m in moments.items()],
     ).withColumn("group", F.lit(POOLED))
-    grid = grid_of(per_time if small else materialise(per_time, "cox_times"), small)
+    small = len(path) == 1
+    grid = grid_of(per_time if small else materialise(per_time, "cox_times"), path)
     risk = grid.scan(grid.rows, {f"s_{k}": (f"r_{k}", SUM) for k in moments}, descending=True)
 
     # A time with d failures contributes d terms; they are laid out in bounded chunks.

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from millwatch.functions.survival_stats import chi2_tail_1df
 from millwatch.operators.scan import SUM
-from millwatch.operators.survival import WINDOW_LIMIT, grid_of, observations
+from millwatch.operators.survival import WINDOW_LIMIT, grid_of, observations, scan_path
 from millwatch.session import materialise
 
 
@@ -29,10 +29,12 @@ def logrank_pairs(df: DataFrame, group: str = "model", time: str = "time", event
         F.sum(F.when(first, F.col("d")).otherwise(0)).alias("d_a"), F.sum("d").alias("d"),
         F.sum(F.when(first, F.col("m")).otherwise(0)).alias("m_a"), F.sum("m").alias("m"))
 
-    small = points.count() * max(len(groups) - 1, 1) <= window_limit
-    grid = grid_of(merged if small else materialise(merged, "pairs"), small)
-    risk = grid.settle(grid.scan(grid.rows, {"n_a": ("m_a", SUM), "n": ("m", SUM)},
-                                 keys=("group_a", "group_b"), descending=True))
+    pair = ["group_a", "group_b"]
+    rows = points.count() * max(len(groups) - 1, 1)
+    if rows > window_limit:
+        merged = materialise(merged, "pairs")
+    grid = grid_of(merged, scan_path(merged, pair, rows, window_limit))
+    risk = grid.settle(grid.scan(grid.rows, {"n_a": ("m_a", SUM), "n": ("m", SUM)}, keys=pair, descending=True))
     d, n, n_a = (F.col(c).cast("double") for c in ("d", "n", "n_a"))
     expected = n_a * d / n
     variance = F.when(n > 1, expected * ((n - n_a) / n) * ((n - d) / (n - 1))).otherwise(0.0)

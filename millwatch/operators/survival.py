@@ -55,23 +55,37 @@ def estimation_grid(df: DataFrame, group: str | None = "model", time: str = "tim
     """Store the distinct points once and choose the scan by their number.
 
     Groups with fewer than ``min_rows`` observations are left out; the join that removes
-    them is planned only where such groups exist. Buckets are positions of the duration
-    itself: 65 ms, and 65 536 of those per coarse bucket.
+    them is planned only where such groups exist.
     """
     rows = materialise(observations(df, group, time, event), "grid")
     sizes = rows.groupBy("group").agg(F.sum("m").alias("n"), F.count(F.lit(1)).alias("points"))
     known = sizes.agg(F.sum("points").alias("points"), F.count_if(F.col("n") < min_rows).alias("lonely")).first()
     if known["lonely"]:
         rows = rows.join(sizes.where(F.col("n") < min_rows).select("group"), "group", "left_anti")
-    return grid_of(rows, (known["points"] or 0) <= window_limit)
+    return grid_of(rows, scan_path(rows, ["group"], known["points"] or 0, window_limit))
 
 
-def grid_of(rows: DataFrame, small: bool) -> Grid:
-    if small:
-        return Grid(rows, [["time"]])
+def _bucketed(rows: DataFrame) -> DataFrame:
+    """Positions of a duration: buckets of 72 minutes, and of 65 ms inside those."""
     micros = F.floor(F.col("time") * F.lit(float(MICROS_PER_DAY)))
-    bucketed = rows.withColumns({"_high": F.shiftright(micros, 32), "_low": F.shiftright(micros, 16)})
-    return Grid(bucketed, [["_high"], ["_low"], ["time"]])
+    return rows.withColumns({"_high": F.shiftright(micros, 32), "_low": F.shiftright(micros, 16)})
+
+
+def scan_path(points: DataFrame, keys: Sequence[str], count: int, window_limit: int = WINDOW_LIMIT) -> list[list[str]]:
+    """Shortest path whose windows all stay within ``window_limit`` rows.
+
+    One window per group for few points; one bucket level when the fullest 72-minute
+    bucket fits; otherwise a second level, whose buckets hold 65 536 microseconds each.
+    """
+    if count <= window_limit:
+        return [["time"]]
+    sizes = _bucketed(points).groupBy(*keys, "_high").count()
+    fullest = sizes.agg(F.max("count")).first()[0] or 0
+    return [["_high"], ["time"]] if fullest <= window_limit else [["_high"], ["_low"], ["time"]]
+
+
+def grid_of(rows: DataFrame, path: list[list[str]]) -> Grid:
+    return Grid(rows if len(path) == 1 else _bucketed(rows), path)
 
 
 def curve_of(grid: Grid, variance: bool = False) -> DataFrame:

@@ -58,7 +58,7 @@ def sample(seed, size=120, times=40):
              int(rng.random() < 0.7)) for _ in range(size)] + [("alone", 3.0, 1)]
 
 
-@pytest.mark.parametrize("window_limit", [10 ** 6, 0])
+@pytest.mark.parametrize("window_limit", [10 ** 6, 8, 0])
 @pytest.mark.parametrize("seed", [1, 2])
 def test_km_equals_loop(spark, seed, window_limit):
     rows = sample(seed)
@@ -85,6 +85,14 @@ def test_km_properties(spark, rows):
         ((r.group, r.time), round(r.survival, 9)) for r in curve.collect()}
 
 
+def test_scan_path_follows_the_fullest_bucket(spark):
+    spread = spark.range(100).selectExpr("'m' AS group", "CAST(id AS DOUBLE) AS time")
+    dense = spark.range(100).selectExpr("'m' AS group", "id / 1e6D AS time")
+    assert survival.scan_path(spread, ["group"], 100, 100) == [["time"]]
+    assert survival.scan_path(spread, ["group"], 100, 10) == [["_high"], ["time"]]
+    assert survival.scan_path(dense, ["group"], 100, 10) == [["_high"], ["_low"], ["time"]]
+
+
 def test_horizon_policies(spark):
     df = fleet(spark, [("m", 10.0, 1), ("m", 40.0, 1), ("z", 0.0, 1), ("z", 200.0, 0)])
     curve = survival.km_curve(df)
@@ -135,7 +143,7 @@ def test_rul_estimates_and_defaults(spark):
     assert (r.rul_median, r.survival_30d, r.survival_90d) == (100.0, 0.8, 0.6)
 
 
-@pytest.mark.parametrize("window_limit", [10 ** 6, 0])
+@pytest.mark.parametrize("window_limit", [10 ** 6, 8, 0])
 def test_logrank_equals_loop(spark, window_limit):
     rows = sample(4)
     got = {(r.group_a, r.group_b): r for r in logrank_pairs(fleet(spark, rows), window_limit=window_limit).collect()}
@@ -173,7 +181,7 @@ def efron(beta, x, t, e):
     return total
 
 
-@pytest.mark.parametrize("window_limit", [10 ** 6, 0])
+@pytest.mark.parametrize("window_limit", [10 ** 6, 8, 0])
 def test_cox_maximises_the_partial_likelihood(spark, window_limit):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(150, 2)) * [3, 0.5] + [10, 0]
