@@ -50,7 +50,11 @@ def deadline(rul: Column, as_of: Column, rules: AlertRules = ALERTS) -> Column:
 
 def alerts(df: DataFrame, as_of: datetime | str, rules: AlertRules = ALERTS,
            predicted_probability: str | None = None, predicted_rul: str | None = None) -> DataFrame:
-    """Alerts of every machine above the lowest level (unordered; see ``ranked``)."""
+    """Alerts of every machine above the lowest level (unordered; see ``ranked``).
+
+    Pass stored health features: the filter on the risk is pushed to the source, and over
+    features that are still expressions it would repeat them in one oversized method.
+    """
     moment = F.lit(str(as_of)).cast("timestamp")
     scored = _scored(df, rules, predicted_probability, predicted_rul)
     raised = scored.where(alerting.raises_alert(F.col("rul"), F.col("probability"), F.col("total_risk"), rules))

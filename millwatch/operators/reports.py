@@ -111,8 +111,9 @@ def _rows(df: DataFrame, section: str, entries: list[tuple[str, Column]]) -> Dat
 
 
 def _attach(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Put two one-row aggregates side by side."""
-    return left.withColumn("_one", F.lit(1)).join(right.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    """Put two one-row aggregates side by side without joining them."""
+    both = left.unionByName(right, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def executive_kpis(fleet_rows: DataFrame, economics: DataFrame, alert_rows: DataFrame,

@@ -52,8 +52,13 @@ def _raw_health(spark: SparkSession, folder: str) -> DataFrame:
     return features.raw_health_features(_fleet(spark, folder))
 
 
+def _stored_health(spark: SparkSession, folder: str) -> DataFrame:
+    """Health features as a table, for consumers that filter on what they derive from them."""
+    return materialise(_health(spark, folder), "health")
+
+
 def _alerts(spark: SparkSession, folder: str) -> DataFrame:
-    return alerting.alerts(_health(spark, folder), AS_OF)
+    return alerting.alerts(_stored_health(spark, folder), AS_OF)
 
 
 def _stored_alerts(spark: SparkSession, folder: str) -> DataFrame:
@@ -437,12 +442,12 @@ def risk_heatmap_t(spark, folder):
 
 @query
 def fleet_risk_distribution(spark, folder):
-    return fleet.risk_distribution(fleet.fleet_risk(_health(spark, folder)))
+    return fleet.risk_distribution(fleet.fleet_risk(_stored_health(spark, folder)))
 
 
 @query
 def critical_machines(spark, folder):
-    return fleet.fleet_risk(_health(spark, folder))
+    return fleet.fleet_risk(_stored_health(spark, folder))
 
 
 @query
@@ -490,7 +495,7 @@ def health_trend(spark, folder):
 
 @query
 def risk_score(spark, folder):
-    scored = alerting.score_risk(_health(spark, folder))
+    scored = alerting.score_risk(_stored_health(spark, folder))
     return _round(scored.select("machineID", "health_risk", "degradation_risk", "age_risk", "error_risk", "total_risk"))
 
 
@@ -501,13 +506,13 @@ def alert_level_base(spark, folder):
 
 @query
 def prob_failure(spark, folder):
-    scored = alerting.score_risk(_health(spark, folder))
+    scored = alerting.score_risk(_stored_health(spark, folder))
     return _round(scored.select("machineID", F.col("probability").alias("prob_failure")))
 
 
 @query
 def alert_level(spark, folder):
-    return alerting.score_risk(_health(spark, folder)).select("machineID", "base_level", "alert_level")
+    return alerting.score_risk(_stored_health(spark, folder)).select("machineID", "base_level", "alert_level")
 
 
 @query
@@ -550,7 +555,7 @@ def alert_levels_nonzero(spark, folder):
 
 @query
 def critical_risks(spark, folder):
-    return reports.critical_risks(_alerts(spark, folder)).select("position", "line")
+    return reports.critical_risks(_stored_alerts(spark, folder)).select("position", "line")
 
 
 # ---------------------------------------------------------------- economics
@@ -613,9 +618,8 @@ def context_string(spark, folder):
 
 @query
 def executive_kpis(spark, folder):
-    rows = _fleet(spark, folder)
-    health = features.health_features(rows)
-    return reports.executive_kpis(health, economics.fleet_economics(rows), alerting.alerts(health, AS_OF))
+    health = _stored_health(spark, folder)
+    return reports.executive_kpis(health, economics.fleet_economics(health), alerting.alerts(health, AS_OF))
 
 
 @query
@@ -630,9 +634,9 @@ def projections(spark, folder):
 
 @query
 def instructions(spark, folder):
-    rows = _fleet(spark, folder)
-    strategy = reports.strategic_recommendations(economics.fleet_economics(rows))
-    return strategy.unionByName(reports.instructions(alerting.alerts(features.health_features(rows), AS_OF)))
+    health = _stored_health(spark, folder)
+    strategy = reports.strategic_recommendations(economics.fleet_economics(health))
+    return strategy.unionByName(reports.instructions(alerting.alerts(health, AS_OF)))
 
 
 @query
@@ -656,7 +660,7 @@ def report_prompts(spark, folder):
 
 @query
 def technical_report(spark, folder):
-    rows = materialise(features.health_features(_fleet(spark, folder)), "health")
+    rows = _stored_health(spark, folder)
     trained = [ml.train_classifier(rows), ml.train_regressor(rows)]
     weights = trained[0].importance.unionByName(trained[1].importance)
     return reports.technical_sections(
@@ -738,7 +742,7 @@ def failure_pattern(spark, folder):
 
 @query
 def score_fleet(spark, folder):
-    rows = materialise(_health(spark, folder), "health")
+    rows = _stored_health(spark, folder)
     scored = ml.score_fleet(rows, ml.train_classifier(rows).model, ml.train_regressor(rows).model)
     return _round(scored.select("machineID", "pred_proba", "pred_rul"))
 
