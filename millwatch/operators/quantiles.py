@@ -39,7 +39,7 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
 
     folded = bracketed.select(*by, F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).alias("value"),
-                 _fold(F.col(c), F.col(f"_bounds_{c}"), len(probabilities)).alias("slot"))
+                 F.expr(_fold(f"`{c}`", f"`_bounds_{c}`", len(probabilities))).alias("slot"))
         for c in columns])).alias("entry")).select(*by, "entry.*")
     counted = folded.groupBy(*by, "column", "slot").agg(
         F.count("value").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
@@ -84,17 +84,12 @@ def _join_groups(source: DataFrame, brackets: DataFrame, by: Sequence[str]) -> D
     return source.join(renamed, condition).drop(*[f"_group_{c}" for c in by])
 
 
-def _fold(value: Column, bounds: Column, ranks: int) -> Column:
-    """Slot of a value: itself inside a bracket, else one shared slot for the gap it lies in."""
-    lows = [F.get(bounds, F.lit(2 * i)) for i in range(ranks)]
-    highs = [F.get(bounds, F.lit(2 * i + 1)) for i in range(ranks)]
-    inside = None
-    for low, high in zip(lows, highs):
-        here = (value >= low) & (value <= high)
-        inside = here if inside is None else inside | here
-    gap = F.lit(float("-inf"))
-    for high in highs:
-        gap = F.when(value > high, high).otherwise(gap)
-    slot = F.when(inside, F.struct(value.alias("value"), F.lit(0).alias("gap"))).otherwise(
-        F.struct(gap.alias("value"), F.lit(1).alias("gap")))
-    return F.when(value.isNotNull(), slot)
+def _fold(value: str, bounds: str, ranks: int) -> str:
+    """SQL of a value's slot: itself inside a bracket, else one shared slot for the gap it lies in."""
+    inside = " OR ".join(
+        f"{value} BETWEEN get({bounds}, {2 * i}) AND get({bounds}, {2 * i + 1})" for i in range(ranks))
+    gaps = " ".join(
+        f"WHEN {value} > get({bounds}, {2 * i + 1}) THEN get({bounds}, {2 * i + 1})" for i in reversed(range(ranks)))
+    return f"""CASE WHEN {value} IS NULL THEN NULL
+        WHEN {inside} THEN named_struct('value', {value}, 'gap', 0)
+        ELSE named_struct('value', CASE {gaps} ELSE double('-Infinity') END, 'gap', 1) END"""

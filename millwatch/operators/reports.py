@@ -51,6 +51,41 @@ PROJECTION_M6, PROJECTION_M12 = 1.5, 1.15
 FIXED_PROJECTIONS = (("Réduction temps d'arrêt", "-45% vs année précédente"),
                      ("Amélioration santé parc", "+12% vs baseline actuelle"))
 
+KPI_LABELS = {
+    "fleet": "Parc total", "health": "Santé moyenne", "critical": "Machines critiques",
+    "savings": "Économies annuelles", "roi": "ROI maintenance prédictive",
+    "downtime": "Temps d'arrêt évité", "maintenance": "Coût maintenance moyen",
+}
+ROI_LABELS = {
+    "investment": "Investissement ML", "savings": "Économies annuelles", "payback": "Période de retour",
+    "three_years": "Bénéfice net 3 ans", "annual": "ROI annuel",
+}
+PROJECTION_LABELS = ("Économies projetées (M+6)", "Économies projetées (M+12)")
+RISK_LINE = "Machine %s (%s) - RUL: %sj - Risque: ÉLEVÉ"
+ALERT_CARD = ("  🚨 Machine %s (%s)", "     • RUL: %s jours", "     • Santé: %s/100", "     • Risque: N/A",
+              "     • Deadline: %s", "     • Action: %s")
+LEVEL_LINE = "  %s: %d machines"
+CALENDAR_LINE = "  • Machine %s - %s\n    RUL: %sj | Deadline: %s"
+PART_LINE = "  %s: %s unités - %s"
+QUALITY_LINES = ("  Valeurs manquantes: %d", "  Types de données: %d colonnes")
+PACK_LINE = "- Machine %s | Modèle: %s | Santé: %s | ProbFail: %s"
+PACK_TITLE, PACK_TOP, PACK_ECONOMICS = "Decision Pack - Maintenance Prédictive", "Top 5 Machines à Risque:", "Résumé Economique:"
+
+EXECUTIVE_SECTIONS = {
+    "kpi": "📊 TABLEAU DE BORD STRATÉGIQUE", "roi": "💰 ANALYSE FINANCIÈRE", "risk": "🔴 RISQUES CRITIQUES",
+    "strategy": "✅ RECOMMANDATIONS STRATÉGIQUES", "projection": "📈 PROJECTIONS 12 MOIS",
+}
+MAINTENANCE_SECTIONS = {
+    "levels": "🚨 ALERTES ACTIVES PAR NIVEAU DE PRIORITÉ", "critical": "🔴 ALERTES CRITIQUES - ACTION IMMÉDIATE",
+    "calendar": "📅 CALENDRIER MAINTENANCE - 4 SEMAINES", "parts": "🔧 BESOINS EN PIÈCES DÉTACHÉES",
+    "instruction": "⚡ INSTRUCTIONS OPÉRATIONNELLES",
+}
+TECHNICAL_SECTIONS = {
+    "models": "🤖 PERFORMANCE MODÈLES ML", "classifier": "📊 CLASSIFICATEUR (Prédiction Panne)",
+    "regressor": "📈 RÉGRESSEUR RUL (Durée de Vie Restante)", "features": "🎯 IMPORTANCE DES VARIABLES",
+    "quality": "📋 QUALITÉ DES DONNÉES", "recommendation": "💡 RECOMMANDATIONS TECHNIQUES",
+}
+
 EXECUTIVE_PROMPT = """Génère un rapport exécutif en français pour la direction.
 
 CONTEXTE:
@@ -124,13 +159,13 @@ def executive_kpis(fleet_rows: DataFrame, economics: DataFrame, alert_rows: Data
     all_ = _attach(_attach(size, critical), economics)
     share = F.coalesce(F.try_divide(F.col("critical"), F.col("machines")) * 100, F.lit(0.0))
     return _rows(all_, "kpi", [
-        ("Parc total", F.format_string("%d machines", "machines")),
-        ("Santé moyenne", F.concat(_decimals(F.col("health")), F.lit("/100"))),
-        ("Machines critiques", F.format_string("%d (%s%%)", F.col("critical"), _decimals(share))),
-        ("Économies annuelles", F.concat(_whole(F.col("total_fleet_savings")), F.lit(" €"))),
-        ("ROI maintenance prédictive", F.concat(_decimals(F.col("total_roi_percent")), F.lit("%"))),
-        ("Temps d'arrêt évité", F.lit(f"{downtime_hours_saved:.0f} h/an")),
-        ("Coût maintenance moyen", F.lit(f"{average_maintenance_cost:,.0f} €/machine"))])
+        (KPI_LABELS["fleet"], F.format_string("%d machines", "machines")),
+        (KPI_LABELS["health"], F.concat(_decimals(F.col("health")), F.lit("/100"))),
+        (KPI_LABELS["critical"], F.format_string("%d (%s%%)", F.col("critical"), _decimals(share))),
+        (KPI_LABELS["savings"], F.concat(_whole(F.col("total_fleet_savings")), F.lit(" €"))),
+        (KPI_LABELS["roi"], F.concat(_decimals(F.col("total_roi_percent")), F.lit("%"))),
+        (KPI_LABELS["downtime"], F.lit(f"{downtime_hours_saved:.0f} h/an")),
+        (KPI_LABELS["maintenance"], F.lit(f"{average_maintenance_cost:,.0f} €/machine"))])
 
 
 def roi_analysis(economics: DataFrame) -> DataFrame:
@@ -138,18 +173,18 @@ def roi_analysis(economics: DataFrame) -> DataFrame:
     payback = F.when(savings > 0, invested / savings * 12).otherwise(0.0)
     annual = F.when(invested > 0, savings / invested * 100).otherwise(0.0)
     return _rows(economics, "roi", [
-        ("Investissement ML", F.concat(_whole(invested), F.lit(" €"))),
-        ("Économies annuelles", F.concat(_whole(savings), F.lit(" €"))),
-        ("Période de retour", F.concat(_decimals(payback), F.lit(" mois"))),
-        ("Bénéfice net 3 ans", F.concat(_whole(savings * 3 - invested), F.lit(" €"))),
-        ("ROI annuel", F.concat(_decimals(annual), F.lit("%")))])
+        (ROI_LABELS["investment"], F.concat(_whole(invested), F.lit(" €"))),
+        (ROI_LABELS["savings"], F.concat(_whole(savings), F.lit(" €"))),
+        (ROI_LABELS["payback"], F.concat(_decimals(payback), F.lit(" mois"))),
+        (ROI_LABELS["three_years"], F.concat(_whole(savings * 3 - invested), F.lit(" €"))),
+        (ROI_LABELS["annual"], F.concat(_decimals(annual), F.lit("%")))])
 
 
 def projections(economics: DataFrame) -> DataFrame:
     savings = F.col("total_fleet_savings")
     return _rows(economics, "projection", [
-        ("Économies projetées (M+6)", F.concat(_whole(savings * PROJECTION_M6), F.lit(" €"))),
-        ("Économies projetées (M+12)", F.concat(_whole(savings * PROJECTION_M12), F.lit(" €"))),
+        (PROJECTION_LABELS[0], F.concat(_whole(savings * PROJECTION_M6), F.lit(" €"))),
+        (PROJECTION_LABELS[1], F.concat(_whole(savings * PROJECTION_M12), F.lit(" €"))),
         *[(key, F.lit(text)) for key, text in FIXED_PROJECTIONS]])
 
 
@@ -159,7 +194,7 @@ def critical_risks(alert_rows: DataFrame, limit: int = 10) -> DataFrame:
     packed = first.agg(F.sort_array(F.collect_list(F.struct(
         "priority", (-F.col("prob_failure")).alias("order"), "machine_id", "model", "rul_days"))).alias("risks"))
     numbered = packed.select(F.posexplode("risks").alias("position", "r"))
-    line = F.format_string("Machine %s (%s) - RUL: %sj - Risque: ÉLEVÉ", F.col("r.machine_id").cast("string"),
+    line = F.format_string(RISK_LINE, F.col("r.machine_id").cast("string"),
                            F.col("r.model"), _decimals(F.col("r.rul_days")))
     return numbered.select(F.lit("risk").alias("section"), (F.col("position") + 1).alias("position"),
                            F.col("r.machine_id").alias("machine_id"), line.alias("line"))
@@ -230,23 +265,23 @@ def _numbered_lines(rows: DataFrame) -> DataFrame:
 def executive_report(fleet_rows: DataFrame, economics: DataFrame, alert_rows: DataFrame,
                      as_of: datetime | str, company: str = COMPANY) -> DataFrame:
     report = _Report(header(fleet_rows, EXECUTIVE_TITLE, as_of, company))
-    report.add("📊 TABLEAU DE BORD STRATÉGIQUE", _key_lines(executive_kpis(fleet_rows, economics, alert_rows)))
-    report.add("💰 ANALYSE FINANCIÈRE", _key_lines(roi_analysis(economics)))
-    report.add("🔴 RISQUES CRITIQUES", _numbered_lines(critical_risks(alert_rows, 5)))
-    report.add("✅ RECOMMANDATIONS STRATÉGIQUES", _numbered_lines(strategic_recommendations(economics)))
-    report.add("📈 PROJECTIONS 12 MOIS", _key_lines(projections(economics)))
+    report.add(EXECUTIVE_SECTIONS["kpi"], _key_lines(executive_kpis(fleet_rows, economics, alert_rows)))
+    report.add(EXECUTIVE_SECTIONS["roi"], _key_lines(roi_analysis(economics)))
+    report.add(EXECUTIVE_SECTIONS["risk"], _numbered_lines(critical_risks(alert_rows, 5)))
+    report.add(EXECUTIVE_SECTIONS["strategy"], _numbered_lines(strategic_recommendations(economics)))
+    report.add(EXECUTIVE_SECTIONS["projection"], _key_lines(projections(economics)))
     return report.rows
 
 
 def _alert_card() -> Column:
     return F.concat_ws(
         "\n",
-        F.format_string("  🚨 Machine %s (%s)", F.col("machine_id").cast("string"), F.col("model")),
-        F.format_string("     • RUL: %s jours", _decimals(F.col("rul_days"))),
-        F.format_string("     • Santé: %s/100", _decimals(F.col("health_score"))),
-        F.lit("     • Risque: N/A"),
-        F.format_string("     • Deadline: %s", "maintenance_deadline"),
-        F.format_string("     • Action: %s", "recommended_action"))
+        F.format_string(ALERT_CARD[0], F.col("machine_id").cast("string"), F.col("model")),
+        F.format_string(ALERT_CARD[1], _decimals(F.col("rul_days"))),
+        F.format_string(ALERT_CARD[2], _decimals(F.col("health_score"))),
+        F.lit(ALERT_CARD[3]),
+        F.format_string(ALERT_CARD[4], "maintenance_deadline"),
+        F.format_string(ALERT_CARD[5], "recommended_action"))
 
 
 def maintenance_sections(alert_rows: DataFrame, parts: DataFrame | None = None) -> DataFrame:
@@ -256,7 +291,7 @@ def maintenance_sections(alert_rows: DataFrame, parts: DataFrame | None = None)
     """
     levels = alerting.nonzero_levels(alert_rows).select(
         F.lit("levels").alias("section"), F.col("priority").alias("major"), F.lit(0).alias("minor"),
-        F.format_string("  %s: %d machines", "alert_level", "alerts").alias("line"))
+        F.format_string(LEVEL_LINE, "alert_level", "alerts").alias("line"))
     cards = alerting.critical(alert_rows, 15).agg(F.sort_array(F.collect_list(F.struct(
         (-F.col("prob_failure")).alias("order"), "machine_id", _alert_card().alias("line")))).alias("cards"))
     critical = cards.select(F.posexplode("cards").alias("minor", "card")).select(
@@ -264,7 +299,7 @@ def maintenance_sections(alert_rows: DataFrame, parts: DataFrame | None = None)
         F.col("card.line").alias("line"))
     calendar = alerting.calendar_top(alert_rows).select(
         F.lit("calendar").alias("section"), F.col("week").alias("major"), F.col("position").alias("minor"),
-        F.format_string("  • Machine %s - %s\n    RUL: %sj | Deadline: %s", F.col("machine_id").cast("string"),
+        F.format_string(CALENDAR_LINE, F.col("machine_id").cast("string"),
                         F.col("model"), _decimals(F.col("rul_days")), F.col("maintenance_deadline")).alias("line"))
     orders = instructions(alert_rows).select(
         F.lit("instruction").alias("section"), F.lit(0).alias("major"), F.col("position").alias("minor"),
@@ -273,7 +308,7 @@ def maintenance_sections(alert_rows: DataFrame, parts: DataFrame | None = None)
     if parts is not None:
         out = out.unionByName(parts.select(
             F.lit("parts").alias("section"), F.lit(0).alias("major"), F.lit(0).alias("minor"),
-            F.format_string("  %s: %s unités - %s", "part", F.col("quantity").cast("string"), "urgency").alias("line")))
+            F.format_string(PART_LINE, "part", F.col("quantity").cast("string"), "urgency").alias("line")))
     return out
 
 
@@ -285,10 +320,7 @@ def maintenance_report(alert_rows: DataFrame, as_of: datetime | str, parts: Data
         F.concat(F.lit("\nSEMAINE_"), F.col("major").cast("string"), F.lit(":")).alias("line"))
     rows = rows.unionByName(weeks)
     report = _Report(header(alert_rows, MAINTENANCE_TITLE, as_of, company))
-    titles = [("levels", "🚨 ALERTES ACTIVES PAR NIVEAU DE PRIORITÉ"), ("critical", "🔴 ALERTES CRITIQUES - ACTION IMMÉDIATE"),
-              ("calendar", "📅 CALENDRIER MAINTENANCE - 4 SEMAINES"), ("parts", "🔧 BESOINS EN PIÈCES DÉTACHÉES"),
-              ("instruction", "⚡ INSTRUCTIONS OPÉRATIONNELLES")]
-    for section, title in titles:
+    for section, title in MAINTENANCE_SECTIONS.items():
         if section == "parts" and parts is None:
             continue
         report.add(title, rows.where(F.col("section") == section).select(
@@ -323,8 +355,8 @@ def technical_sections(metrics: DataFrame, importance_top: DataFrame, quality: D
         F.col("position").alias("minor"),
         F.format_string("  %s: %s", F.col("feature"), _decimals(F.col("importance"), 3)).alias("line"))
     data = quality.select(F.posexplode(F.array(
-        F.format_string("  Valeurs manquantes: %d", "total_missing"),
-        F.format_string("  Types de données: %d colonnes", "columns"))).alias("minor", "line")).select(
+        F.format_string(QUALITY_LINES[0], "total_missing"),
+        F.format_string(QUALITY_LINES[1], "columns"))).alias("minor", "line")).select(
         F.lit("quality").alias("section"), F.lit(0).alias("major"), (F.col("minor") + 1).alias("minor"), "line")
     advice = technical_recommendations(metrics).select(
         "section", F.lit(0).alias("major"), F.col("position").alias("minor"),
@@ -340,11 +372,12 @@ def technical_report(metrics: DataFrame, importance_top: DataFrame, quality: Dat
         F.lit(0).alias("minor"), F.concat(F.lit("\n"), F.upper("model"), F.lit(":")).alias("line"))
     rows = rows.unionByName(heads)
     report = _Report(header(metrics, TECHNICAL_TITLE, as_of, company))
-    for section, title, rule in (
-            ("classifier", "🤖 PERFORMANCE MODÈLES ML\n" + RULE + "\n\n📊 CLASSIFICATEUR (Prédiction Panne)", THIN_RULE),
-            ("regressor", "📈 RÉGRESSEUR RUL (Durée de Vie Restante)", THIN_RULE),
-            ("features", "🎯 IMPORTANCE DES VARIABLES", RULE), ("quality", "📋 QUALITÉ DES DONNÉES", RULE),
-            ("recommendation", "💡 RECOMMANDATIONS TECHNIQUES", RULE)):
+    for section, title in TECHNICAL_SECTIONS.items():
+        if section == "models":
+            continue
+        if section == "classifier":
+            title = f"{TECHNICAL_SECTIONS['models']}\n{RULE}\n\n{title}"
+        rule = THIN_RULE if section in ("classifier", "regressor") else RULE
         report.add(title, rows.where(F.col("section") == section).select(
             (F.col("major") * 100 + F.col("minor")).alias("position"), "line"), rule)
     return report.rows
@@ -355,7 +388,7 @@ def decision_pack(fleet_rows: DataFrame, economics: DataFrame, probability: str
     shown = (F.format_string("%.2f", half_even(F.col(probability), 2)) if probability else F.lit("N/A"))
     worst = fleet.lowest_health(fleet_rows, 5).select(
         "global_health_score", "machineID", F.format_string(
-            "- Machine %s | Modèle: %s | Santé: %s | ProbFail: %s", F.col("machineID").cast("string"),
+            PACK_LINE, F.col("machineID").cast("string"),
             F.coalesce("model", F.lit("?")), _decimals(F.col("global_health_score"), 2), shown).alias("line"))
     machines = worst.agg(F.sort_array(F.collect_list(F.struct("global_health_score", "machineID", "line"))).alias("w"))
     top = machines.select(F.posexplode("w").alias("position", "w")).select(
@@ -372,8 +405,8 @@ def decision_pack_lines(pack: DataFrame, as_of: datetime | str) -> DataFrame:
     """The pack as ordered text lines, ready for ``sinks.write_lines``."""
     spark = pack.sparkSession
     fixed = spark.createDataFrame(
-        [(0, 0, "Decision Pack - Maintenance Prédictive"), (0, 1, f"Date: {as_of}"), (0, 2, ""),
-         (1, 0, "Top 5 Machines à Risque:"), (2, -1, ""), (2, 0, "Résumé Economique:")],
+        [(0, 0, PACK_TITLE), (0, 1, f"Date: {as_of}"), (0, 2, ""),
+         (1, 0, PACK_TOP), (2, -1, ""), (2, 0, PACK_ECONOMICS)],
         "block int, position int, line string")
     block = F.when(F.col("section") == "top5", 1).otherwise(2)
     return fixed.unionByName(pack.select(block.alias("block"), "position", "line"))
