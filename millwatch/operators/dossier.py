@@ -38,6 +38,9 @@ BAND_RECOMMENDATIONS = (
             "📈 Vérifier dans 30 jours")),
 )
 
+UNTRAINED = {"risk_level": "INCONNU", "confidence": 0.0, "rul_median": 100.0, "survival_30d": 0.8,
+             "survival_90d": 0.6, "current_survival_time": 0.0}
+
 UNKNOWN_MACHINE = {
     "model": "INCONNU", "risk_level": MODERE, "confidence": 0.5, "score": 50.0, "rul_median": 100.0,
     "survival_30d": 0.8, "survival_90d": 0.6, "recommendation": "Analyse indisponible",
@@ -81,22 +84,32 @@ def recommendation_list(level: Column, found: Column, rul_median: Column) -> Col
     return F.concat(by_risk, F.transform(found, lambda a: a["recommendation"]), urgent)
 
 
-def analysed(df: DataFrame, rul: DataFrame, limits: AnomalyLimits = ANOMALIES) -> DataFrame:
+def analysed(df: DataFrame, rul: DataFrame | None, limits: AnomalyLimits = ANOMALIES) -> DataFrame:
     """Fleet rows with remaining-life figures, anomalies and recommendations attached.
 
     ``df`` holds the unrounded health features and may hold ``risk_level``, ``confidence``,
     ``probabilities`` (from a classifier) and ``failure_pattern`` (from clustering); without
-    a classifier the level follows from the health score with confidence 0.8.
+    a classifier the level follows from the health score with confidence 0.8. Without ``rul``
+    nothing has been trained yet and risk and remaining life are the fixed "unknown" figures.
     """
     predicted = "confidence" in df.columns
+    if rul is None:
+        level, confidence = F.lit(UNTRAINED["risk_level"]), F.lit(UNTRAINED["confidence"])
+    elif predicted:
+        level, confidence = F.col("risk_level"), F.col("confidence")
+    else:
+        level, confidence = risk.risk_from_health(F.col("global_health_score")), F.lit(0.8)
     out = df.withColumns({
-        "risk_level": F.col("risk_level") if predicted else risk.risk_from_health(F.col("global_health_score")),
-        "confidence": F.col("confidence") if predicted else F.lit(0.8),
-        "probabilities": F.col("probabilities") if "probabilities" in df.columns
+        "risk_level": level, "confidence": confidence,
+        "probabilities": F.col("probabilities") if "probabilities" in df.columns and rul is not None
         else F.lit(None).cast("map<string,double>"),
         "failure_pattern": F.col("failure_pattern") if "failure_pattern" in df.columns else F.lit(0),
         "anomalies": anomaly_list(limits)})
-    out = out.join(rul, "machineID", "left")
+    if rul is None:
+        out = out.withColumns({c: F.lit(UNTRAINED[c]) for c in (
+            "rul_median", "survival_30d", "survival_90d", "current_survival_time")})
+    else:
+        out = out.join(rul, "machineID", "left")
     return out.withColumn("recommendations", recommendation_list(
         F.col("risk_level"), F.col("anomalies"), F.col("rul_median")))
 

@@ -137,6 +137,14 @@ def test_dossier(spark, analysis):
     assert all("identification" in r.j for r in text)
 
 
+def test_untrained_analysis(rows):
+    blank = dossier.analysed(features.raw_health_features(rows), None)
+    r = dossier.dossier(blank).where("machineID = 1").first()
+    assert (r.prediction_risque.risk_level, r.prediction_risque.confidence) == ("INCONNU", 0.0)
+    assert (r.estimation_rul.rul_median, r.estimation_rul.current_survival_time) == (100, 0)
+    assert r.recommandations_maintenance == ["Maintenance à 60 jours", "Surveillance normale", "Opérations standards"]
+
+
 def test_context_skips_absent_sections(analysis):
     full = dossier.dossier(analysis).where("machineID = 1").select(dossier.context_string().alias("c")).first().c
     assert full.startswith("Machine: 1 - Modèle: model1 | Score santé: ") and full.endswith(" jours")

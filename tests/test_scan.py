@@ -74,6 +74,14 @@ def test_quantiles_equal_numpy(spark, size):
         assert got[p] == pytest.approx(np.quantile(values, p), rel=1e-12)
 
 
+@pytest.mark.parametrize("accuracy", [100, 1_000])
+def test_quantiles_do_not_depend_on_the_accuracy(spark, accuracy):
+    values = np.random.default_rng(8).lognormal(size=20_000)
+    df = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(16)
+    got = [r.value for r in exact_quantiles(df, ["v"], (0.01, 0.5, 0.99), accuracy=accuracy).orderBy("probability").collect()]
+    assert got == pytest.approx(list(np.quantile(values, [0.01, 0.5, 0.99])), rel=1e-12)
+
+
 def test_quantiles_by_group_with_nulls(spark):
     rng = np.random.default_rng(5)
     rows = [(g, float(v)) for g, n in (("a", 12_000), ("b", 40), (None, 7)) for v in rng.exponential(3, n)]

@@ -123,6 +123,21 @@ def test_materialised_tables_live_in_the_shared_folder(spark):
     assert df.count() == 5
 
 
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "yarn"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.work_dir(Session())
+
+
 def test_unparsable_time_is_null(spark):
     df = spark.createDataFrame([("2024-01-01 00:00:00",), ("soon",), (None,)], "datetime string")
     parsed = readers.parse_datetime(df)
