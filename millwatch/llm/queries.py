@@ -1,7 +1,7 @@
 """All queries of the corpus operators and their SQL."""
 
-from . import decontaminate, quality
+from . import decontaminate, langid, quality
 
-MODULES = (quality, decontaminate)
+MODULES = (quality, decontaminate, langid)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
