@@ -1,7 +1,7 @@
 """All queries of the corpus operators and their SQL."""
 
-from . import decontaminate, langid, mixing, quality, shards
+from . import decontaminate, langid, minhash, mixing, quality, shards, warc
 
-MODULES = (quality, shards, mixing, decontaminate, langid)
+MODULES = (warc, minhash, quality, shards, mixing, decontaminate, langid)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
