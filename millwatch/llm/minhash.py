@@ -145,27 +145,32 @@ def _plausible(one: str, other: str) -> Column:
     return (DENOMINATOR * F.least(a, b) >= NUMERATOR * F.greatest(a, b)) & (estimate(one, other) >= ESTIMATE)
 
 
+def marks(hashes: DataFrame) -> np.ndarray:
+    """Bit map of the low FILTER_BITS bits of one column of hashes: 2 MiB, gathered as 2^18 rows at most."""
+    spot = F.col(hashes.columns[0]).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    marked = hashes.select(spot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bits")).toPandas()
+    bitmap = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
+    bitmap[marked["w"].to_numpy(dtype=np.int64)] = marked["bits"].to_numpy(dtype=np.int64)
+    return bitmap
+
+
 def thinned(docs: DataFrame, ids: DataFrame, column: str, text: str) -> DataFrame:
     """Rows of ``docs`` whose id is in ``ids``, and few others, without a shuffle.
 
-    A bit map of 2^FILTER_BITS hashed ids (2 MiB) goes to the tasks; a hit may be accidental, a miss is certain.
+    A bit map of hashed ids goes to the tasks; a hit may be accidental, a miss is certain.
     """
-    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
-    marked = ids.select(spot(ids.columns[0]).alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bits")).toPandas()
-    bitmap = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
-    bitmap[marked["w"].to_numpy(dtype=np.int64)] = marked["bits"].to_numpy(dtype=np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    shared = docs.sparkSession.sparkContext.broadcast(marks(ids.select(F.xxhash64(ids.columns[0]))))
 
     def keep(batches):
         for batch in batches:
-            s = batch.column("_spot").to_numpy(zero_copy_only=False).astype(np.int64)
+            s = batch.column("_spot").to_numpy(zero_copy_only=False) & ((1 << FILTER_BITS) - 1)
             hit = (shared.value[s >> 6] >> (s & 63)) & 1 == 1
             if hit.any():
                 yield batch.drop_columns(["_spot"]).filter(pa.array(hit))
 
     slim = docs.select(F.col(column).cast("long").alias(column), F.col(text).cast("string").alias(text)).where(F.col(column).isNotNull())
-    return slim.withColumn("_spot", spot(column)).mapInArrow(keep, slim.schema)
+    return slim.withColumn("_spot", F.xxhash64(column)).mapInArrow(keep, slim.schema)
 
 
 def confirmed(pairs: DataFrame, by_id: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """All queries of the corpus operators and their SQL."""
 
-from . import decontaminate, langid, minhash, mixing, quality, shards, substrings, warc
+from . import decontaminate, langid, lines, minhash, mixing, quality, shards, substrings, warc
 
-MODULES = (warc, minhash, quality, substrings, shards, mixing, decontaminate, langid)
+MODULES = (warc, minhash, quality, substrings, shards, mixing, lines, decontaminate, langid)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
