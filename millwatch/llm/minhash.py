@@ -173,6 +173,29 @@ def thinned(docs: DataFrame, ids: DataFrame, column: str, text: str) -> DataFram
     return slim.withColumn("_spot", F.xxhash64(column)).mapInArrow(keep, slim.schema)
 
 
+def without(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """``docs`` less the rows whose id is in ``ids``; only rows that a bit map of the ids points to are shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(marks(ids.select(F.xxhash64(ids.columns[0]))))
+
+    def pick(wanted: bool):
+        def keep(batches):
+            for batch in batches:
+                s = batch.column("_spot").to_numpy(zero_copy_only=False) & ((1 << FILTER_BITS) - 1)
+                hit = ((shared.value[s >> 6] >> (s & 63)) & 1 == 1) == wanted
+                if hit.any():
+                    yield batch.drop_columns(["_spot"]).filter(pa.array(hit))
+        return docs.withColumn("_spot", F.xxhash64(F.col(column).cast("long"))).mapInArrow(keep, docs.schema)
+
+    gone = ids.select(F.col(ids.columns[0]).alias("_gone"))
+    suspects = pick(True)
+    return pick(False).union(suspects.join(gone, suspects[column] == gone["_gone"], "left_anti"))
+
+
+def drop_near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with one document of every group of near-duplicates, the smallest id; same columns."""
+    return without(docs, near_duplicates(docs, text).where("not kept").select("doc_id"))
+
+
 def confirmed(pairs: DataFrame, by_id: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough; ``by_id``: (id, text)."""
     def shingles(t: bytes) -> set:

@@ -139,6 +139,18 @@ def mix(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, most: int = MOST, tex
     return by_doc, slots
 
 
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with every document as often as the mix takes it, to the nearest whole copy; same columns.
+
+    Rows that share an id are repeated alike.
+    """
+    each = mix(docs, **options)[0].where(F.col("size") > 0).groupBy("doc_id").agg(
+        F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("_copies")).where(F.col("_copies") > 0)
+    each = each.withColumnRenamed("doc_id", "_doc")
+    taken = docs.join(each, F.col("doc_id").eqNullSafe(F.col("_doc")))
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))[0]
 
