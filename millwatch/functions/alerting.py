@@ -80,8 +80,9 @@ def raises_alert(rul: Column, probability: Column, risk: Column, rules: AlertRul
     Filtering on the level itself would copy the whole rule tree below every projection
     the optimiser pushes the filter through.
     """
-    return ((rul <= rules.levels[-2].max_rul_days) | (risk > rules.high_above)
-            | (probability > min(rules.medium_above, rules.high_above)))
+    urgent = min(rules.critical_above, rules.high_above)
+    return ((rul <= max(level.max_rul_days for level in rules.levels[:-1])) | (risk > urgent)
+            | (probability > min(rules.medium_above, urgent)))
 
 
 def level_attribute(level: Column, attribute: str, rules: AlertRules = ALERTS) -> Column:

@@ -10,7 +10,6 @@ from millwatch.config import ALERTS, AlertRules, CRITIQUE
 from millwatch.functions import alerting
 from millwatch.functions.numeric import MICROS_PER_DAY, half_even
 from millwatch.operators.scan import SUM, running
-from millwatch.operators.survival import WINDOW_LIMIT
 
 
 def _scored(df: DataFrame, rules: AlertRules, predicted_probability: str | None,
@@ -100,20 +99,17 @@ def overdue(alert_rows: DataFrame, rules: AlertRules = ALERTS) -> DataFrame:
     return alert_rows.where(F.col("rul_days") - rules.lead_time_days <= 0)
 
 
-def maintenance_calendar(alert_rows: DataFrame, weeks_ahead: int = 4, rules: AlertRules = ALERTS,
-                         window_limit: int = WINDOW_LIMIT) -> DataFrame:
+def maintenance_calendar(alert_rows: DataFrame, weeks_ahead: int = 4, rules: AlertRules = ALERTS) -> DataFrame:
     """Scheduled alerts with their position inside the week; an empty week is one row without machine.
 
-    Beyond ``window_limit`` alerts the position is a running count along (priority,
-    probability), then blocks of machine ids, so a week that holds most of the fleet is
-    still ranked in parallel. ``alert_rows`` is read several times; pass a materialised table.
+    The position is a running count along (priority, probability), then blocks of machine ids, so a
+    week that holds most of the fleet is ranked in parallel. ``alert_rows`` is read several times; pass a
+    materialised table.
     """
     due = scheduled(alert_rows, weeks_ahead, rules)
     counted = due.withColumns({
         "_rank": -F.col("prob_failure"), "_block": F.shiftright("machine_id", 16), "_one": F.lit(1).cast("long")})
     path = [["priority", "_rank"], ["_block"], ["machine_id"]]
-    if due.count() <= window_limit:
-        path = [[c for level in path for c in level]]
     placed = running(counted, ["week"], path, {"position": ("_one", SUM)}).drop("_rank", "_block", "_one")
     return placed.unionByName(_empty_weeks(due, weeks_ahead), allowMissingColumns=True).withColumn(
         "week_label", _week_label())

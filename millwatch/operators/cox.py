@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from millwatch.functions.survival_stats import chi2_tail_1df
 from millwatch.operators.scan import SUM
-from millwatch.operators.survival import POOLED, WINDOW_LIMIT, grid_of, scan_path
+from millwatch.operators.survival import POOLED, bucketed, scan
 from millwatch.session import materialise
 
 SUMMARY = "feature string, coef double, exp_coef double, se double, z double, p double, " \
@@ -25,8 +25,7 @@ def numeric_features(df: DataFrame, exclude: Sequence[str]) -> list[str]:
 
 
 def fit_cox(df: DataFrame, features: Sequence[str] | None = None, time: str = "time",
-            event: str = "event", max_iterations: int = 50, tolerance: float = 1e-7,
-            window_limit: int = WINDOW_LIMIT) -> DataFrame:
+            event: str = "event", max_iterations: int = 50, tolerance: float = 1e-7) -> DataFrame:
     """Coefficient table, one row per feature; empty when the model cannot be fitted.
 
     Each iteration is one Spark job: sums per distinct time, suffix sums over time, and a
@@ -37,7 +36,7 @@ def fit_cox(df: DataFrame, features: Sequence[str] | None = None, time: str = "t
         features = numeric_features(df, (time, event, "machineID", "model"))
     rows = df.select(F.col(time).cast("double").alias("time"), F.col(event).cast("int").alias("event"),
                      *[F.col(c).cast("double").alias(c) for c in features]).dropna()
-    profile = rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("time").alias("times"),
+    profile = rows.agg(F.count(F.lit(1)).alias("n"),
                        *[F.avg(c).alias(f"m_{c}") for c in features],
                        *[F.stddev_samp(c).alias(f"s_{c}") for c in features]).first()
     used = [c for c in features if (profile[f"s_{c}"] or 0.0) > 0.0]
@@ -47,15 +46,14 @@ def fit_cox(df: DataFrame, features: Sequence[str] | None = None, time: str = "t
     scaled = rows.select("time", "event", *[
         ((F.col(c) - profile[f"m_{c}"]) / profile[f"s_{c}"]).alias(f"x{i}") for i, c in enumerate(used)])
     scaled = materialise(scaled, "cox")
-    path = scan_path(scaled.select("time").distinct(), [], profile["times"], window_limit)
 
     beta = np.zeros(len(used))
-    likelihood, gradient, hessian = _derivatives(scaled, beta, path)
+    likelihood, gradient, hessian = _derivatives(scaled, beta)
     try:
         for _ in range(max_iterations):
             step = np.linalg.solve(hessian, gradient)
             while True:
-                trial = _derivatives(scaled, beta + step, path)
+                trial = _derivatives(scaled, beta + step)
                 if trial[0] >= likelihood - 1e-9 * abs(likelihood) or np.max(np.abs(step)) < tolerance:
                     break
                 step = step / 2
@@ -77,7 +75,7 @@ def fit_cox(df: DataFrame, features: Sequence[str] | None = None, time: str = "t
         (F.col("coef") + Z_95 * F.col("se")).alias("coef_upper_95"))
 
 
-def _derivatives(rows: DataFrame, beta: np.ndarray, path: list[list[str]]):
+def _derivatives(rows: DataFrame, beta: np.ndarray):
     """Log partial likelihood, its gradient and the observed information at ``beta``."""
     p = len(beta)
     x = [F.col(f"x{i}") for i in range(p)]
@@ -96,16 +94,12 @@ def _derivatives(rows: DataFrame, beta: np.ndarray, path: list[list[str]]):
         *[F.sum(m).alias(f"r_{k}") for k, m in moments.items()],
         *[F.sum(F.when(failed, m)).alias(f"f_{k}") for k, m in moments.items()],
     ).withColumn("group", F.lit(POOLED))
-    small = len(path) == 1
-    grid = grid_of(per_time if small else materialise(per_time, "cox_times"), path)
-    risk = grid.scan(grid.rows, {f"s_{k}": (f"r_{k}", SUM) for k in moments}, descending=True)
+    risk = scan(bucketed(per_time), {f"s_{k}": (f"r_{k}", SUM) for k in moments}, descending=True)
 
     # A time with d failures contributes d terms; they are laid out in bounded chunks.
     failures = risk.where(F.col("d") > 0)
     chunked = failures.withColumn("start", F.explode(F.expr(f"sequence(0L, d - 1, {TIE_CHUNK}L)")))
-    if not small:
-        chunked = chunked.repartition("time", "start")
-    terms = chunked.withColumn("tie", F.explode(F.expr(f"sequence(start, least(start + {TIE_CHUNK}L, d) - 1)")))
+    terms = chunked.repartition("time", "start").withColumn("tie", F.explode(F.expr(f"sequence(start, least(start + {TIE_CHUNK}L, d) - 1)")))
     share = F.col("tie") / F.col("d")
     left = {k: F.col(f"s_{k}") - share * F.col(f"f_{k}") for k in moments}
     means = terms.select("time", "tie", "d", "eta_failed", *[f"x_failed_{i}" for i in range(p)],

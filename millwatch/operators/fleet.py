@@ -15,11 +15,12 @@ HEATMAP_METRICS = ("global_health_score", "vibration", "error_count")
 
 
 def fleet_kpis(df: DataFrame, critical_below: float = 30, high_risk_below: float = 40) -> DataFrame:
+    """One row of key figures; ``df`` has one row per machine."""
     health = F.col("global_health_score")
     survival = F.avg("survival_at_30") if "survival_at_30" in df.columns else F.lit(None).cast("double")
     return df.agg(
-        F.count_distinct("machineID").alias("machines"), F.avg(health).alias("avg_health"),
-        F.count_distinct(F.when(health < critical_below, F.col("machineID"))).alias("critical_machines"),
+        F.count("machineID").alias("machines"), F.avg(health).alias("avg_health"),
+        F.count_if((health < critical_below) & F.col("machineID").isNotNull()).alias("critical_machines"),
         F.count_if(health < high_risk_below).alias("high_risk_machines"),
         (F.avg("event") * 100).alias("failure_rate"), survival.alias("avg_survival_30"))
 
@@ -85,11 +86,15 @@ def risk_heatmap(df: DataFrame, group: str = "model_label") -> DataFrame:
         half_even(F.avg(m), 2).alias(m) for m in HEATMAP_METRICS])
 
 
+def risk_heatmap_long(df: DataFrame, group: str = "model") -> DataFrame:
+    """The heat map with one row per metric and group value."""
+    return risk_heatmap(df, group).select(group, F.explode(F.array(*[
+        F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in HEATMAP_METRICS])).alias("e")).select(group, "e.*")
+
+
 def risk_heatmap_transposed(df: DataFrame, group: str = "model", values: Sequence[str] | None = None) -> DataFrame:
-    """The heat map with one row per metric and one column per group value."""
-    long = risk_heatmap(df, group).select(group, F.explode(F.array(*[
-        F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in HEATMAP_METRICS])).alias("e"))
-    return long.select(group, "e.*").groupBy("metric").pivot(group, list(values) if values else None).agg(F.max("value"))
+    """The heat map with one row per metric and one column per group value, all of them unless named."""
+    return risk_heatmap_long(df, group).groupBy("metric").pivot(group, list(values) if values else None).agg(F.max("value"))
 
 
 def machine_lookup(df: DataFrame, machine_ids: DataFrame | Iterable[int]) -> DataFrame:
@@ -152,11 +157,7 @@ def recent_alerts(df: DataFrame, below: float = 40, count: int = 10, probability
 
 
 def fleet_risk(df: DataFrame, level: str = "risk_level") -> DataFrame:
-    """Machines at the two highest levels, one row each with the size of their class.
-
-    The flat form of "distribution plus list of critical machines": the list is never
-    gathered into one value.
-    """
+    """Machines at the two highest levels, one row each: the list next to ``risk_distribution``."""
     return df.where(F.col(level).isin(risk.CRITIQUE, risk.ELEVE)).select("machineID", F.col(level).alias("risk_level"))
 
 

@@ -6,20 +6,25 @@ from pyspark.sql import DataFrame, functions as F
 
 from millwatch.functions.survival_stats import chi2_tail_1df
 from millwatch.operators.scan import SUM
-from millwatch.operators.survival import WINDOW_LIMIT, grid_of, observations, scan_path
+from millwatch.operators.survival import bucketed, observations, scan
 from millwatch.session import materialise
 
+# Pairs grow with the square of the groups; a column with more values than this is no grouping.
+MAX_GROUPS = 1000
+
 
 def logrank_pairs(df: DataFrame, group: str = "model", time: str = "time", event: str = "event",
-                  alpha: float = 0.05, window_limit: int = WINDOW_LIMIT) -> DataFrame:
+                  alpha: float = 0.05) -> DataFrame:
     """``(group_a, group_b, statistic, p_value, significant)`` for every pair of groups, a < b.
 
     Works on the distinct ``(group, time)`` points. Each point is sent to the pairs its group
     takes part in, one row per partner group, so a pair's table is the merge of two curves and never
-    a join of their rows. The list of groups is as long as one side of the requested result.
+    a join of their rows. More than ``MAX_GROUPS`` groups raise a ValueError.
     """
     points = materialise(observations(df, group, time, event), "grid")
-    groups = [r["group"] for r in points.select("group").distinct().collect()]
+    groups = [r["group"] for r in points.select("group").distinct().limit(MAX_GROUPS + 1).collect()]
+    if len(groups) > MAX_GROUPS:
+        raise ValueError(f"{group!r} has more than {MAX_GROUPS} values: too many to compare in pairs")
     names = F.lit(sorted(groups)) if groups else F.array().cast("array<string>")
     partnered = points.withColumn("partner", F.explode(F.filter(names, lambda x: x != F.col("group"))))
     first = F.col("group") < F.col("partner")
@@ -30,11 +35,7 @@ def logrank_pairs(df: DataFrame, group: str = "model", time: str = "time", event
         F.sum(F.when(first, F.col("m")).otherwise(0)).alias("m_a"), F.sum("m").alias("m"))
 
     pair = ["group_a", "group_b"]
-    rows = points.count() * max(len(groups) - 1, 1)
-    if rows > window_limit:
-        merged = materialise(merged, "pairs")
-    grid = grid_of(merged, scan_path(merged, pair, rows, window_limit))
-    risk = grid.settle(grid.scan(grid.rows, {"n_a": ("m_a", SUM), "n": ("m", SUM)}, keys=pair, descending=True))
+    risk = scan(bucketed(merged), {"n_a": ("m_a", SUM), "n": ("m", SUM)}, keys=pair, descending=True)
     d, n, n_a = (F.col(c).cast("double") for c in ("d", "n", "n_a"))
     expected = n_a * d / n
     variance = F.when(n > 1, expected * ((n - n_a) / n) * ((n - d) / (n - 1))).otherwise(0.0)

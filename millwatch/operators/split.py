@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from millwatch.config import TRAINING
 from millwatch.operators.scan import SUM, running
-from millwatch.operators.survival import WINDOW_LIMIT
+
+# A label with more values than this is no class.
+MAX_CLASSES = 1000
 
 
 def row_hash(id_column: str = "machineID", seed: int = TRAINING.seed) -> Column:
@@ -22,22 +24,20 @@ def random_split(df: DataFrame, test_fraction: float = TRAINING.test_fraction,
 
 
 def stratified_split(df: DataFrame, label: str = "event", test_fraction: float = TRAINING.test_fraction,
-                     id_column: str = "machineID", seed: int = TRAINING.seed,
-                     window_limit: int = WINDOW_LIMIT) -> DataFrame:
+                     id_column: str = "machineID", seed: int = TRAINING.seed) -> DataFrame:
     """Add ``is_test`` so that each class contributes its exact share of test rows.
 
-    Rows are ranked per class by hash. Large classes are ranked through 65 536 hash
-    buckets, so the majority class is never sorted in one task. Rows without a label get none.
+    Rows are ranked per class by hash, through 65 536 hash buckets, so the majority class is never
+    sorted in one task. Rows without a label get none; more than ``MAX_CLASSES`` classes raise a ValueError.
     """
     rows = df.where(F.col(label).isNotNull() & F.col(id_column).isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
+    sizes = {r[0]: r[1] for r in rows.groupBy(label).count().limit(MAX_CLASSES + 1).collect()}
+    if len(sizes) > MAX_CLASSES:
+        raise ValueError(f"{label!r} has more than {MAX_CLASSES} values: not a class label")
     quota = F.lit(0)
     for value, size in sizes.items():
         quota = F.when(F.col(label) == value, round(size * test_fraction)).otherwise(quota)
-    hashed = rows.withColumns({"_hash": row_hash(id_column, seed), "_one": F.lit(1).cast("long")})
-    path = [["_hash", id_column]]
-    if sum(sizes.values()) > window_limit:
-        hashed = hashed.withColumn("_bucket", F.shiftright("_hash", 16))
-        path = [["_bucket"], ["_hash", id_column]]
-    ranked = running(hashed, [label], path, {"_rank": ("_one", SUM)})
+    digest = row_hash(id_column, seed)
+    hashed = rows.withColumns({"_hash": digest, "_bucket": F.shiftright(digest, 16), "_one": F.lit(1).cast("long")})
+    ranked = running(hashed, [label], [["_bucket"], ["_hash", id_column]], {"_rank": ("_one", SUM)})
     return ranked.withColumn("is_test", F.col("_rank") <= quota).select(*df.columns, "is_test")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -14,27 +13,24 @@ from millwatch.session import materialise
 
 POOLED = "fleet"
 
-# Up to this many distinct (group, time) points one window per group is the cheaper plan;
-# beyond it the running sums go through bounded buckets. Both give the same curve.
-WINDOW_LIMIT = 2_000_000
+# Running sums go through buckets of 2^24 microseconds (17 s): a bucket holds that many distinct times at
+# most, and ten years of operation have 19 million buckets. Both bounds hold whatever the size of the fleet.
+BUCKET_BITS = 24
+PATH = [["_bucket"], ["time"]]
 
 # A product of many steps that should be exactly one half may land a few ulps above it.
 HALF_TOLERANCE = 1e-12
 
 
-@dataclass(frozen=True)
-class Grid:
-    """Materialised distinct ``(group, time)`` points and the way to scan them."""
-
-    rows: DataFrame
-    path: list[list[str]]
+def bucketed(points: DataFrame) -> DataFrame:
+    """Add the bucket of each point's ``time``, the outer level of ``PATH``."""
+    micros = F.floor(F.col("time") * F.lit(float(MICROS_PER_DAY)))
+    return points.withColumn("_bucket", F.shiftright(micros, BUCKET_BITS))
 
-    def scan(self, rows: DataFrame, measures, keys: Sequence[str] = ("group",), descending: bool = False) -> DataFrame:
-        return running(rows, list(keys), self.path, measures, descending)
 
-    def settle(self, rows: DataFrame) -> DataFrame:
-        """Store an intermediate result that several levels of a bucketed scan read."""
-        return rows if len(self.path) == 1 else materialise(rows, "scan")
+def scan(points: DataFrame, measures, keys: Sequence[str] = ("group",), descending: bool = False) -> DataFrame:
+    """Running measures over ``time`` per ``keys``; ``points`` are bucketed and distinct."""
+    return running(points, list(keys), PATH, measures, descending)
 
 
 def observations(df: DataFrame, group: str | None = "model", time: str = "time",
@@ -50,46 +46,17 @@ def observations(df: DataFrame, group: str | None = "model", time: str = "time",
     return rows.groupBy("group", "time").agg(F.sum("event").alias("d"), F.count(F.lit(1)).alias("m"))
 
 
-def estimation_grid(df: DataFrame, group: str | None = "model", time: str = "time", event: str = "event",
-                    min_rows: int = 2, window_limit: int = WINDOW_LIMIT) -> Grid:
-    """Store the distinct points once and choose the scan by their number.
-
-    Groups with fewer than ``min_rows`` observations are left out; the join that removes
-    them is planned only where such groups exist.
-    """
-    rows = materialise(observations(df, group, time, event), "grid")
-    sizes = rows.groupBy("group").agg(F.sum("m").alias("n"), F.count(F.lit(1)).alias("points"))
-    known = sizes.agg(F.sum("points").alias("points"), F.count_if(F.col("n") < min_rows).alias("lonely")).first()
-    if known["lonely"]:
-        rows = rows.join(sizes.where(F.col("n") < min_rows).select("group"), "group", "left_anti")
-    return grid_of(rows, scan_path(rows, ["group"], known["points"] or 0, window_limit))
-
+def estimation_grid(df: DataFrame, group: str | None = "model", time: str = "time", event: str = "event") -> DataFrame:
+    """The distinct points, stored once because the scans read them several times."""
+    return bucketed(materialise(observations(df, group, time, event), "grid"))
 
-def _bucketed(rows: DataFrame) -> DataFrame:
-    """Positions of a duration: buckets of 72 minutes, and of 65 ms inside those."""
-    micros = F.floor(F.col("time") * F.lit(float(MICROS_PER_DAY)))
-    return rows.withColumns({"_high": F.shiftright(micros, 32), "_low": F.shiftright(micros, 16)})
 
+def curve_of(points: DataFrame, variance: bool = False, min_rows: int = 2) -> DataFrame:
+    """Groups with fewer than ``min_rows`` observations are left out.
 
-def scan_path(points: DataFrame, keys: Sequence[str], count: int, window_limit: int = WINDOW_LIMIT) -> list[list[str]]:
-    """Shortest path whose windows all stay within ``window_limit`` rows.
-
-    One window per group for few points; one bucket level when the fullest 72-minute
-    bucket fits; otherwise a second level, whose buckets hold 65 536 microseconds each.
+    A group's size is the sum of the counts from both ends, so no row is joined to its group.
     """
-    if count <= window_limit:
-        return [["time"]]
-    sizes = _bucketed(points).groupBy(*keys, "_high").count()
-    fullest = sizes.agg(F.max("count")).first()[0] or 0
-    return [["_high"], ["time"]] if fullest <= window_limit else [["_high"], ["_low"], ["time"]]
-
-
-def grid_of(rows: DataFrame, path: list[list[str]]) -> Grid:
-    return Grid(rows if len(path) == 1 else _bucketed(rows), path)
-
-
-def curve_of(grid: Grid, variance: bool = False) -> DataFrame:
-    counted = grid.settle(grid.scan(grid.rows, {"n": ("m", SUM)}, descending=True))
+    counted = scan(points, {"n": ("m", SUM)}, descending=True)
     n, d = F.col("n"), F.col("d")
     steps = counted.withColumns({
         "_keep": 1 - d / n,
@@ -97,9 +64,10 @@ def curve_of(grid: Grid, variance: bool = False) -> DataFrame:
     measures = {"survival": ("_keep", PRODUCT)}
     if variance:
         measures["variance"] = ("_greenwood", SUM)
-    curve = grid.scan(steps, measures).select("group", "time", n.alias("n_at_risk"), d, *measures)
-    starts = (grid.rows.groupBy("group").agg(F.min("time").alias("first"), F.sum("m").alias("n_at_risk"))
-              .where(F.col("first") > 0)
+    curve = scan(steps, {**measures, "_upto": ("m", SUM)}).where(F.col("_upto") + n - F.col("m") >= min_rows).select(
+        "group", "time", n.alias("n_at_risk"), d, *measures)
+    starts = (points.groupBy("group").agg(F.min("time").alias("first"), F.sum("m").alias("n_at_risk"))
+              .where((F.col("first") > 0) & (F.col("n_at_risk") >= min_rows))
               .select("group", F.lit(0.0).alias("time"), "n_at_risk", F.lit(0).cast("long").alias("d"),
                       *[F.lit(1.0 if m == "survival" else 0.0).alias(m) for m in measures]))
     return curve.unionByName(starts)
@@ -111,7 +79,7 @@ def km_curve(df: DataFrame, group: str | None = "model", time: str = "time",
 
     Starts with a row (0, survival 1) unless the group has observations at time 0.
     """
-    return curve_of(estimation_grid(df, group, time, event, min_rows), variance)
+    return curve_of(estimation_grid(df, group, time, event), variance, min_rows)
 
 
 def km_confidence(df: DataFrame, group: str | None = "model", z: float = 1.96) -> DataFrame:

@@ -23,7 +23,6 @@ from millwatch.sources import driver_tables, readers, schemas, sinks
 from millwatch.streaming import telemetry as windows
 
 AS_OF = "2024-06-01 00:00:00"
-HEATMAP_MODELS = ("model1", "model2", "model3", "model4")
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -134,10 +133,17 @@ def normalize_columns(spark, folder):
                                                 "rotate", "pressure", "vibration")
 
 
+def _mixed_code(number: Column) -> Column:
+    """Texts that parse as int, and the ways in which texts do not: decimals, overflow, junk, blank."""
+    kind = number % 6
+    return (F.when(kind == 0, (number % 1000).cast("string")).when(kind == 1, "3.0").when(kind == 2, " -7 ")
+            .when(kind == 3, "99999999999").when(kind == 4, F.col("event_type")).otherwise(""))
+
+
 @query
 def convert_types(spark, folder):
     text = driver_tables.events(spark, folder).select(
-        F.col("event_id").cast("string"), F.col("value").cast("string"), F.col("event_type").alias("code"))
+        F.col("event_id").cast("string"), F.col("value").cast("string"), _mixed_code(F.col("event_id")).alias("code"))
     return prep.convert_types(text, {"event_id": "bigint", "value": "double", "code": "int"})
 
 
@@ -362,7 +368,7 @@ def data_quality_summary(spark, folder):
 
 @query
 def describe_numeric(spark, folder):
-    return _round(quality.describe_numeric(_fleet(spark, folder).drop("machineID")))
+    return _round(quality.describe_numeric(_fleet(spark, folder)))
 
 
 @query
@@ -437,12 +443,12 @@ def risk_heatmap(spark, folder):
 
 @query
 def risk_heatmap_t(spark, folder):
-    return fleet.risk_heatmap_transposed(_health(spark, folder), "model", HEATMAP_MODELS)
+    return fleet.risk_heatmap_long(_health(spark, folder), "model")
 
 
 @query
 def fleet_risk_distribution(spark, folder):
-    return fleet.risk_distribution(fleet.fleet_risk(_stored_health(spark, folder)))
+    return fleet.risk_distribution(_health(spark, folder))
 
 
 @query

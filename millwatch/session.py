@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,18 +22,10 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """Folder shared by all executors: ``spark.checkpoint.dir`` of the session.
-
-    A local temporary folder is used only where the setting is absent and Spark itself
-    runs inside this one process.
-    """
+    """Folder shared by all executors: ``spark.checkpoint.dir`` of the session."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared
-    if not spark.sparkContext.master.startswith("local"):
+    if not shared:
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    shared = tempfile.mkdtemp(prefix="millwatch-")
-    spark.conf.set("spark.checkpoint.dir", shared)
     return shared
 
 

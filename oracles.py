@@ -7,12 +7,49 @@ from __future__ import annotations
 
 import re
 
-from millwatch.operators.dossier import BAND_RECOMMENDATIONS
-from millwatch.operators.reports import (
-    EXECUTIVE_PROMPT, HIGH_ROI_RECOMMENDATION, STANDING_INSTRUCTIONS, STRATEGIC_RECOMMENDATIONS)
-
 ORACLES: dict[str, str] = {}
 
+# Report texts the results must hold.
+BAND_RECOMMENDATIONS = (
+    (30, ("🔴 ARRÊT IMMÉDIAT recommandé", "🔧 Intervention maintenance urgente nécessaire",
+          "📞 Contacter le responsable maintenance")),
+    (60, ("🟠 Planifier maintenance sous 7 jours", "🔍 Vérifier capteurs vibration et pression",
+          "📊 Analyser historique des erreurs")),
+    (None, ("🟢 Maintenance préventive standard", "👁️ Surveillance continue recommandée", "📈 Vérifier dans 30 jours")),
+)
+STRATEGIC_RECOMMENDATIONS = (
+    "Déployer le système d'alertes sur l'ensemble du parc critique",
+    "Former les équipes maintenance à l'utilisation des prédictions RUL",
+    "Réallouer 15% du budget maintenance curative vers la maintenance prédictive",
+    "Mettre en place un tableau de bord temps réel pour le suivi des KPIs",
+    "Étendre l'analyse prédictive aux nouveaux modèles de machines",
+)
+HIGH_ROI_RECOMMENDATION = "Augmenter l'investissement ML de 20% pour étendre la couverture"
+STANDING_INSTRUCTIONS = (
+    "Mettre à jour le stock de pièces détachées basé sur le calendrier",
+    "Documenter toutes les interventions pour amélioration des modèles",
+)
+EXECUTIVE_PROMPT = """Génère un rapport exécutif en français pour la direction.
+
+CONTEXTE:
+{context}
+
+DONNÉES:
+- Machines analysées: {total_machines}
+- Machines critiques: {critical_machines}
+- Santé moyenne: {avg_health}/100
+- ROI estimé: {roi_percent}%
+
+STRUCTURE DEMANDÉE:
+1. Titre percutant
+2. Résumé exécutif (3-4 lignes max)
+3. Points clés (chiffrés)
+4. Risques principaux
+5. Recommandations stratégiques
+6. Impact financier
+
+Ton: Professionnel, concis, orienté décision."""
+
 
 def dbl(value) -> str:
     return f"CAST({value} AS DOUBLE)"
@@ -240,7 +277,8 @@ oracle("parse_datetime", "SELECT event_id, CASE WHEN event_type = 'view' THEN NU
 
 # cleaning
 oracle("normalize_columns", "SELECT machineID, epoch_us(datetime) AS micros, volt, rotate, pressure, vibration FROM telemetry")
-oracle("convert_types", "SELECT event_id, value, CAST(NULL AS INT) AS code FROM events")
+oracle("convert_types", """SELECT event_id, value, CASE WHEN event_id % 6 = 0 THEN CAST(event_id % 1000 AS INT) WHEN event_id % 6 = 1 THEN 3
+    WHEN event_id % 6 = 2 THEN -7 END AS code FROM events""")
 oracle("fill_median", "SELECT machineID, " + ", ".join(
     f"{even(f'coalesce({c}, (SELECT median({dbl(c)}) FROM dropouts))')} AS {c}"
     for c in ("vibration", "pressure", "volt", "rotate", "error_count")) + " FROM dropouts")
@@ -368,7 +406,7 @@ oracle("validation_report", " UNION ALL ".join(
     + [f"SELECT 'survival_{n}', NULL, {even(e)} FROM dropouts" for n, e in CONSISTENCY.items()]))
 oracle("data_quality_summary", "SELECT " + " + ".join(f"count(*) - count({c})" for c in ALL)
        + f" AS total_missing, {len(ALL)} AS columns FROM dropouts")
-oracle("describe_numeric", stacked([c for c in ALL if c not in ("machineID", "model")], lambda c: (
+oracle("describe_numeric", stacked([c for c in ALL if c != "model"], lambda c: (
     f"SELECT '{c}' AS \"column\", count({c}) AS count, {even(f'avg({c})')} AS mean, {even(f'stddev_samp({c})')} AS std, "
     f"{even(f'min({c})')} AS min, {even(f'quantile_cont({dbl(c)}, 0.25)')} AS q25, {even(f'quantile_cont({dbl(c)}, 0.5)')} AS q50, "
     f"{even(f'quantile_cont({dbl(c)}, 0.75)')} AS q75, {even(f'max({c})')} AS max FROM survival")))
@@ -413,11 +451,9 @@ oracle("risk_distribution", "SELECT risk_level, count(*) AS machines FROM health
 HEAT = ", ".join(f"{even(f'avg({c})', 2)} AS {c}" for c in ("global_health_score", "vibration", "error_count"))
 oracle("risk_heatmap", f"SELECT model_label, {HEAT} FROM health GROUP BY model_label")
 oracle("risk_heatmap_t", stacked(("global_health_score", "vibration", "error_count"), lambda c: (
-    f"SELECT '{c}' AS metric, " + ", ".join(
-        f"{even(f'avg({c}) FILTER (model = {text(m)})', 2)} AS {m}" for m in ("model1", "model2", "model3", "model4"))
-    + " FROM health")))
+    f"SELECT model, '{c}' AS metric, {even(f'avg({c})', 2)} AS value FROM health WHERE model IS NOT NULL GROUP BY model")))
 HIGH = "risk_level IN ('CRITIQUE', 'ÉLEVÉ')"
-oracle("fleet_risk_distribution", f"SELECT risk_level, count(*) AS machines FROM health WHERE {HIGH} GROUP BY risk_level")
+oracle("fleet_risk_distribution", "SELECT risk_level, count(*) AS machines FROM health GROUP BY risk_level")
 oracle("critical_machines", f"SELECT machineID, risk_level FROM health WHERE {HIGH}")
 oracle("machine_lookup", "SELECT machineID, model, global_health_score FROM health WHERE age >= 15")
 oracle("machine_metrics", "SELECT machineID, " + ", ".join(f"{even(c)} AS {n}" for c, n in (

@@ -1,8 +1,10 @@
 """Alert rules at their limits, unknown readings, ordering, calendar and history."""
 
 import itertools
+from dataclasses import replace
 
 import pytest
+from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from millwatch.config import AlertRules
@@ -94,10 +96,9 @@ def test_calendar(spark):
     assert {r.machine_id for r in alerts.overdue(rows).collect()} == {0, 1}
 
 
-@pytest.mark.parametrize("window_limit", [10 ** 6, 0])
-def test_calendar_positions_of_a_crowded_week(spark, window_limit):
+def test_calendar_positions_of_a_crowded_week(spark):
     rows = _alert_rows(spark, [5.0] * 300 + [20.0] * 10)
-    placed = alerts.maintenance_calendar(rows, window_limit=window_limit).where("week = 1").orderBy("position").collect()
+    placed = alerts.maintenance_calendar(rows).where("week = 1").orderBy("position").collect()
     assert [(r.position, r.machine_id) for r in placed] == [(i + 1, i) for i in range(300)]
     top = alerts.calendar_top(rows).where("week = 1").orderBy("position").collect()
     assert [r.machine_id for r in top] == [0, 1, 2, 3, 4]
@@ -124,3 +125,15 @@ def test_custom_rules(spark):
     df = spark.createDataFrame([(1, "m", 1, 50.0, 55.0, 0.0, 0)], FLEET)
     assert alerts.alerts(df, AS_OF).first().alert_level == "MOYENNE"
     assert alerts.alerts(df, AS_OF, AlertRules(medium_above=0.5)).count() == 0
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(*[st.sampled_from([0.0, 0.2, 0.25, 0.45, 0.6, 0.8, 1.0])] * 3, st.permutations([5, 20, 60]))
+def test_alerts_are_the_scores_above_the_lowest_level(spark, critical, high, medium, limits):
+    """Whatever the rules, the filter loses no machine that the scoring puts above the lowest level."""
+    levels = tuple(replace(level, max_rul_days=days) for level, days in zip(AlertRules().levels, [*limits, 365]))
+    own = AlertRules(levels=levels, critical_above=critical, high_above=high, medium_above=medium)
+    rows = [(i, "m", i % 20, float(r), float(h), 0.0, 0) for i, (r, h) in enumerate(itertools.product((1, 10, 30, 100), (0, 30, 55, 70, 90, 100)))]
+    df = spark.createDataFrame(rows, FLEET)
+    want = {r.machineID: r.alert_level for r in alerts.score_risk(df, own).where("alert_level <> 'BASSE'").collect()}
+    assert {r.machine_id: r.alert_level for r in alerts.alerts(df, AS_OF, own).collect()} == want

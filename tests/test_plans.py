@@ -55,9 +55,8 @@ def test_top_alerts_limit_before_the_shuffle(table, plan_of):
 
 
 def test_large_scans_use_bounded_windows(table, plan_of):
-    grid = survival.estimation_grid(table, window_limit=0)
-    plan = plan_of(survival.curve_of(grid), "simple")
-    assert "_high" in plan and "_low" in plan
+    plan = plan_of(survival.km_curve(table), "simple")
+    assert not [line for line in plan.splitlines() if "Window [" in line and "_bucket" not in line]
 
 
 def test_queries_leave_no_cached_data(spark, table):
