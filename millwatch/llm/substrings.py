@@ -213,7 +213,7 @@ def _kept(words: list[bytes], ranges: list[dict]) -> list[bytes]:
 
 
 def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256, ranges): ``ranges`` are the removed word ranges, in order."""
+    """(doc_id, n_words, n_removed, kept_sha256, ranges): ``ranges`` are the removed word ranges, in order; they may overlap."""
     base = stored(seeds(docs, text), "seeds")
     ranges = repeats(base, docs, text).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("ranges"))
     ranges = stored(ranges, "ranges")
