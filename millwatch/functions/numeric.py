@@ -54,3 +54,13 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 def has(df: DataFrame, *columns: str) -> bool:
     return all(c in df.columns for c in columns)
+
+
+def leading_bits(value: Column, digits: int) -> Column:
+    """Bucket of a double that never decreases with it: binary exponent and leading ``digits`` bits, for any size and sign."""
+    size = F.abs(value)
+    exponent = F.floor(F.log2(size))
+    bucket = (exponent + 1100) * 2**digits + F.floor(size / F.pow(F.lit(2.0), exponent) * 2**digits)
+    beyond = F.lit(2300 * 2**digits)
+    finite = F.when(value == 0, F.lit(0)).otherwise(F.signum(value).cast("long") * bucket.cast("long"))
+    return F.when(size == float("inf"), F.signum(value).cast("long") * beyond).otherwise(finite).cast("long")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from typing import Iterable
+from typing import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -84,12 +84,13 @@ def recommendation_list(level: Column, found: Column, rul_median: Column) -> Col
     return F.concat(by_risk, F.transform(found, lambda a: a["recommendation"]), urgent)
 
 
-def analysed(df: DataFrame, rul: DataFrame | None, limits: AnomalyLimits = ANOMALIES) -> DataFrame:
+def analysed(df: DataFrame, rul: DataFrame | Mapping[str, Column] | None, limits: AnomalyLimits = ANOMALIES) -> DataFrame:
     """Fleet rows with remaining-life figures, anomalies and recommendations attached.
 
     ``df`` holds the unrounded health features and may hold ``risk_level``, ``confidence``,
     ``probabilities`` (from a classifier) and ``failure_pattern`` (from clustering); without
-    a classifier the level follows from the health score with confidence 0.8. Without ``rul``
+    a classifier the level follows from the health score with confidence 0.8. ``rul`` is a table by
+    machine or, for figures that hold for the whole fleet, columns to project. Without ``rul``
     nothing has been trained yet and risk and remaining life are the fixed "unknown" figures.
     """
     predicted = "confidence" in df.columns
@@ -108,8 +109,10 @@ def analysed(df: DataFrame, rul: DataFrame | None, limits: AnomalyLimits = ANOMA
     if rul is None:
         out = out.withColumns({c: F.lit(UNTRAINED[c]) for c in (
             "rul_median", "survival_30d", "survival_90d", "current_survival_time")})
-    else:
+    elif isinstance(rul, DataFrame):
         out = out.join(rul, "machineID", "left")
+    else:
+        out = out.withColumns(dict(rul))
     return out.withColumn("recommendations", recommendation_list(
         F.col("risk_level"), F.col("anomalies"), F.col("rul_median")))
 

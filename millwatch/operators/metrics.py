@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from millwatch.functions.numeric import leading_bits
 from millwatch.operators.scan import SUM, running
 from millwatch.session import materialise
 
@@ -48,20 +49,12 @@ def classification_report(df: DataFrame, label: str = "label", prediction: str =
     return scored.select(F.col("class").alias("scope"), *metrics, "support").unionByName(averages)
 
 
-def _magnitude(score: Column, digits: int) -> Column:
-    """Non-decreasing bucket of a score of any size and sign: its binary exponent and leading ``digits`` bits."""
-    size = F.abs(score)
-    exponent = F.floor(F.log2(size))
-    bucket = (exponent + 1100) * 2**digits + F.floor(size / F.pow(F.lit(2.0), exponent) * 2**digits)
-    return F.when(score == 0, 0).otherwise(F.signum(score) * bucket).cast("long")
-
-
 def roc_auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """Exact area under the ROC curve, ties counted half; NULL when only one class is present."""
     by_score = materialise(df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(
         F.lit("all").alias("group"), F.col(score).cast("double").alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("positive"), F.count_if(F.col(label) != 1).alias("negative")), "scores")
-    by_score = by_score.withColumns({"_high": _magnitude(F.col("score"), 10), "_low": _magnitude(F.col("score"), 28)})
+    by_score = by_score.withColumns({"_high": leading_bits(F.col("score"), 10), "_low": leading_bits(F.col("score"), 28)})
     ranked = running(by_score, ["group"], [["_high"], ["_low"], ["score"]], {"upto": ("negative", SUM)})
     below = F.col("upto") - F.col("negative") + F.col("negative") / 2
     totals = ranked.agg(F.sum("positive").alias("p"), F.sum("negative").alias("n"),

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from typing import Sequence
+from functools import cached_property
+from typing import Callable, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
@@ -21,6 +22,7 @@ from millwatch.operators.metrics import classification_report, regression_metric
 from millwatch.operators.split import random_split, stratified_split
 from millwatch.session import materialise
 
+# A forest needs a limit here; it stands in the metrics. Deeper trees cost one more pass over the rows per level.
 DEFAULT_DEPTH = 10
 
 # Hyper-parameter grids. Depth 30 is Spark's limit and stands for "unlimited".
@@ -30,10 +32,24 @@ REGRESSOR_GRID = {"numTrees": (100, 200), "maxDepth": (10, 20, 30)}
 
 @dataclass(frozen=True)
 class Trained:
+    """A fitted model; the hold-out is scored and measured only when its figures are asked for."""
+
+    name: str
     model: PipelineModel
-    metrics: DataFrame
     importance: DataFrame
-    predictions: DataFrame
+    _tested: DataFrame
+    _measure: Callable[[DataFrame], DataFrame]
+
+    @cached_property
+    def predictions(self) -> DataFrame:
+        return materialise(self._tested, f"{self.name}_test")
+
+    @cached_property
+    def metrics(self) -> DataFrame:
+        """Rows ``(model, metric, label, value)``, the depth limit of the forest among them."""
+        depth = self.model.stages[-1].getMaxDepth()
+        limit = self._tested.sparkSession.range(1).select(F.lit(depth).alias("max_depth"))
+        return self._measure(self.predictions).unionByName(_long(limit, self.name))
 
 
 def optimal_features(df: DataFrame) -> list[str]:
@@ -98,12 +114,15 @@ def train_classifier(df: DataFrame, features: Sequence[str] | None = None, targe
         model = _search(pipeline, forest, grid, scorer, settings, parallelism).fit(train).bestModel
     else:
         model = pipeline.fit(train)
-    tested = materialise(model.transform(rows.where("is_test")).select(
+    tested = model.transform(rows.where("is_test")).select(
         "machineID", F.col(target).cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"),
-        _positive_probability().alias("score")), "classifier_test")
-    metrics = (_long(classification_report(tested), "classifier", "scope")
-               .unionByName(_long(roc_auc(tested), "classifier")).unionByName(_sizes(rows, "classifier")))
-    return Trained(model, metrics, _importance(model, "classifier", features, df), tested)
+        _positive_probability().alias("score"))
+
+    def measure(scored: DataFrame) -> DataFrame:
+        return (_long(classification_report(scored), "classifier", "scope")
+                .unionByName(_long(roc_auc(scored), "classifier")).unionByName(_sizes(rows, "classifier")))
+
+    return Trained("classifier", model, _importance(model, "classifier", features, df), tested, measure)
 
 
 def _positive_probability():
@@ -128,10 +147,12 @@ def train_regressor(df: DataFrame, features: Sequence[str] | None = None, target
         model = _search(pipeline, forest, grid, scorer, settings, parallelism).fit(train).bestModel
     else:
         model = pipeline.fit(train)
-    tested = materialise(model.transform(rows.where("is_test")).select(
-        "machineID", F.col(target).alias("label"), "prediction"), "regressor_test")
-    metrics = _long(regression_metrics(tested), "regressor").unionByName(_sizes(rows, "regressor"))
-    return Trained(model, metrics, _importance(model, "regressor", features, df), tested)
+    tested = model.transform(rows.where("is_test")).select("machineID", F.col(target).alias("label"), "prediction")
+
+    def measure(scored: DataFrame) -> DataFrame:
+        return _long(regression_metrics(scored), "regressor").unionByName(_sizes(rows, "regressor"))
+
+    return Trained("regressor", model, _importance(model, "regressor", features, df), tested, measure)
 
 
 def performance_summary(trained: Sequence[Trained]) -> DataFrame:

@@ -3,14 +3,18 @@
 Pass one brackets every requested rank with an approximate percentile, whose rank error is
 bounded. Pass two counts the distinct values inside the brackets and folds everything
 outside into one counter per gap, so the final running count covers only the few rows
-around each rank whatever the size of the column or of a group.
+around each rank, and goes through buckets of bounded size.
 """
 
 from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from millwatch.functions.numeric import leading_bits
+from millwatch.operators.scan import SUM, running
+from millwatch.session import materialise
 
 ACCURACY = 10_000
 
@@ -19,9 +23,9 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
                     by: Sequence[str] = (), accuracy: int = ACCURACY) -> DataFrame:
     """Rows ``(*by, column, probability, value)`` with linear interpolation between ranks.
 
-    NULLs are ignored; a column without values yields NULL. The last step orders about
-    8 / ``accuracy`` of a group's distinct values per rank; raise ``accuracy`` for groups of many
-    billions of rows.
+    NULLs are ignored; a column without values yields NULL. About 8 / ``accuracy`` of a group's distinct
+    values per rank are left for the last step, which counts them through buckets of their
+    leading bits, so no task sees more of them than one bucket holds.
     """
     by = list(by)
     probabilities = sorted(set(float(p) for p in probabilities))
@@ -33,7 +37,8 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
         F.percentile_approx(c, bounds, accuracy).alias(f"_bounds_{c}") for c in columns])
 
     if by:
-        bracketed = _join_groups(source, brackets, by)
+        # Stored, so the planner knows that it has one row per group and need not shuffle the source by it.
+        bracketed = _join_groups(source, materialise(brackets, "brackets"), by)
     else:
         known = brackets.first()
         bracketed = source.withColumns({
@@ -46,9 +51,16 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
     counted = folded.groupBy(*by, "column", "slot").agg(
         F.count("value").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
 
-    group = Window.partitionBy(*by, "column")
-    upto = group.orderBy(F.asc_nulls_first("slot")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counted.withColumns({"upto": F.sum("n").over(upto), "total": F.sum("n").over(group)})
+    # Keys that may be NULL are joined as texts; the slot of the NULLs comes first and counts nothing.
+    names = [f"_key_{i}" for i in range(len(by))]
+    keyed = counted.withColumns({
+        **{k: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for k, c in zip(names, by)},
+        "_value": F.coalesce("slot.value", F.lit(float("-inf"))), "_gap": F.coalesce("slot.gap", F.lit(-1))})
+    keyed = keyed.withColumns({"_high": leading_bits(F.col("_value"), 10), "_low": leading_bits(F.col("_value"), 28)})
+    ranked = running(keyed, [*names, "column"], [["_high"], ["_low"], ["_value", "_gap"]], {"upto": ("n", SUM)})
+    totals = counted.groupBy(*by, "column").agg(F.sum("n").alias("total"))
+    totals = totals.withColumns({k: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for k, c in zip(names, by)})
+    ranked = ranked.join(totals.select(*names, "column", "total"), [*names, "column"])
     picks = []
     for p in probabilities:
         position = (F.col("total") - 1) * F.lit(p)

@@ -287,7 +287,7 @@ def _alert_card() -> Column:
 def maintenance_sections(alert_rows: DataFrame, parts: DataFrame | None = None) -> DataFrame:
     """Rows ``(section, major, minor, line)`` of the operational report, section by section.
 
-    ``parts`` is an optional inventory ``(part, quantity, urgency)``.
+    ``parts`` is an optional inventory ``(position, part, quantity, urgency)``, reported by position.
     """
     levels = alerting.nonzero_levels(alert_rows).select(
         F.lit("levels").alias("section"), F.col("priority").alias("major"), F.lit(0).alias("minor"),
@@ -307,7 +307,7 @@ def maintenance_sections(alert_rows: DataFrame, parts: DataFrame | None = None)
     out = levels.unionByName(critical).unionByName(calendar).unionByName(orders)
     if parts is not None:
         out = out.unionByName(parts.select(
-            F.lit("parts").alias("section"), F.lit(0).alias("major"), F.lit(0).alias("minor"),
+            F.lit("parts").alias("section"), F.lit(0).alias("major"), F.col("position").cast("int").alias("minor"),
             F.format_string(PART_LINE, "part", F.col("quantity").cast("string"), "urgency").alias("line")))
     return out
 

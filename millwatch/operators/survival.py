@@ -132,7 +132,7 @@ def km_summary(df: DataFrame, group: str | None = "model",
 def add_survival_at_horizons(df: DataFrame, curve: DataFrame, group: str = "model",
                              horizons: Sequence[float] = config.HORIZONS) -> DataFrame:
     """Give every machine its group's survival at the horizons; NULL where the group has no curve."""
-    points = survival_at(curve, horizons)
+    points = materialise(survival_at(curve, horizons), "horizons")  # the planner knows its size, one row per group
     return df.join(points.withColumnRenamed("group", group), group, "left").select(
         *df.columns, *[f"survival_at_{h}" for h in horizons])
 
@@ -145,8 +145,8 @@ def add_survival_at_time(df: DataFrame, curve: DataFrame, group: str = "model",
     return df.join(points, [group, time], "left").select(*df.columns, "survival_at_time")
 
 
-def rul_estimates(df: DataFrame) -> DataFrame:
-    """Pooled remaining-life figures next to each machine's current time.
+def rul_columns(df: DataFrame) -> dict[str, Column]:
+    """Pooled remaining-life figures and the machine's current time, as columns over the rows of ``df``.
 
     Constants stand in where the fleet has no observation to fit a curve on.
     """
@@ -157,7 +157,10 @@ def rul_estimates(df: DataFrame) -> DataFrame:
         half_even(_horizon_value(30, last, "carry"), 3).alias("s30"),
         half_even(_horizon_value(90, last, "carry"), 3).alias("s90")).first()
     median, s30, s90 = (pooled["median"], pooled["s30"], pooled["s90"]) if pooled["points"] else (100.0, 0.8, 0.6)
-    return df.select(
-        "machineID", F.lit(median).cast("double").alias("rul_median"),
-        F.lit(s30).alias("survival_30d"), F.lit(s90).alias("survival_90d"),
-        F.col("time").alias("current_survival_time"))
+    return {"rul_median": F.lit(median).cast("double"), "survival_30d": F.lit(s30), "survival_90d": F.lit(s90),
+            "current_survival_time": F.col("time")}
+
+
+def rul_estimates(df: DataFrame) -> DataFrame:
+    """``rul_columns`` as a table by machine."""
+    return df.select("machineID", *[c.alias(name) for name, c in rul_columns(df).items()])

@@ -66,7 +66,7 @@ def _stored_alerts(spark: SparkSession, folder: str) -> DataFrame:
 
 def _analysis(spark: SparkSession, folder: str) -> DataFrame:
     rows = _fleet(spark, folder)
-    return dossiers.analysed(features.raw_health_features(rows), survival.rul_estimates(rows))
+    return dossiers.analysed(features.raw_health_features(rows), survival.rul_columns(rows))
 
 
 def _with_dropouts(rows: DataFrame) -> DataFrame:
@@ -324,9 +324,17 @@ def logrank_pairs(spark, folder):
         "group_a", "group_b", "statistic", "significant"))
 
 
+@query
+def logrank_p_value(spark, folder):
+    """The p value as the statistic it stands for in a table of chi-square quantiles: its band of significance."""
+    p = F.col("p_value")
+    band = F.when(p < 0.001, "<0.001").when(p < 0.01, "<0.01").when(p < 0.05, "<0.05").when(p < 0.1, "<0.1").otherwise(">=0.1")
+    return logrank.logrank_pairs(_fleet(spark, folder)).select("group_a", "group_b", band.alias("p_band"))
+
+
 @query
 def cox_fit(spark, folder):
-    return cox.fit_cox(_fleet(spark, folder), ["vibration", "pressure", "age", "error_count"])
+    return cox.fit_cox(_fleet(spark, folder))
 
 
 @query
@@ -614,6 +622,19 @@ def machine_dossier(spark, folder):
         "indicateurs_techniques.erreurs_cumulees", "indicateurs_techniques.maintenances_realisees"))
 
 
+@query
+def trained_dossier(spark, folder):
+    """Dossiers with the classifier's level and probabilities and the failure pattern."""
+    rows = _fleet(spark, folder)
+    labelled = materialise(features.add_risk_level(features.raw_health_features(rows)), "health")
+    patterned = ml.assign_failure_patterns(labelled, ml.train_failure_patterns(labelled))
+    predicted = ml.predict_risk(patterned, ml.train_risk_classifier(labelled))
+    cards = dossiers.dossier(dossiers.analysed(predicted, survival.rul_columns(rows)))
+    return _round(cards.select(
+        "machineID", "identification.pattern_failure", "prediction_risque.risk_level", "prediction_risque.confidence",
+        F.size("prediction_risque.probabilities").alias("levels"), "estimation_rul.rul_median"))
+
+
 @query
 def context_string(spark, folder):
     rows = dossiers.dossier(_analysis(spark, folder))
@@ -647,7 +668,68 @@ def instructions(spark, folder):
 
 @query
 def maintenance_report(spark, folder):
-    return reports.maintenance_sections(_stored_alerts(spark, folder))
+    parts = spark.read.parquet(f"{folder}/part.parquet").select(
+        F.col("p_partkey").alias("position"), F.col("p_name").alias("part"), F.col("p_size").alias("quantity"),
+        F.when(F.col("p_size") < 10, "HAUTE").otherwise("BASSE").alias("urgency"))
+    return reports.maintenance_sections(_stored_alerts(spark, folder), parts)
+
+
+@query
+def executive_report(spark, folder):
+    rows = _stored_health(spark, folder)
+    return reports.executive_report(rows, materialise(economics.fleet_economics(rows), "economics"),
+                                    materialise(alerting.alerts(rows, AS_OF), "alerts"), AS_OF)
+
+
+@query
+def model_alerts(spark, folder):
+    """Alerts whose probability and remaining life come from the forests."""
+    rows = _stored_health(spark, folder)
+    scored = materialise(ml.score_fleet(rows, ml.train_classifier(rows).model, ml.train_regressor(rows).model), "scored")
+    return _round(alerting.alerts(scored, AS_OF, predicted_probability="pred_proba", predicted_rul="pred_rul").select(
+        "machine_id", "alert_level", "rul_days", "prob_failure", "risk_score"))
+
+
+@query
+def model_decision_pack(spark, folder):
+    rows = _stored_health(spark, folder)
+    scored = ml.score_fleet(rows, ml.train_classifier(rows).model)
+    return reports.decision_pack(scored, economics.fleet_economics(rows), "pred_proba")
+
+
+@query
+def alert_history(spark, folder):
+    """Two days of alerts appended to a history and read back, counted by day and level."""
+    rows = _stored_health(spark, folder)
+    path = f"{work_dir(spark).rstrip('/')}/millwatch/history-{uuid.uuid4().hex}"
+    for day in ("2024-06-01 00:00:00", "2024-06-02 00:00:00"):
+        alerting.append_history(alerting.alerts(rows, day), path)
+    return spark.read.parquet(path).groupBy(F.col("as_of_date").cast("string").alias("day"), "alert_level").agg(
+        F.count("*").alias("alerts"))
+
+
+@query
+def alerts_total(spark, folder):
+    """Alerts by model with the total next to the counts."""
+    return _alerts(spark, folder).rollup("model").agg(F.count("*").alias("alerts"))
+
+
+@query
+def technical_prompt(spark, folder):
+    rows = _stored_health(spark, folder)
+    figures = ml.train_classifier(rows).metrics.unionByName(ml.train_regressor(rows).metrics)
+    return reports.technical_prompt(figures, quality.fleet_statistics(rows))
+
+
+@query
+def statistics_bundle(spark, folder):
+    """Sizes and keys of every table of the bundle."""
+    bundle = quality.statistics(_stored_health(spark, folder))
+    out = None
+    for name, table in bundle.items():
+        part = table.select(F.lit(name).alias("part"), F.col(table.columns[0]).cast("string").alias("key"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query
@@ -660,7 +742,7 @@ def decision_pack(spark, folder):
 def report_prompts(spark, folder):
     rows = _fleet(spark, folder)
     health = features.raw_health_features(rows)
-    cards = dossiers.dossier(dossiers.analysed(health, survival.rul_estimates(rows)))
+    cards = dossiers.dossier(dossiers.analysed(health, survival.rul_columns(rows)))
     return reports.machine_prompts(cards, economics.fleet_economics(rows), fleet.fleet_kpis(health))
 
 
@@ -716,14 +798,40 @@ def rf_regressor(spark, folder):
     return ml.train_regressor(_health(spark, folder)).metrics
 
 
+def _importances(rows: DataFrame) -> DataFrame:
+    return ml.train_classifier(rows).importance.unionByName(ml.train_regressor(rows).importance)
+
+
+@query
+def split_sizes(spark, folder):
+    """What the forests are trained and tested on, by label."""
+    rows = _stored_health(spark, folder)
+    stratified = split.stratified_split(rows).groupBy(F.lit("classifier").alias("model"), F.col("event").alias("label"), "is_test")
+    random = split.random_split(rows).groupBy(F.lit("regressor").alias("model"), F.lit(None).cast("int").alias("label"), "is_test")
+    return stratified.agg(F.count("*").alias("machines")).unionByName(random.agg(F.count("*").alias("machines")))
+
+
+@query
+def performance_summary(spark, folder):
+    rows = _stored_health(spark, folder)
+    return _round(ml.performance_summary([ml.train_classifier(rows), ml.train_regressor(rows)]))
+
+
+@query
+def classifier_grid(spark, folder):
+    """Cross-validated search over a part of ``ml.CLASSIFIER_GRID``; Spark's forests have no minimum split size."""
+    grid = {name: values[:2] for name, values in ml.CLASSIFIER_GRID.items()}
+    return _round(ml.train_classifier(_stored_health(spark, folder), grid=grid).metrics)
+
+
 @query
 def feature_importance(spark, folder):
-    return ml.train_regressor(_health(spark, folder)).importance
+    return _importances(_stored_health(spark, folder))
 
 
 @query
 def top_features(spark, folder):
-    return ml.top_features(ml.train_regressor(_health(spark, folder)).importance)
+    return ml.top_features(_importances(_stored_health(spark, folder)))
 
 
 @query
@@ -737,7 +845,13 @@ def risk_classifier(spark, folder):
 def risk_prediction(spark, folder):
     rows = features.add_risk_level(_raw_health(spark, folder))
     predicted = ml.predict_risk(rows, ml.train_risk_classifier(rows))
-    return _round(predicted.select("machineID", "risk_level", "confidence"))
+    return _round(predicted.select("machineID", "risk_level", "confidence", F.explode("probabilities").alias("level", "probability")))
+
+
+@query
+def predicted_risk_distribution(spark, folder):
+    rows = features.add_risk_level(_raw_health(spark, folder))
+    return fleet.risk_distribution(ml.predict_risk(rows, ml.train_risk_classifier(rows)))
 
 
 @query

@@ -26,7 +26,7 @@ def fleet_table(logs: RawLogs) -> DataFrame:
 def load_and_prepare(spark: SparkSession, path: str) -> DataFrame:
     """Load a survival table, reject it when columns are missing, and enrich it."""
     configure(spark)
-    return features.enrich(require_columns(read_survival_table(spark, path)))
+    return features.enrich(materialise(require_columns(read_survival_table(spark, path)), "survival"))
 
 
 def train_job(spark: SparkSession, source: str, target: str, classifier_grid: dict | None = None,

@@ -39,3 +39,18 @@ def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     target = path or f"{work_dir(spark).rstrip('/')}/millwatch/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(target)
     return spark.read.schema(df.schema).parquet(target)
+
+
+def expire_scratch(spark: SparkSession, hours: float = 24.0) -> int:
+    """Retention job: delete stored intermediate tables untouched for ``hours``; returns how many.
+
+    Results read those tables lazily, so run it when no query that began earlier is still in use.
+    """
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{work_dir(spark).rstrip('/')}/millwatch")
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(folder):
+        return 0
+    limit = jvm.java.lang.System.currentTimeMillis() - int(hours * 3_600_000)
+    old = [entry.getPath() for entry in store.listStatus(folder) if entry.getModificationTime() <= limit]
+    return sum(bool(store.delete(path, True)) for path in old)

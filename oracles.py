@@ -597,7 +597,10 @@ oracle("maintenance_report", f"""
     SELECT 'calendar', week, position, '  • Machine ' || machine_id || ' - ' || model || chr(10) || '    RUL: ' || {shown('rul_days')}
            || 'j | Deadline: ' || maintenance_deadline FROM placed WHERE position <= 5
     UNION ALL
-    SELECT 'instruction', 0, row_number() OVER (ORDER BY place), '  ' || row_number() OVER (ORDER BY place) || '. ' || line FROM orders""", {
+    SELECT 'instruction', 0, row_number() OVER (ORDER BY place), '  ' || row_number() OVER (ORDER BY place) || '. ' || line FROM orders
+    UNION ALL
+    SELECT 'parts', 0, p_partkey, '  ' || p_name || ': ' || p_size || ' unités - ' || CASE WHEN p_size < 10 THEN 'HAUTE' ELSE 'BASSE' END
+    FROM part""", {
     "tally": "SELECT count(*) FILTER (alert_level = 'CRITIQUE') AS c, count(*) FILTER (alert_level = 'HAUTE') AS h FROM alerts",
     "orders": f"""
         SELECT 1 AS place, 'Intervenir sur les ' || c || ' machines CRITIQUES dans les 48h' AS line FROM tally WHERE c > 0
@@ -676,3 +679,12 @@ oracle("error_sessions", f"""
     FROM (SELECT *, sum(fresh) OVER (PARTITION BY machineID ORDER BY datetime) AS burst FROM (
               SELECT *, CASE WHEN datetime - lag(datetime) OVER (PARTITION BY machineID ORDER BY datetime) <= INTERVAL 12 HOUR
                              THEN 0 ELSE 1 END AS fresh FROM errors)) GROUP BY machineID, burst""")
+oracle("alerts_total", "SELECT model, count(*) AS alerts FROM alerts GROUP BY ROLLUP (model)")
+oracle("alert_history", "SELECT day, alert_level, count(*) AS alerts FROM alerts, (VALUES ('2024-06-01'), ('2024-06-02')) d(day) "
+       "GROUP BY day, alert_level")
+ORACLES["logrank_p_value"] = f"""SELECT group_a, group_b, CASE WHEN statistic > 10.827566170662733 THEN '<0.001'
+    WHEN statistic > 6.6348966010212145 THEN '<0.01' WHEN statistic > 3.841458820694124 THEN '<0.05'
+    WHEN statistic > 2.705543454095404 THEN '<0.1' ELSE '>=0.1' END AS p_band FROM ({ORACLES['logrank_pairs']})"""
+ORACLES["split_sizes"] = f"""SELECT 'classifier' AS model, event AS label, is_test, count(*) AS machines
+    FROM ({ORACLES['stratified_split']}) GROUP BY event, is_test
+    UNION ALL SELECT 'regressor', NULL, is_test, count(*) FROM ({ORACLES['random_split']}) GROUP BY is_test"""

@@ -178,7 +178,7 @@ def test_executive_report(spark, rows, health, tmp_path):
 
 def test_maintenance_report(spark, health):
     rows = alerts.alerts(health, AS_OF)
-    parts = spark.createDataFrame([("courroie", 3, "HAUTE")], "part string, quantity int, urgency string")
+    parts = spark.createDataFrame([(1, "courroie", 3, "HAUTE")], "position int, part string, quantity int, urgency string")
     lines = text_of(reports.maintenance_report(rows, AS_OF, parts))
     assert "  courroie: 3 unités - HAUTE" in lines
     assert any(line.startswith("\nSEMAINE_1") for line in lines)

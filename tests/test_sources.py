@@ -166,3 +166,9 @@ def test_profile(spark):
     assert "by_model" in quality.statistics(df.withColumnRenamed("s", "model"))
     bare = quality.fleet_statistics(df).first()
     assert (bare.total_machines, bare.unique_models, bare.avg_health) == (5, 0, 0)
+
+
+def test_expired_scratch_goes_and_recent_scratch_stays(spark):
+    from millwatch.session import expire_scratch, materialise
+    kept = materialise(spark.range(3), "scratch-test")
+    assert expire_scratch(spark, hours=24) == 0 and kept.count() == 3
