@@ -8,10 +8,11 @@ its whole word sequence if that is shorter. Documents are linked when the Jaccar
 2. Equal word sequences are one class; only its smallest id goes on.
 3. Candidates share a band key. At similarity 0.75 a pair misses all bands with probability 5e-6.
    First every member of a bucket is paired with the bucket's smallest; links join components. Then members
-   of one bucket that are still in different components are paired. So a group of many near
-   copies costs links in proportion to its size, and no pair that could join two components is left out.
+   of one bucket that are still in different components are paired, in the first band they share. So a group
+   of many near copies costs links in proportion to its size, and no pair that could join two components is left out.
 4. A candidate goes on if the similarity estimated from the bit planes, corrected for accidental
-   agreement of low bits, is within five standard errors of the threshold or above.
+   agreement of low bits, is within five standard errors of the threshold or above. Of the second kind of pairs there
+   may be many just below the threshold, so these need a second estimate from 1024 minima.
 5. Links are confirmed on the full sets of words. Components are the classes of the result.
 
 Texts that are NULL or have no word have an empty set and are linked with nothing. Rows without id are returned,
@@ -33,16 +34,17 @@ from .graph import components
 SHINGLE = 5
 MINIMA, ROWS, BITS = 128, 4, 2
 NUMERATOR, DENOMINATOR = 75, 100
-#: Estimated similarity from which a candidate is confirmed: the threshold less five standard errors.
-ESTIMATE = 0.52
+FINE = 1024
+#: Estimated similarity from which a candidate goes on, by minima: the threshold less five standard errors.
+ESTIMATE = {MINIMA: 0.52, FINE: 0.66}
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SIGNATURE = "doc_id long, n_shingles long, class binary, low array<long>, high array<long>, bands array<long>"
 #: Bits of the filter that thins out texts before they are shuffled; its size does not grow with the data.
 FILTER_BITS = 24
 
 _SEED = np.random.default_rng(20240501)
-MULTIPLIERS = _SEED.integers(1, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-OFFSETS = _SEED.integers(0, 1 << 63, MINIMA, dtype=np.uint64)
+MULTIPLIERS = _SEED.integers(1, 1 << 63, FINE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+OFFSETS = _SEED.integers(0, 1 << 63, FINE, dtype=np.uint64)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -98,15 +100,25 @@ class Shingler:
         return out
 
 
-def minima(shingles: np.ndarray, block: int = 1 << 14) -> np.ndarray:
-    out = np.full(MINIMA, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for i in range(0, len(shingles), block):
-        part = shingles[i:i + block]
-        for k in range(MINIMA):
-            out[k] = min(out[k], (part * MULTIPLIERS[k] + OFFSETS[k]).min())
+def minima(shingles: np.ndarray, count: int = MINIMA, block: int = 1 << 16) -> np.ndarray:
+    """The minimum of each of ``count`` hash functions, a block of products at a time."""
+    out = np.full(count, np.iinfo(np.uint64).max, dtype=np.uint64)
+    multipliers, offsets = MULTIPLIERS[:count, None], OFFSETS[:count, None]
+    for i in range(0, len(shingles), block // count):
+        np.minimum(out, (shingles[i:i + block // count] * multipliers + offsets).min(axis=1), out=out)
     return out
 
 
+def planes(least: np.ndarray) -> list[np.ndarray]:
+    """Low bits of the minima [text, function], one packed plane per bit."""
+    bits = mix(least) >> np.uint64(64 - BITS)
+    return [np.packbits((bits >> np.uint64(k)) & np.uint64(1) == 1, axis=1, bitorder="little").view(np.int64) for k in range(BITS)]
+
+
+def lists(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.ravel(), pa.int64()))
+
+
 def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row per document: set size, class of equal word sequences, bit planes and band keys."""
     def sign(batches):
@@ -119,30 +131,39 @@ def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
                 found = shingler.sets(each)
                 least = np.array([minima(s) for s in found], dtype=np.uint64).reshape(-1, MINIMA)
                 keys = mix((least.reshape(len(found), -1, ROWS) * band).sum(axis=2, dtype=np.uint64) + number)
-                bits = mix(least) >> np.uint64(64 - BITS)
-                planes = [np.packbits((bits >> np.uint64(k)) & np.uint64(1) == 1, axis=1, bitorder="little").view(np.int64) for k in range(BITS)]
                 has = np.array([len(s) > 0 for s in found])
                 each_class = [hashlib.blake2b(b" ".join(t.split()), digest_size=16).digest() if h else None for t, h in zip(each, has, strict=True)]
-                lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * m.shape[1], pa.int32()), pa.array(m.ravel(), pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), pa.array([len(s) for s in found], pa.int64()), pa.array(each_class, pa.binary()),
-                     *[lists(p) for p in planes], lists(keys.view(np.int64))],
+                     *[lists(p) for p in planes(least)], lists(keys.view(np.int64))],
                     names=["doc_id", "n_shingles", "class", "low", "high", "bands"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col(text)).mapInArrow(sign, SIGNATURE)
 
 
-def estimate(one: str, other: str) -> Column:
+def fine_planes(by_id: DataFrame) -> DataFrame:
+    """(id, fine_low, fine_high): bit planes of ``FINE`` minima."""
+    def sign(batches):
+        shingler = Shingler()
+        with np.errstate(over="ignore"):
+            for batch in slices(batches, "text", 2_000_000):
+                found = shingler.sets([t.translate(LOWER) for t in texts(batch, "text")])
+                both = planes(np.array([minima(s, FINE) for s in found], dtype=np.uint64).reshape(-1, FINE))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), *map(lists, both)], names=["id", "fine_low", "fine_high"])
+
+    return by_id.mapInArrow(sign, "id long, fine_low array<long>, fine_high array<long>")
+
+
+def estimate(one: str, other: str, count: int = MINIMA, prefix: str = "") -> Column:
     """Similarity from the share of agreeing low bits, less the share that agrees by accident."""
-    unlike = lambda plane, k: F.col(f"{one}.{plane}")[k].bitwiseXOR(F.col(f"{other}.{plane}")[k])
-    differ = lambda k: F.bit_count(unlike("low", k).bitwiseOR(unlike("high", k)))
-    agree = 1 - (differ(0) + differ(1)) / float(MINIMA)
-    return (agree - 2.0**-BITS) / (1 - 2.0**-BITS)
+    unlike = lambda plane, k: F.col(f"{one}.{prefix}{plane}")[k].bitwiseXOR(F.col(f"{other}.{prefix}{plane}")[k])
+    differ = sum((F.bit_count(unlike("low", k).bitwiseOR(unlike("high", k))) for k in range(count // 64)), F.lit(0))
+    return (1 - differ / float(count) - 2.0**-BITS) / (1 - 2.0**-BITS)
 
 
 def _plausible(one: str, other: str) -> Column:
     a, b = F.col(f"{one}.n_shingles"), F.col(f"{other}.n_shingles")
-    return (DENOMINATOR * F.least(a, b) >= NUMERATOR * F.greatest(a, b)) & (estimate(one, other) >= ESTIMATE)
+    return (DENOMINATOR * F.least(a, b) >= NUMERATOR * F.greatest(a, b)) & (estimate(one, other) >= ESTIMATE[MINIMA])
 
 
 def marks(hashes: DataFrame) -> np.ndarray:
@@ -228,11 +249,11 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     ones = usable.join(classes, [usable["class"] == classes["class"], usable["doc_id"] == classes["id"]], "left_semi")
     ones = ones.select(F.col("doc_id").alias("id"), "n_shingles", "low", "high", "bands")
 
-    rows = ones.select("id", F.explode("bands").alias("key")).distinct()
+    rows = ones.select("id", F.posexplode("bands").alias("band", "key")).distinct()
     shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
-    rows = stored(rows.join(shared, "key").select("key", "id", "first"), "buckets")
+    rows = stored(rows.join(shared, "key").select("key", "band", "id", "first"), "buckets")
     ids = rows.select("id").distinct()
-    sign = stored(ones.drop("bands").join(ids, "id", "left_semi").dropDuplicates(["id"]), "planes")
+    sign = stored(ones.join(ids, "id", "left_semi").dropDuplicates(["id"]), "planes")
     by_id = stored(thinned(slim, ids, "doc_id", text).select(F.col("doc_id").alias("id"), F.col(text).alias("text"))
                    .join(ids, "id", "left_semi").dropDuplicates(["id"]), "texts")
 
@@ -244,14 +265,18 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     first = stored(ids.join(first.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component")), "components")
 
     # Buckets whose members are not yet together.
-    labelled = rows.select("key", "id").join(first, "id")
+    labelled = rows.select("key", "band", "id").join(first, "id")
     mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    left = stored(labelled.join(mixed, "key").join(sign, "id"), "mixed")
+    mixed = stored(labelled.join(mixed, "key"), "mixed")
+    fine = fine_planes(by_id.join(mixed.select("id").distinct(), "id", "left_semi"))
+    left = stored(mixed.join(stored(sign.join(fine, "id"), "fine"), "id"), "mixed")
     x, y = left.alias("x"), left.alias("y")
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
-    more = x.join(y, apart & _plausible("x", "y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"),
-                                                          F.col("x.component").alias("ca"), F.col("y.component").alias("cb")).distinct()
-    more = stored(more.join(tried, ["a", "b"], "left_anti"), "pairs")
+    close = estimate("x", "y", FINE, "fine_") >= ESTIMATE[FINE]
+    agree = F.array_position(F.zip_with("x.bands", "y.bands", lambda p, q: p == q), True)
+    more = x.join(y, apart & _plausible("x", "y") & close & (agree == F.col("x.band") + 1)).select(
+        F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.component").alias("ca"), F.col("y.component").alias("cb"))
+    more = stored(more.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
     joined = stored(confirmed(more.select("a", "b"), by_id), "links").join(more, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     second = components(joined).select(F.col("node").alias("component"), F.col("component").alias("whole"))
     final = first.join(second, "component", "left").select("id", F.coalesce("whole", "component").alias("component"))
