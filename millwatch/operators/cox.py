@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from typing import Sequence
+from typing import Mapping, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -75,6 +75,21 @@ def fit_cox(df: DataFrame, features: Sequence[str] | None = None, time: str = "t
         (F.col("coef") + Z_95 * F.col("se")).alias("coef_upper_95"))
 
 
+def partial_likelihood(df: DataFrame, coefficients: Mapping[str, float], time: str = "time", event: str = "event") -> DataFrame:
+    """Rows ``(quantity, first, second, value)`` at the given coefficients of the raw features.
+
+    Quantities: log partial likelihood, gradient by feature, and observed information by pair of features.
+    """
+    names = list(coefficients)
+    rows = df.select(F.col(time).cast("double").alias("time"), F.col(event).cast("int").alias("event"),
+                     *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(names)]).dropna()
+    likelihood, gradient, information = _derivatives(rows, np.array([float(coefficients[c]) for c in names]))
+    out = [("likelihood", None, None, float(likelihood))]
+    out += [("gradient", c, None, float(g)) for c, g in zip(names, gradient)]
+    out += [("information", a, b, float(information[i, j])) for i, a in enumerate(names) for j, b in enumerate(names) if i <= j]
+    return df.sparkSession.createDataFrame(out, "quantity string, first string, second string, value double")
+
+
 def _derivatives(rows: DataFrame, beta: np.ndarray):
     """Log partial likelihood, its gradient and the observed information at ``beta``."""
     p = len(beta)

@@ -337,6 +337,14 @@ def cox_fit(spark, folder):
     return cox.fit_cox(_fleet(spark, folder))
 
 
+@query
+def cox_score(spark, folder):
+    """Efron's partial likelihood and its derivatives over all covariates, at fixed coefficients."""
+    rows = _fleet(spark, folder)
+    names = cox.numeric_features(rows, ("time", "event", "machineID", "model"))
+    return _round(cox.partial_likelihood(rows, {c: 0.01 for c in names}), 3)
+
+
 @query
 def rul_estimates(spark, folder):
     return _round(survival.rul_estimates(_fleet(spark, folder)))

@@ -688,3 +688,19 @@ ORACLES["logrank_p_value"] = f"""SELECT group_a, group_b, CASE WHEN statistic >
 ORACLES["split_sizes"] = f"""SELECT 'classifier' AS model, event AS label, is_test, count(*) AS machines
     FROM ({ORACLES['stratified_split']}) GROUP BY event, is_test
     UNION ALL SELECT 'regressor', NULL, is_test, count(*) FROM ({ORACLES['random_split']}) GROUP BY is_test"""
+
+
+COVARIATES = ("age", "volt", "rotate", "pressure", "vibration", "error_count", "maint_count")
+PAIRS = [(a, b) for i, a in enumerate(COVARIATES) for b in COVARIATES[i:]]
+MOMENTS = {"0": "w", **{a: f"w * {a}" for a in COVARIATES}, **{f"{a}_{b}": f"w * {a} * {b}" for a, b in PAIRS}}
+oracle("cox_score", f"""
+    SELECT 'likelihood' AS quantity, NULL AS first, NULL AS second, {even('(SELECT sum(eta) FROM coxtimes WHERE d > 0) - sum(ln(m_0))', 3)} AS value FROM coxterms
+    UNION ALL {" UNION ALL ".join(f"SELECT 'gradient', '{a}', NULL, {even(f'(SELECT sum(x_{a}) FROM coxtimes WHERE d > 0) - sum(m_{a} / m_0)', 3)} FROM coxterms" for a in COVARIATES)}
+    UNION ALL {" UNION ALL ".join(f"SELECT 'information', '{a}', '{b}', {even(f'sum(m_{a}_{b} / m_0 - m_{a} / m_0 * m_{b} / m_0)', 3)} FROM coxterms" for a, b in PAIRS)}""", {
+    "coxrows": f"SELECT time, event, {', '.join(f'{dbl(c)} AS {c}' for c in COVARIATES)}, ({' + '.join(f'{dbl(c)} * 0.01e0' for c in COVARIATES)}) AS eta, exp(eta) AS w FROM survival",
+    "coxtimes": "SELECT time, count(*) FILTER (event = 1) AS d, sum(eta) FILTER (event = 1) AS eta, "
+                + ", ".join(f"sum({a}) FILTER (event = 1) AS x_{a}" for a in COVARIATES) + ", "
+                + ", ".join(f"sum({e}) AS r_{k}, sum({e}) FILTER (event = 1) AS f_{k}" for k, e in MOMENTS.items()) + " FROM coxrows GROUP BY time",
+    "coxrisk": "SELECT *, " + ", ".join(f"sum(r_{k}) OVER (ORDER BY time DESC) AS s_{k}" for k in MOMENTS) + " FROM coxtimes",
+    "coxterms": "SELECT " + ", ".join(f"s_{k} - k / d * f_{k} AS m_{k}" for k in MOMENTS)
+                + " FROM (SELECT *, CAST(unnest(range(0, d)) AS DOUBLE) AS k FROM coxrisk WHERE d > 0)"})
