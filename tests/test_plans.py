@@ -6,6 +6,7 @@ import pytest
 
 from millwatch.operators import alerts, etl, features, fleet, survival
 from millwatch.plans import jobs
+from millwatch.session import work_dir
 from millwatch.sources import driver_tables
 
 FOLDER = "/root/testdata/sf0.001"
@@ -64,3 +65,23 @@ def test_queries_leave_no_cached_data(spark, table):
     before = len(spark.sparkContext._jsc.getPersistentRDDs())
     QUERIES["enriched_fleet"](spark, FOLDER).count()
     assert len(spark.sparkContext._jsc.getPersistentRDDs()) == before
+
+
+def test_figures_by_group_do_not_shuffle_the_fleet(spark, table, plan_of):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")
+    try:
+        plan = plan_of(survival.add_survival_at_horizons(table, survival.km_curve(table)), "simple")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_cox_iterations_store_nothing(spark, table):
+    from pathlib import Path
+
+    from millwatch.operators.cox import fit_cox
+    scratch = Path(work_dir(spark)) / "millwatch"
+    before = len(list(scratch.iterdir()))
+    fit_cox(table, ["vibration", "age"]).count()
+    assert len(list(scratch.iterdir())) == before + 1
