@@ -7,6 +7,8 @@ Equal windows have to meet in one shard whatever the corpus size, so shards hold
 documents. One pass picks the smallest 5-word hash of every window as its seed; a run of windows
 around one seed is a context (20 to 35 words), and equal windows lie at the same place beside equal seeds.
 
+* Seeds that occur once in the corpus end here: a first pass counts seeds alone, and a second one
+  drops them with a bit map of fixed size before anything else is shuffled.
 * Equal contexts are one entry, the first occurrence; all later occurrences are repeats as a whole. The
   minimum is pre-aggregated, so a passage in a third of all documents costs one row per task.
 * Seeds with different contexts go to shards by hash. A shard builds one FM-index (wavelet
@@ -30,14 +32,13 @@ from pyspark.sql import functions as F
 
 from .common import slices, stored, table, texts
 from .fmindex import FMIndex
-from .minhash import BASE, Shingler, mix, thinned
+from .minhash import BASE, FILTER_BITS, Shingler, marks, mix, thinned
 
 WINDOW, SEED = 20, 5
 SHARD_WORDS = 400_000
 WIDE = 200
 STREAM = 1 << 17
-SEEDS = "doc_id long, n_words long, sha string, seeds array<struct<seed: long, context: long, start: int, stop: int>>"
-SEGMENT = "shard long, doc_id long, start int, words binary, seed long, window long"
+CONTEXT = "doc_id long, seed long, context long, start int, stop int"
 
 
 class _Powers:
@@ -55,13 +56,14 @@ class _Powers:
 
 
 def _leftmost(values: np.ndarray, width: int) -> np.ndarray:
-    """Position of the leftmost minimum of every ``width`` (a power of two) neighbours."""
+    """Position of the leftmost minimum of every ``width`` neighbours."""
+    def less(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.where(values[a] <= values[b], a, b)
+
     at, step = np.arange(len(values)), 1
-    while step < width:
-        a, b = at[:-step], at[step:]
-        at = np.where(values[a] <= values[b], a, b)
-        step *= 2
-    return at
+    while 2 * step <= width:
+        at, step = less(at[:-step], at[step:]), 2 * step
+    return less(at[:len(at) - (width - step)], at[width - step:])
 
 
 def contexts(hashes: np.ndarray, first: np.ndarray, powers: _Powers):
@@ -90,57 +92,89 @@ def contexts(hashes: np.ndarray, first: np.ndarray, powers: _Powers):
     return own[begin], rolling[seeds[begin]].view(np.int64), whole.view(np.int64), a - base, b - base
 
 
-def seeds(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Per document: words, digest of all words, and its contexts."""
-    kind = pa.struct([("seed", pa.int64()), ("context", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
+def digests(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, n_words, sha) of all words."""
+    def digest(batches):
+        for batch in slices(batches, text):
+            each = [(t or b"").split() for t in texts(batch, text)]
+            sha = [hashlib.sha256(b" ".join(ws)).hexdigest() for ws in each]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(ws) for ws in each], pa.int64()), pa.array(sha)],
+                                             names=["doc_id", "n_words", "sha"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col(text)).mapInArrow(digest, "doc_id long, n_words long, sha string")
+
+
+def _slice_contexts(batches, text: str):
+    """(batch, owner, seed, context, start, stop) of every slice of texts."""
+    shingler, powers = Shingler(), _Powers()
+    with np.errstate(over="ignore"):
+        for batch in slices(batches, text, 2_000_000):
+            hashes, first = shingler.word_hashes([t or b"" for t in texts(batch, text)])
+            yield batch, *contexts(hashes, first[:-1], powers)
+
+
+def repeated_seeds(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Seeds that occur twice or more."""
+    def count(batches):
+        for _, _, seed, *_ in _slice_contexts(batches, text):
+            each, n = np.unique(seed, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(each, pa.int64()), pa.array(n, pa.int64())], names=["seed", "n"])
+
+    return docs.select(text).mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).where("n > 1").select("seed")
+
+
+def occurrences(docs: DataFrame, repeated: DataFrame, text: str = "text") -> DataFrame:
+    """Contexts of the repeated seeds, and of few others."""
+    shared = docs.sparkSession.sparkContext.broadcast(marks(repeated))
 
     def find(batches):
-        shingler, powers = Shingler(), _Powers()
-        with np.errstate(over="ignore"):
-            for batch in slices(batches, text, 2_000_000):
-                each = [t or b"" for t in texts(batch, text)]
-                hashes, first = shingler.word_hashes(each)
-                owner, seed, context, start, stop = contexts(hashes, first[:-1], powers)
-                offsets = np.searchsorted(owner, np.arange(len(each) + 1))
-                rows = pa.StructArray.from_arrays([pa.array(seed, pa.int64()), pa.array(context, pa.int64()),
-                                                   pa.array(start, pa.int32()), pa.array(stop, pa.int32())], fields=list(kind))
-                sha = [hashlib.sha256(b" ".join(t.split())).hexdigest() for t in each]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(np.diff(first), pa.int64()), pa.array(sha),
-                     pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)], names=["doc_id", "n_words", "sha", "seeds"])
+        for batch, owner, *columns in _slice_contexts(batches, text):
+            spot = columns[0] & ((1 << FILTER_BITS) - 1)
+            hit = (shared.value[spot >> 6] >> (spot & 63)) & 1 == 1
+            doc = batch.column("doc_id").to_numpy(zero_copy_only=False)[owner[hit]]
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64())] + [
+                pa.array(c[hit], t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)],
+                names=["doc_id", "seed", "context", "start", "stop"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col(text)).mapInArrow(find, SEEDS)
+    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col(text)).mapInArrow(find, CONTEXT)
 
 
 def segments(wanted: DataFrame, shards: int) -> DataFrame:
-    """Word hashes of the wanted contexts: (doc_id, text, list of (seed, start, stop, wide)) to segments.
+    """(shard, doc_id, start, words): the word hashes of contexts listed in ``todo`` (start, stop, seed)."""
+    def cut(batches):
+        shingler = Shingler()
+        with np.errstate(over="ignore"):
+            for batch in slices(batches, "text", 1_000_000):
+                hashes, first = shingler.word_hashes([t or b"" for t in texts(batch, "text")])
+                out = [(c["seed"] % shards, doc, c["start"], hashes[base + c["start"]:base + c["stop"] + WINDOW].tobytes())
+                       for doc, base, todo in zip(batch.column("doc_id").to_pylist(), first.tolist(), batch.column("todo").to_pylist(), strict=False)
+                       for c in todo]
+                types = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)],
+                                                 names=["shard", "doc_id", "start", "words"])
+
+    return wanted.mapInArrow(cut, "shard long, doc_id long, start int, words binary")
 
-    Wide contexts become single windows, told apart by their own hash instead of a shard.
-    """
+
+def windows(wanted: DataFrame) -> DataFrame:
+    """(seed, window, doc_id, start): every window of the contexts listed in ``todo`` by its own hash."""
     def cut(batches):
         shingler = Shingler()
         with np.errstate(over="ignore"):
             for batch in slices(batches, "text", 1_000_000):
                 hashes, first = shingler.word_hashes([t or b"" for t in texts(batch, "text")])
-                out = []
-                for doc, base, todo in zip(batch.column("doc_id").to_pylist(), first.tolist(), batch.column("todo").to_pylist(), strict=False):
-                    for c in todo:
-                        a, b = base + c["start"], base + c["stop"]
-                        if not c["wide"]:
-                            out.append((c["seed"] % shards, doc, c["start"], hashes[a:b + WINDOW].tobytes(), None, None))
-                            continue
-                        for i in range(a, b + 1):
-                            h = np.uint64(0)
-                            for w in hashes[i:i + WINDOW]:
-                                h = h * BASE + w
-                            out.append((None, doc, i - base, None, c["seed"], int(mix(np.array([h])).view(np.int64)[0])))
-                if out:
-                    cols = list(zip(*out, strict=True))
-                    types = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)],
-                                                     names=["shard", "doc_id", "start", "words", "seed", "window"])
-
-    return wanted.mapInArrow(cut, SEGMENT)
+                whole = np.zeros(max(0, len(hashes) - WINDOW + 1), dtype=np.uint64)
+                for j in range(WINDOW):
+                    whole = whole * BASE + hashes[j:j + len(whole)]
+                whole = mix(whole).view(np.int64)
+                out = [(c["seed"], whole[base + i], doc, i)
+                       for doc, base, todo in zip(batch.column("doc_id").to_pylist(), first.tolist(), batch.column("todo").to_pylist(), strict=False)
+                       for c in todo for i in range(c["start"], c["stop"] + 1)]
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)],
+                                                 names=["seed", "window", "doc_id", "start"])
+
+    return wanted.mapInArrow(cut, "seed long, window long, doc_id long, start int")
 
 
 def search_shard(shard: pa.Table) -> pa.Table:
@@ -176,9 +210,9 @@ def search_shard(shard: pa.Table) -> pa.Table:
                      "stop": pa.array(first[owner[b]] + offset[b] + WINDOW, pa.int64())})
 
 
-def repeats(base: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, start, stop): word ranges covered by windows that also start earlier."""
-    rows = base.where(F.col("doc_id").isNotNull()).select("doc_id", F.explode("seeds").alias("s")).select("doc_id", "s.*").distinct()
+    rows = occurrences(docs, stored(repeated_seeds(docs, text), "repeated-seeds"), text)
     entries = rows.groupBy("seed", "context").agg(F.min(F.struct("doc_id", "start", "stop")).alias("at"), F.count("*").alias("n"))
     by_seed = entries.groupBy("seed").agg(F.count("*").alias("contexts"), F.sum("n").alias("all")).where("all > 1")
     entries = stored(entries.join(by_seed.select("seed", "contexts"), "seed"), "contexts")
@@ -188,16 +222,18 @@ def repeats(base: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
         "doc_id", F.col("start").cast("long"), (F.col("stop") + WINDOW).cast("long").alias("stop"))
 
     todo = entries.where("contexts > 1").select("seed", "at.*", (F.col("contexts") > WIDE).alias("wide"))
-    size = todo.where("not wide").agg(F.sum(F.col("stop") - F.col("start") + WINDOW)).first()[0] or 0
-    shards = max(1, -(-size // SHARD_WORDS))
-    lists = todo.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "seed", "wide"))).alias("todo"))
-    some = thinned(docs, todo.select("doc_id").distinct(), "doc_id", text).withColumnRenamed(text, "text")
-    wanted = some.join(lists, "doc_id").dropDuplicates(["doc_id"])
-    cut = stored(segments(wanted, shards), "segments")
-    found = cut.where("shard is not null").select("shard", "doc_id", "start", "words").groupBy("shard").applyInArrow(
-        search_shard, "doc_id long, start long, stop long")
-
-    single = cut.where("window is not null")
+    size, wide = todo.agg(F.sum(F.when(~F.col("wide"), F.col("stop") - F.col("start") + WINDOW)), F.count_if("wide")).first()
+
+    def wanted(part: DataFrame) -> DataFrame:
+        lists = part.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "seed"))).alias("todo"))
+        some = thinned(docs, part.select("doc_id").distinct(), "doc_id", text).withColumnRenamed(text, "text")
+        return some.join(lists, "doc_id").dropDuplicates(["doc_id"])
+
+    shards = max(1, -(-(size or 0) // SHARD_WORDS))
+    found = segments(wanted(todo.where("not wide")), shards).groupBy("shard").applyInArrow(search_shard, "doc_id long, start long, stop long")
+    if not wide:
+        return later.union(found)
+    single = windows(wanted(todo.where("wide")))
     firsts = single.groupBy("seed", "window").agg(F.min(F.struct("doc_id", "start")).alias("at"), F.count("*").alias("n")).where("n > 1")
     apart = single.join(firsts.drop("n"), ["seed", "window"]).where(F.struct("doc_id", "start") != F.col("at")).select(
         "doc_id", F.col("start").cast("long"), (F.col("start") + WINDOW).cast("long").alias("stop"))
@@ -214,8 +250,8 @@ def _kept(words: list[bytes], ranges: list[dict]) -> list[bytes]:
 
 def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, ranges): ``ranges`` are the removed word ranges, in order; they may overlap."""
-    base = stored(seeds(docs, text), "seeds")
-    ranges = repeats(base, docs, text).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("ranges"))
+    base = stored(digests(docs, text), "digests")
+    ranges = repeats(docs, text).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("ranges"))
     ranges = stored(ranges, "ranges")
     some = thinned(docs, ranges.select("doc_id"), "doc_id", text).withColumnRenamed(text, "text").join(ranges, "doc_id").dropDuplicates(["doc_id"])
 
