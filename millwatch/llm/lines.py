@@ -4,8 +4,8 @@ A line is what stands between newlines and holds a word. Equal lines are one cla
 of at least ``MIN_CHARS`` characters are linked when at most ``EDITS`` single-character edits apart: cut one of
 them into EDITS + 1 segments, and at least one segment stands unchanged in the other, near its place. Every line
 is indexed by its segments (with its length and the segment's number) and probes, for its own and the lengths just below,
-the substrings the shift bounds allow. Lines that meet under a key are candidates; the banded
-bit-parallel edit distance decides. Connected lines form classes, and every line but a class's first (smallest id,
+the substrings the shift bounds allow. Lines that meet under a key are candidates, unless the parities of their
+bigrams already differ in more places than so few edits can turn; the banded bit-parallel edit distance decides. Connected lines form classes, and every line but a class's first (smallest id,
 then position) is dropped.
 
 Lines are named by 64-bit hashes. A key that only one line has is never shuffled a second time; the keys left are
@@ -17,10 +17,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
-from .common import SPACES, stored, table
+from .common import SPACES, slices, stored, table, texts
 from .graph import components
 from .minhash import FILTER_BITS, marks
 
@@ -28,29 +29,70 @@ EDITS = 2
 MIN_CHARS = 20
 
 
-def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of segment ``i`` (from 0) of an even partition; the longer ones stand last."""
-    n = edits + 1
-    short = F.lit(n) - length % n
-    base = F.floor(length / n).cast("int")
-    return base * i + F.greatest(F.lit(i) - short, F.lit(0)) + 1, base + F.when(F.lit(i) >= short, 1).otherwise(0)
-
-
-def keys(line: Column, edits: int) -> Column:
-    """Array of (key, indexed): own segments, and substrings that may be segments of a line no longer than this one."""
-    length, n = F.length(line), edits + 1
-    out = []
+def probes(length: int, edits: int) -> list[tuple[int, int, int, bool]]:
+    """(seed, start, end, indexed) of a line of ``length`` characters: its own segments, and the substrings
+    that may be segments of a line no longer than this one. The seed stands for that line's length and the segment.
+    """
+    out, n = [], edits + 1
     for less in range(edits + 1):
         own = length - less
+        base, short = own // n, n - own % n  # the longer segments stand last
         for i in range(n):
-            start, size = _segment(own, i, edits)
-            low, high = max(-i, less - (edits - i)), min(i, less + (edits - i))
-            for shift in range(low, high + 1):
-                at = start + shift
-                fits = (at >= 1) & (at + size - 1 <= length)
-                key = F.xxhash64(own, F.lit(i), F.substring(line, at, size))
-                out.append(F.when(fits, F.struct(key.alias("key"), F.lit(less == 0 and shift == 0).alias("indexed"))))
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+            start, size = base * i + max(0, i - short), base + (i >= short)
+            for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
+                if 0 <= start + shift and start + shift + size <= length:
+                    out.append((own * n + i, start + shift, start + shift + size, less == 0 and shift == 0))
+    return out
+
+
+def bag(line: str) -> list[int]:
+    """Parities of the line's hashed bigrams, as four words of 64 bits. An edit turns four of them at most."""
+    c = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    spots = (c[:-1] * np.uint32(0x9E3779B1) + c[1:]) * np.uint32(0x85EBCA77) >> np.uint32(24)
+    odd = np.bincount(spots, minlength=256).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view(np.int64).tolist()
+
+
+def entries(docs: DataFrame, text: str, edits: int, min_chars: int, shared: DataFrame | None = None) -> DataFrame:
+    """(key, id, indexed) of all lines long enough; with ``shared``, of the keys in it and few others, and with bags.
+
+    ``id`` is Spark's ``xxhash64`` of the line. A line counts once per slice of texts.
+    """
+    bits = docs.sparkSession.sparkContext.broadcast(None if shared is None else marks(shared))
+
+    def cut(batches):
+        plans: dict[int, list] = {}
+        for batch in slices(batches, text):
+            found = {line for t in texts(batch, text) for line in (t or b"").decode().split("\n")}
+            keys, ids, indexed, kept = [], [], [], []
+            for line in found:
+                length = len(line)
+                if length < min_chars or not line.strip(SPACES):
+                    continue
+                plan = plans.get(length)
+                if plan is None:
+                    plan = plans[length] = probes(length, edits)
+                keys += [xxh64_intdigest(line[a:b], seed) for seed, a, b, _ in plan]
+                ids.append((xxh64_intdigest(line, 42), len(plan)))
+                indexed += [x for *_, x in plan]
+                kept.append(line)
+            key = np.array(keys, dtype=np.uint64).view(np.int64)
+            one = np.repeat(np.array([i for i, _ in ids], dtype=np.uint64).view(np.int64), np.array([n for _, n in ids], dtype=np.int64))
+            own = np.array(indexed, dtype=bool)
+            if bits.value is not None:
+                spot = key & ((1 << FILTER_BITS) - 1)
+                hit = (bits.value[spot >> 6] >> (spot & 63)) & 1 == 1
+                owner = np.repeat(np.arange(len(kept)), [n for _, n in ids])[hit]
+                need, of = np.unique(owner, return_inverse=True)
+                bags = np.array([bag(kept[i]) for i in need.tolist()], dtype=np.int64).reshape(-1, 4)[of]
+                columns = [pa.array(x) for x in (key[hit], one[hit], own[hit], *bags.T)]
+            else:
+                columns = [pa.array(x) for x in (key, one, own)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    names = ["key", "id", "indexed"] + ([] if shared is None else [f"bag{i}" for i in range(4)])
+    schema = ", ".join(f"{n} {'boolean' if n == 'indexed' else 'long'}" for n in names)
+    return docs.where(F.col("doc_id").isNotNull()).select(text).mapInArrow(cut, schema)
 
 
 def edit_distance(a: str, b: str, most: int) -> int:
@@ -114,14 +156,16 @@ def lines_of(docs: DataFrame, text: str = "text") -> DataFrame:
     return split.where(F.btrim("line", F.lit(SPACES)) != "").withColumn("id", F.xxhash64("line"))
 
 
-def links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def links(docs: DataFrame, text: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """Pairs (a, b) of ids of different lines at most ``edits`` apart."""
-    entries = lines.where(F.length("line") >= min_chars).select("id", F.explode(keys(F.col("line"), edits)).alias("k")).select("k.key", "id", "k.indexed")
-    shared = stored(entries.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("key"), "line-keys")
-    some = thin(entries, "key", shared).join(shared, "key").distinct()
+    lines = lines_of(docs, text)
+    every = entries(docs, text, edits, min_chars)
+    shared = stored(every.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("key"), "line-keys")
+    some = entries(docs, text, edits, min_chars, shared).join(shared, "key").distinct()
     some = stored(some, "line-entries")
+    turned = sum((F.bit_count(F.col(f"i.bag{k}").bitwiseXOR(F.col(f"p.bag{k}"))) for k in range(4)), F.lit(0))
     met = some.where("indexed").alias("i").join(some.alias("p"), F.col("i.key") == F.col("p.key")).where(
-        (F.col("i.id") != F.col("p.id")) & (~F.col("p.indexed") | (F.col("i.id") < F.col("p.id"))))
+        (F.col("i.id") != F.col("p.id")) & (~F.col("p.indexed") | (F.col("i.id") < F.col("p.id"))) & (turned <= 4 * edits))
     pairs = stored(met.select(F.least("i.id", "p.id").alias("a"), F.greatest("i.id", "p.id").alias("b")).distinct(), "line-pairs")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     known = thin(lines.select("id", "line"), "id", ids).join(ids, "id", "left_semi").dropDuplicates(["id"])
@@ -140,7 +184,7 @@ def links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> D
 def deduplicate(docs: DataFrame, text: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """Per document: n_lines, n_links (links of its lines to different lines), n_dropped and the positions dropped."""
     lines = lines_of(docs, text)
-    pairs = stored(links(lines, edits, min_chars), "line-links")
+    pairs = stored(links(docs, text, edits, min_chars), "line-links")
     degree = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).groupBy("id").agg(F.count("*").alias("links"))
     classes = components(pairs).join(degree.withColumnRenamed("id", "node"), "node", "left").select(F.col("node").alias("id"), "component", "links")
     told = stored(lines.select("doc_id", "position", "id").join(classes, "id", "left").select(

@@ -101,6 +101,7 @@ def test_edit_distance():
             for j, y in enumerate(b, 1):
                 d.append(min(p[j] + 1, d[-1] + 1, p[j - 1] + (x != y)))
         return d[-1]
+    bits = lambda x: [v & (1 << 64) - 1 for v in lines.bag(x)]
     r = random.Random(1)
     for _ in range(4000):
         a = "".join(r.choice("abé") for _ in range(r.randint(0, 14)))
@@ -110,6 +111,8 @@ def test_edit_distance():
             b[i:i + r.randint(0, 1)] = [r.choice("abé")] * r.randint(0, 1)
         for k in (1, 2, 3):
             assert lines.edit_distance(a, "".join(b), k) == min(plain(a, "".join(b)), k + 1)
+        turned = sum((x ^ y).bit_count() for x, y in zip(bits(a), bits("".join(b)), strict=True))
+        assert turned <= 4 * plain(a, "".join(b))
 
 
 def test_line_join(spark, docs, folder):
