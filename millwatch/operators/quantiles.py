@@ -56,8 +56,8 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
     keyed = counted.withColumns({
         **{k: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for k, c in zip(names, by)},
         "_value": F.coalesce("slot.value", F.lit(float("-inf"))), "_gap": F.coalesce("slot.gap", F.lit(-1))})
-    keyed = keyed.withColumns({"_high": leading_bits(F.col("_value"), 10), "_low": leading_bits(F.col("_value"), 28)})
-    ranked = running(keyed, [*names, "column"], [["_high"], ["_low"], ["_value", "_gap"]], {"upto": ("n", SUM)})
+    keyed = keyed.withColumn("_bucket", leading_bits(F.col("_value"), 20))
+    ranked = running(keyed, [*names, "column"], [["_bucket"], ["_value", "_gap"]], {"upto": ("n", SUM)})
     totals = counted.groupBy(*by, "column").agg(F.sum("n").alias("total"))
     totals = totals.withColumns({k: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for k, c in zip(names, by)})
     ranked = ranked.join(totals.select(*names, "column", "total"), [*names, "column"])
