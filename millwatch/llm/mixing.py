@@ -5,10 +5,10 @@ Targets: every source has a weight, all sources share the corpus size by weight,
 
 Schedule: slot i of 2^m slots stands at the van der Corput point bitreverse(i) / 2^m. The cumulative
 targets cut [0, 1) into one interval per source, and a slot belongs to the source its point falls into, so
-every prefix of the schedule holds each source in nearly its share. Slots are ranked per source. Each
-source is shuffled by a hash of its documents and cut into blocks of equal tokens; its slot of rank r
-takes block r modulo the number of its blocks, in at most ``most`` passes. A document is taken as often as the blocks that
-hold its words; a block may begin and end inside a document.
+every prefix of the schedule holds each source in nearly its share. A source whose interval holds no point
+shares the slot of the point below it. Slots are ranked per source. Each source is shuffled by a hash of its
+documents and read around and around for exactly its target, rounded to a word; its slots divide those words evenly, by
+rank. A document is taken as often as the target passes over its words; a slot may begin and end inside a document.
 
 Documents without words take no part (taken 0). NULL is a source of its own, after all others. Ties and
 repeated rows share a hash and stand side by side. An empty table gives no rows.
@@ -75,16 +75,25 @@ def targets(weighted: DataFrame, most: int = MOST) -> DataFrame:
                          ((F.col("run") - F.col("units")) / F.lit(whole)).alias("low"), (F.col("run") / F.lit(whole)).alias("high"))
 
 
+def mirrored(number: Column, bits: int) -> Column:
+    """The lowest ``bits`` bits of a number in reverse order."""
+    return F.conv(F.reverse(F.lpad(F.bin(number), bits, "0")), 2, 10).cast("long") if bits else F.lit(0).cast("long")
+
+
+def point(share: str, bits: int) -> Column:
+    """The first of 2^bits points that is not below a cumulative share."""
+    return F.ceil(F.col(share) * (1 << bits)).cast("long")
+
+
 def schedule(goals: DataFrame, bits: int) -> DataFrame:
     """(slot, key, rank): the source of each of 2^bits slots and the slot's rank within its source."""
     spark = goals.sparkSession
     slots = 1 << bits
     grid = min(bits, 10)
-    reverse = F.conv(F.reverse(F.lpad(F.bin("slot"), bits, "0")), 2, 10).cast("long") if bits else F.lit(0).cast("long")
-    points = spark.range(slots).select(F.col("id").alias("slot")).withColumn("point", reverse)
+    points = spark.range(slots).select(F.col("id").alias("slot")).withColumn("point", mirrored(F.col("slot"), bits))
     points = points.withColumn("cell", F.shiftright("point", bits - grid))
     # The points are whole numbers, so an interval is a range of them; rows: sources + 2^grid at most.
-    edges = goals.select("key", F.ceil(F.col("low") * slots).cast("long").alias("from"), F.ceil(F.col("high") * slots).cast("long").alias("to"))
+    edges = goals.select("key", point("low", bits).alias("from"), point("high", bits).alias("to"))
     edges = edges.where(F.col("to") > F.col("from")).withColumn(
         "cell", F.explode(F.sequence(F.shiftright("from", bits - grid), F.shiftright(F.col("to") - 1, bits - grid))))
     owned = points.join(edges, "cell").where((F.col("point") >= F.col("from")) & (F.col("point") < F.col("to")))
@@ -111,31 +120,36 @@ def mix(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, most: int = MOST, tex
         source: str = "source", order: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """The mix by document and by slot.
 
-    First (order column, size, source_size, target, taken), one row per row of ``docs``; second
-    (slot, key, block, pass): the order in which blocks of the sources' shuffled streams are to be read.
+    First (order column, size, source_size, target, taken, first_slot), one row per row of ``docs``; ``first_slot`` is
+    the slot that reads its first word, NULL if it is not taken. Second (slot, key, rank, start, words): the order in which the
+    sources' shuffled streams are to be read. ``start`` counts on through the passes: it is word start modulo source_size.
     """
     spark = docs.sparkSession
     sized = stored(docs.select(order, key(source).alias("key"), word_count(F.col(text)).alias("size")), "sizes")
     goals = stored(targets(sources(sized), most), "goals")
     total = goals.agg(F.sum("source_size")).first()[0] or 0
     bits = max(0, math.ceil(math.log2(max(total, 1) / block_tokens)))
-    tokens = F.lit(max(total, 1) / (1 << bits))  # a block is total / slots words, to the word
-    n_blocks = F.ceil(F.col("source_size") / tokens)
-    slots = schedule(goals, bits).join(goals.select("key", n_blocks.alias("n_blocks")), "key")
-    slots = slots.select("slot", "key", (F.col("rank") % F.col("n_blocks")).alias("block"), F.floor(F.col("rank") / F.col("n_blocks")).alias("pass"))
-    slots = slots.where(F.col("pass") < most)
-    times = slots.groupBy("key", "block").agg(F.count("*").alias("times"))
-
-    placed = streams(sized, order).withColumn("row", F.monotonically_increasing_id())
-    placed = stored(placed, "streams")
-    first, last = F.floor(F.col("start") / tokens), F.floor((F.col("start") + F.col("size")) / tokens)
-    pieces = placed.where(F.col("size") > 0).select("row", "key", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
-    inside = (F.least(F.col("start") + F.col("size"), F.floor((F.col("block") + 1) * tokens))
-              - F.greatest(F.col("start"), F.floor(F.col("block") * tokens)))
-    inside = F.greatest(inside, F.lit(0))
-    taken = pieces.join(times, ["key", "block"]).groupBy("row").agg(F.sum(inside * F.col("times")).alias("taken"))
-    by_doc = placed.join(taken, "row", "left").join(goals.select("key", "source_size", "target"), "key").select(
-        order, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    # Of n slots the first ``more`` read ``each`` + 1 words, the others ``each``.
+    n_slots = point("high", bits) - point("low", bits)
+    shares = goals.withColumn("words", F.round("target").cast("long")).where(F.col("words") > 0).withColumn("n", F.greatest(n_slots, F.lit(1)))
+    shares = shares.withColumn("more", F.col("words") % F.col("n")).withColumn("each", F.expr("words div n"))
+    below = F.least(F.floor(F.col("low") * (1 << bits)).cast("long"), F.lit((1 << bits) - 1))
+    guests = shares.where(n_slots == 0).select(mirrored(below, bits).alias("slot"), "key", F.lit(0).cast("long").alias("rank"))
+    ranked = schedule(goals, bits).select("slot", "key", "rank").union(guests)
+    slots = ranked.join(shares.select("key", "more", "each"), "key").select(
+        "slot", "key", "rank", (F.col("rank") * F.col("each") + F.least("rank", "more")).alias("start"),
+        (F.col("each") + (F.col("rank") < F.col("more")).cast("long")).alias("words"))
+
+    placed = stored(streams(sized, order), "streams")
+    shares = shares.select("key", "words", "more", "each", F.expr("words div source_size").alias("passes"), (F.col("words") % F.col("source_size")).alias("rest"))
+    told = placed.join(goals.select("key", "source_size", "target"), "key").join(shares, "key", "left")
+    inside = F.greatest(F.least("size", F.col("rest") - F.col("start")), F.lit(0))
+    told = told.withColumn("taken", F.coalesce(F.col("passes") * F.col("size") + inside, F.lit(0)).cast("long"))
+    rank = F.expr("if(start < more * (each + 1), start div (each + 1), more + (start - more * (each + 1)) div greatest(each, 1))")
+    # What is not taken has a rank of its own that no slot has, so it does not meet in one task.
+    told = told.withColumn("rank", F.when(F.col("taken") > 0, rank).otherwise(-1 - F.col("start")))
+    by_doc = told.join(slots.select("key", "rank", F.col("slot").alias("first_slot")), ["key", "rank"], "left").select(
+        order, "size", "source_size", "target", "taken", "first_slot")
     return by_doc, slots
 
 

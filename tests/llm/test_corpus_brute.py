@@ -81,6 +81,41 @@ def test_mix(spark, docs, folder):
     assert mixing.op6_mix_sources(spark, folder(documents=docs([]))).count() == 0
 
 
+def test_mix_of_small_sources(spark, docs):
+    r = random.Random(4)
+    rows = [(i, " ".join(["w"] * r.randint(1, 40)), None, f"s{i % 300}") for i in range(900)]
+    rows += [(1000 + i, "w " * 300, None, f"large{i % 3}") for i in range(60)]
+    rows += [(2000, "only", None, "tiny"), (2001, "", None, "blank")]
+    frame = docs(rows)
+    got, slots = (x.collect() for x in mixing.mix(frame))
+    source, goal, size, taken = {i: s for i, _, _, s in rows}, {}, {}, collections.Counter()
+    for x in got:
+        s = source[x["doc_id"]]
+        goal[s], size[s] = x["target"], x["source_size"]
+        taken[s] += x["taken"]
+        assert (x["first_slot"] is None) == (x["taken"] == 0)
+    assert sum(v < 200 for v in size.values()) > 290
+    assert all(abs(taken[s] - goal[s]) <= 0.5 for s in goal)
+    # The slots of a source follow each other through its stream and read what is taken; no document is read before its slot.
+    total, read = sum(size.values()), collections.defaultdict(list)
+    for x in sorted(slots):
+        read[x["key"][1:]].append((x["rank"], x["start"], x["words"]))
+    assert set(read) == {s for s in goal if goal[s]} and {x["slot"] for x in slots} == set(range(1 << math.ceil(math.log2(total / 64))))
+    for s, each in read.items():
+        assert [k for k, *_ in each] == list(range(len(each)))
+        assert [b for _, b, _ in each] == [sum(w for *_, w in each[:k]) for k in range(len(each))] and sum(w for *_, w in each) == taken[s]
+    first = {(x["key"][1:], x["start"]): x["slot"] for x in slots}
+    for s in read:
+        mine = [x for x in got if source[x["doc_id"]] == s and x["taken"]]
+        assert min(x["first_slot"] for x in mine) == first[s, 0] and {x["first_slot"] for x in mine} <= {v for (k, _), v in first.items() if k == s}
+    copies = collections.Counter(x["doc_id"] for x in mixing.mixed_documents(frame).select("doc_id").collect())
+    words, longest = collections.Counter(), collections.Counter()
+    for i, t, _, s in rows:
+        words[s] += copies[i] * len(t.split())
+        longest[s] = max(longest[s], len(t.split()))
+    assert all(abs(words[s] - goal[s]) <= longest[s] / 2 + 0.5 for s in goal)
+
+
 def test_schedule_is_low_discrepancy(spark):
     goals = spark.createDataFrame([("a", 0, 0.0, 0.2), ("b", 1, 0.2, 0.5), ("c", 2, 0.5, 1.0)], "key string, place long, low double, high double")
     rows = sorted(mixing.schedule(goals, 9).collect())
