@@ -182,7 +182,11 @@ def links(docs: DataFrame, text: str = "text", edits: int = EDITS, min_chars: in
 
 
 def deduplicate(docs: DataFrame, text: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Per document: n_lines, n_links (links of its lines to different lines), n_dropped and the positions dropped."""
+    """Per document: n_lines, n_links (links of its lines to different lines), n_dropped, the positions dropped and the lines' classes.
+
+    ``line_classes`` has (position, class_doc_id, class_position, links) of every line by position: a class is named by
+    the id and position of its first line, and ``links`` counts the different lines that this one is linked to.
+    """
     lines = lines_of(docs, text)
     pairs = stored(links(docs, text, edits, min_chars), "line-links")
     degree = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).groupBy("id").agg(F.count("*").alias("links"))
@@ -190,14 +194,17 @@ def deduplicate(docs: DataFrame, text: str = "text", edits: int = EDITS, min_cha
     told = stored(lines.select("doc_id", "position", "id").join(classes, "id", "left").select(
         "doc_id", "position", F.coalesce("component", "id").alias("class"), F.coalesce("links", F.lit(0)).alias("links")), "line-classes")
     first = told.groupBy("class").agg(F.min(F.struct("doc_id", "position")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = F.struct("doc_id", "position") != F.col("first")
-    marked = told.join(first.select("class", "first"), "class", "left").withColumn("dropped", F.coalesce(later, F.lit(False)))
+    own = F.struct("doc_id", "position")
+    marked = told.join(first.select("class", "first"), "class", "left").withColumn("first", F.coalesce("first", own)).withColumn("dropped", own != F.col("first"))
+    named = F.struct("position", F.col("first.doc_id").alias("class_doc_id"), F.col("first.position").alias("class_position"), "links")
     by_doc = marked.groupBy("doc_id").agg(
         F.count("*").alias("n_lines"), F.sum("links").alias("n_links"), F.count_if("dropped").alias("n_dropped"),
-        F.array_sort(F.collect_list(F.when(F.col("dropped"), F.col("position")))).alias("dropped_lines"))
+        F.array_sort(F.collect_list(F.when(F.col("dropped"), F.col("position")))).alias("dropped_lines"),
+        F.array_sort(F.collect_set(named)).alias("line_classes"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return docs.select("doc_id").join(by_doc, "doc_id", "left").select(
-        "doc_id", zero("n_lines"), zero("n_links"), zero("n_dropped"), F.coalesce("dropped_lines", F.array().cast("array<int>")).alias("dropped_lines"))
+        "doc_id", zero("n_lines"), zero("n_links"), zero("n_dropped"), F.coalesce("dropped_lines", F.array().cast("array<int>")).alias("dropped_lines"),
+        F.coalesce("line_classes", F.array().cast(by_doc.schema["line_classes"].dataType)).alias("line_classes"))
 
 
 def op7_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:

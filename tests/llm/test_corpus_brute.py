@@ -188,6 +188,36 @@ def test_line_join(spark, docs, folder):
     assert lines.op7_line_edit_join(spark, folder(documents=docs([]))).count() == 0
 
 
+def test_line_classes(spark, docs, folder):
+    r = random.Random(6)
+    base = ["".join(r.choice("abcd ") for _ in range(30)).strip() + "." for _ in range(12)]
+    def edited(x):
+        i = r.randrange(len(x))
+        return x[:i] + r.choice(["", "z", "q"]) + x[i + r.randint(0, 1):]
+    rows = [(i, "\n".join(edited(edited(r.choice(base))) if r.random() < 0.8 else r.choice(["", "short", "  "]) for _ in range(r.randint(0, 6)))) for i in range(50)]
+    rows += [(100, None), (None, base[0])]
+    occ = [(i, p, x) for i, t in rows if i is not None for p, x in enumerate((t or "").split("\n")) if x.strip()]
+    near = collections.defaultdict(set)
+    for (_, _, a), (_, _, b) in itertools.combinations(occ, 2):
+        if a != b and min(len(a), len(b)) >= 20 and lines.edit_distance(a, b, 2) <= 2:
+            near[a].add(b)
+            near[b].add(a)
+    name = {}
+    for i, p, x in sorted(occ):
+        todo = [] if x in name else [x]
+        while todo:
+            y = todo.pop()
+            if y not in name:
+                name[y] = (i, p)
+                todo += near[y]
+    want = collections.defaultdict(list)
+    for i, p, x in occ:
+        want[i].append((p, *name[x], len(near[x])))
+    got = lines.op7_line_edit_join(spark, folder(documents=docs(rows))).collect()
+    assert len(got) == len(rows) and any(len(x) > 1 for x in near.values())
+    assert [(g["doc_id"], [tuple(x) for x in g["line_classes"]]) for g in got if g["line_classes"] != want[g["doc_id"]]] == []
+
+
 def test_fm_index():
     rng = np.random.default_rng(2)
     for sigma in (1, 2, 5, 300):
