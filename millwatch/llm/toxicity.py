@@ -6,7 +6,8 @@ four and five letters, each as 1 + log(count).
 
 Training rows: of every label the ``per_label`` rows that come first in the order of a hash of their id, so
 at most 2 * ``per_label`` texts; all else covers every row. The features are those that occur in ``least`` training
-texts and whose log-odds between the labels lie ``SIGNIFICANT`` standard errors from zero, the ``n_features`` clearest at most. Grades: 0 for clean texts; toxic texts are graded 1 to 3 by thirds of
+texts and whose likelihood ratio between the labels (G-test of the 2x2 table of texts, sound for words that one label never
+has) is as clear as ``SIGNIFICANT`` standard errors, the ``n_features`` clearest at most. Grades: 0 for clean texts; toxic texts are graded 1 to 3 by thirds of
 how many of their words bear a feature that speaks for toxicity.
 
 A text is toxic when P(grade >= 1) is a half or more; its severity is the expected grade, 0 to 3. NULL texts,
@@ -94,9 +95,17 @@ def vocabulary(training: DataFrame, n_features: int, least: int) -> list[tuple[b
     counts = training.select("text", "label").mapInArrow(count, "feature binary, toxic long, clean long").groupBy("feature").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where(F.col("toxic") + F.col("clean") >= least)
     rate = lambda c, n: F.log((F.col(c) + 0.5) / (n - F.col(c) + 0.5))
+    every = totals[0] + totals[1]
+    having = F.col("toxic") + F.col("clean")
+
+    def cell(seen, row, n):
+        return F.when(seen > 0, seen * F.log(seen * F.lit(float(every)) / (row * F.lit(float(n))))).otherwise(0.0)
+
+    ratio = (cell(F.col("toxic"), having, totals[1]) + cell(F.col("clean"), having, totals[0])
+             + cell(totals[1] - F.col("toxic"), every - having, totals[1]) + cell(totals[0] - F.col("clean"), every - having, totals[0]))
     odds = counts.select("feature", (rate("toxic", totals[1]) - rate("clean", totals[0])).alias("odds"),
-                         F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5)).alias("error"))
-    clear = odds.withColumn("z", F.abs("odds") / F.col("error")).where(F.col("z") >= SIGNIFICANT)
+                         F.sqrt(2 * F.greatest(ratio, F.lit(0.0))).alias("z"))
+    clear = odds.where(F.col("z") >= SIGNIFICANT)
     best = clear.orderBy(F.desc("z"), "feature").limit(n_features).collect()
     return [(bytes(r["feature"]), r["odds"]) for r in best]
 

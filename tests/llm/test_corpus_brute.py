@@ -348,6 +348,28 @@ def test_toxicity(spark, docs, folder):
     assert toxicity.op9_toxicity_severity(spark, folder(documents=docs(rows), labels=none)).agg(F.max("severity")).first()[0] == 0
 
 
+def test_varied_toxic_words(spark, docs, folder):
+    r = random.Random(10)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    clean, bad = [word() for _ in range(200)], [word() for _ in range(200)]
+    rows, labels = [], []
+    for i in range(8400):  # of 4000 toxic training texts, 20 have any one bad word
+        ws = r.choices(clean, k=10)
+        if i % 2:
+            ws.insert(r.randrange(10), bad[i // 2 % 200])
+        rows.append((i, " ".join(ws)))
+        if i < 8000:
+            labels.append((i, 1, i % 2))
+    tables = {"documents": docs(rows), "labels": spark.createDataFrame(labels, LABELS)}
+    got = toxicity.op9_toxicity_severity(spark, folder(**tables)).where("doc_id >= 8000").collect()
+    assert len(got) == 400
+    assert np.mean([x["toxic"] == (x["doc_id"] % 2 == 1) for x in got]) > 0.99
+    assert all((x["severity"] > 0.5) == (x["doc_id"] % 2 == 1) for x in got)
+    # The statistic against the ratio of likelihoods, at zero counts too.
+    training = spark.createDataFrame([(i, int(i < 40), f"common {'rare' if i < 9 else ''} {'mixed' if i % 4 else ''}") for i in range(100)], "doc_id long, label long, text string")
+    assert {f for f, o in toxicity.vocabulary(training, 99, 5) if o > 2} == {b"rare"}
+
+
 def test_ablation(spark, docs, corpus):
     entries = quality.ledger(docs(corpus))
     rows = entries.collect()
