@@ -827,9 +827,14 @@ def performance_summary(spark, folder):
 
 @query
 def classifier_grid(spark, folder):
-    """Cross-validated search over a part of ``ml.CLASSIFIER_GRID``; Spark's forests have no minimum split size."""
-    grid = {name: values[:2] for name, values in ml.CLASSIFIER_GRID.items()}
-    return _round(ml.train_classifier(_stored_health(spark, folder), grid=grid).metrics)
+    """Cross-validated search over ``ml.CLASSIFIER_GRID``; Spark's forests have no minimum split size."""
+    return _round(ml.train_classifier(_stored_health(spark, folder), grid=ml.CLASSIFIER_GRID).metrics)
+
+
+@query
+def regressor_grid(spark, folder):
+    """Cross-validated search over ``ml.REGRESSOR_GRID``; Spark's forests have no minimum split size."""
+    return _round(ml.train_regressor(_stored_health(spark, folder), grid=ml.REGRESSOR_GRID).metrics)
 
 
 @query

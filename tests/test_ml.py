@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millwatch.config import Training
 from millwatch.operators import features, metrics, ml, reports, split
-from millwatch.plans import jobs
+from millwatch.plans import catalogue, jobs
 from millwatch.sources import sinks
 
 QUICK = Training(trees=8, folds=2)
@@ -104,6 +104,19 @@ def test_grid_search(fleet):
     assert clf.model.stages[-1].getNumTrees in (3, 6) and reg.model.stages[-1].getNumTrees in (3, 6)
 
 
+@pytest.mark.parametrize("name, grid", [("classifier", ml.CLASSIFIER_GRID), ("regressor", ml.REGRESSOR_GRID)])
+def test_grid_queries_search_all(spark, monkeypatch, name, grid):
+    searched, search = [], ml._search
+
+    def small(pipeline, forest, values, *rest):
+        searched.append(values)
+        return search(pipeline, forest, {"numTrees": (2,)}, *rest)
+
+    monkeypatch.setattr(ml, "_search", small)
+    rows = catalogue.QUERIES[f"{name}_grid"](spark, "/root/testdata/sf0.001").collect()
+    assert searched == [grid] and {r["model"] for r in rows} == {name}
+
+
 def test_risk_classifier_and_patterns(fleet):
     model = ml.train_risk_classifier(fleet, settings=Training(risk_trees=10))
     predicted = ml.predict_risk(fleet, model)
