@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from millwatch.config import ALERTS, AlertRules, CRITIQUE
 from millwatch.functions import alerting
@@ -79,10 +79,21 @@ def ranked(alert_rows: DataFrame) -> DataFrame:
     return alert_rows.orderBy("priority", F.desc("prob_failure"), "machine_id")
 
 
-def append_history(alert_rows: DataFrame, path: str) -> None:
-    """Add a run's alerts to the history table, partitioned by the day of the run."""
-    (alert_rows.withColumn("as_of_date", F.to_date("timestamp"))
-     .write.mode("append").partitionBy("as_of_date").parquet(path))
+def append_history(alert_rows: DataFrame, path: str, **keys: int) -> None:
+    """Add a run's alerts to the history table; a day that is run again replaces its own alerts and no others.
+
+    The table is partitioned by the day of the run, and below it by ``keys`` such as a batch number. Only partitions
+    that receive rows are overwritten; a day whose second run raises no alert at all is cleared with ``clear_day``.
+    """
+    keyed = alert_rows.withColumn("as_of_date", F.to_date("timestamp")).withColumns({k: F.lit(v) for k, v in keys.items()})
+    (keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("as_of_date", *keys).parquet(path))
+
+
+def clear_day(spark: SparkSession, path: str, day: str) -> bool:
+    """Take the alerts of one day (``YYYY-MM-DD``) out of the history; False when it holds none."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/as_of_date={day}")
+    return bool(folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True))
 
 
 def scheduled(alert_rows: DataFrame, weeks_ahead: int = 4, rules: AlertRules = ALERTS) -> DataFrame:

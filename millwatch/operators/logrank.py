@@ -9,24 +9,24 @@ from millwatch.operators.scan import SUM
 from millwatch.operators.survival import bucketed, observations, scan
 from millwatch.session import materialise
 
-# Pairs grow with the square of the groups; a column with more values than this is no grouping.
-MAX_GROUPS = 1000
+# Groups of one block: a point is sent to every block of partners and meets the block's groups there.
+BLOCK = 64
 
 
 def logrank_pairs(df: DataFrame, group: str = "model", time: str = "time", event: str = "event",
                   alpha: float = 0.05) -> DataFrame:
     """``(group_a, group_b, statistic, p_value, significant)`` for every pair of groups, a < b.
 
-    Works on the distinct ``(group, time)`` points. Each point is sent to the pairs its group
-    takes part in, one row per partner group, so a pair's table is the merge of two curves and never
-    a join of their rows. More than ``MAX_GROUPS`` groups raise a ValueError.
+    Works on the distinct ``(group, time)`` points. Groups are a stored table dealt into blocks; each point is sent to the blocks
+    and joins the other groups there, one row per partner, so a pair's table is the merge of two curves and
+    never a join of their rows. The number of groups is not limited.
     """
     points = materialise(observations(df, group, time, event), "grid")
-    groups = [r["group"] for r in points.select("group").distinct().limit(MAX_GROUPS + 1).collect()]
-    if len(groups) > MAX_GROUPS:
-        raise ValueError(f"{group!r} has more than {MAX_GROUPS} values: too many to compare in pairs")
-    names = F.lit(sorted(groups)) if groups else F.array().cast("array<string>")
-    partnered = points.withColumn("partner", F.explode(F.filter(names, lambda x: x != F.col("group"))))
+    groups = materialise(points.select(F.col("group").alias("partner")).distinct(), "groups")
+    blocks = max(1, -(-groups.count() // BLOCK))
+    dealt = groups.withColumn("_block", F.pmod(F.xxhash64("partner"), F.lit(blocks)).cast("int"))
+    sent = points.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    partnered = sent.join(dealt, (sent["_block"] == dealt["_block"]) & (sent["group"] != dealt["partner"])).select(*points.columns, "partner")
     first = F.col("group") < F.col("partner")
     merged = partnered.groupBy(
         F.least("group", "partner").alias("group_a"), F.greatest("group", "partner").alias("group_b"), "time",

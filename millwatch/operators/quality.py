@@ -140,6 +140,28 @@ def machines_by_model(df: DataFrame) -> DataFrame:
     return df.where(F.col("model").isNotNull()).groupBy("model").agg(F.count(F.lit(1)).alias("machines"))
 
 
+def long_form(tables: dict[str, DataFrame], keys: dict[str, str]) -> DataFrame:
+    """Rows ``(part, key, metric, value, text)`` of several tables: one row per figure, numbers in ``value``, others in ``text``.
+
+    ``keys`` names the column of a part that identifies its rows.
+    """
+    out = None
+    for part, table in tables.items():
+        key = keys.get(part)
+        figures = [c for c in table.columns if c != key]
+        number = {c: isinstance(table.schema[c].dataType, T.NumericType) for c in figures}
+        rows = table.select(F.lit(part).alias("part"), (F.col(key) if key else F.lit(None)).cast("string").alias("key"), F.explode(F.array(*[
+            F.struct(F.lit(c).alias("metric"), (F.col(c) if number[c] else F.lit(None)).cast("double").alias("value"),
+                     (F.lit(None) if number[c] else F.col(c)).cast("string").alias("text")) for c in figures])).alias("e")
+        ).select("part", "key", "e.*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+#: The identifying column of each part of the bundle.
+BUNDLE_KEYS = {"numeric": "column", "text": "column", "missing": "column", "types": "column", "by_model": "model"}
+
+
 def statistics(df: DataFrame) -> dict[str, DataFrame]:
     """The statistics bundle: numeric and text profile, fleet figures, machines by model."""
     bundle = {"numeric": describe_numeric(df), "text": describe_string(df), "missing": missing_values(df),

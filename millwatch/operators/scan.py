@@ -29,6 +29,8 @@ class Measure:
 
 SUM = Measure(F.sum, lambda before, here: before + here, 0)
 PRODUCT = Measure(F.product, lambda before, here: before * here, 1.0)
+#: The largest value so far; of structs that begin with the position, the last known one.
+LAST = Measure(F.max, lambda before, here: F.greatest(before, here), None)
 
 Measures = Mapping[str, tuple[str, Measure]]
 
@@ -45,8 +47,8 @@ def running(df: DataFrame, keys: Sequence[str], path: Path, measures: Measures,
             descending: bool = False) -> DataFrame:
     """Add inclusive running measures per ``keys`` along ``path``.
 
-    ``measures`` maps an output column to ``(input column, Measure)``; inputs hold no NULL
-    and rows are unique in ``keys + path``.
+    ``measures`` maps an output column to ``(input column, Measure)``; inputs hold no NULL (``LAST``
+    skips them) and rows are unique in ``keys + path``.
     """
     return _scan(df, list(keys), [list(level) for level in path], measures, descending, Window.currentRow)
 
@@ -73,6 +75,17 @@ def _scan(df, keys, path, measures, descending, upto):
     }).drop(*[f"_before_{out}" for out in measures])
 
 
+def fan_in(df: DataFrame, keys: Sequence[str], path: Path) -> DataFrame:
+    """The most rows that one window of a scan along ``path`` sees, by level from coarse to fine."""
+    out = None
+    for level in range(len(path)):
+        bucket, children = list(keys) + _flat(path[:level]), list(keys) + _flat(path[:level + 1])
+        sizes = df.select(*children).distinct().groupBy(*bucket).agg(F.count(F.lit(1)).alias("rows"))
+        most = sizes.agg(F.lit(level).alias("level"), F.max("rows").alias("rows"))
+        out = most if out is None else out.unionByName(most)
+    return out
+
+
 def fill_gaps(df: DataFrame, keys: Sequence[str], path: Path, columns: Mapping[str, str]) -> DataFrame:
     """Last known value at or before each row, else the first known one after it.
 

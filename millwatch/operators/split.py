@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from millwatch.config import TRAINING
 from millwatch.operators.scan import SUM, running
-
-# A label with more values than this is no class.
-MAX_CLASSES = 1000
+from millwatch.session import materialise
 
 
 def row_hash(id_column: str = "machineID", seed: int = TRAINING.seed) -> Column:
@@ -28,16 +26,13 @@ def stratified_split(df: DataFrame, label: str = "event", test_fraction: float =
     """Add ``is_test`` so that each class contributes its exact share of test rows.
 
     Rows are ranked per class by hash, through 65 536 hash buckets, so the majority class is never
-    sorted in one task. Rows without a label get none; more than ``MAX_CLASSES`` classes raise a ValueError.
+    sorted in one task. Class sizes are a stored table that joins the ranked rows. Rows without a label get none.
     """
     rows = df.where(F.col(label).isNotNull() & F.col(id_column).isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy(label).count().limit(MAX_CLASSES + 1).collect()}
-    if len(sizes) > MAX_CLASSES:
-        raise ValueError(f"{label!r} has more than {MAX_CLASSES} values: not a class label")
-    quota = F.lit(0)
-    for value, size in sizes.items():
-        quota = F.when(F.col(label) == value, round(size * test_fraction)).otherwise(quota)
+    size = F.count(F.lit(1)) * F.lit(test_fraction)
+    quotas = materialise(rows.groupBy(F.col(label).alias("_label")).agg(F.bround(size).cast("long").alias("_quota")), "quotas")
     digest = row_hash(id_column, seed)
     hashed = rows.withColumns({"_hash": digest, "_bucket": F.shiftright(digest, 16), "_one": F.lit(1).cast("long")})
     ranked = running(hashed, [label], [["_bucket"], ["_hash", id_column]], {"_rank": ("_one", SUM)})
-    return ranked.withColumn("is_test", F.col("_rank") <= quota).select(*df.columns, "is_test")
+    return ranked.join(quotas, ranked[label] == quotas["_label"]).withColumn(
+        "is_test", F.col("_rank") <= F.col("_quota")).select(*df.columns, "is_test")

@@ -8,24 +8,24 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from millwatch import config
 from millwatch.functions.numeric import MICROS_PER_DAY, half_even
-from millwatch.operators.scan import PRODUCT, SUM, running
+from millwatch.operators.scan import LAST, PRODUCT, SUM, running
 from millwatch.session import materialise
 
 POOLED = "fleet"
 
-# Running sums go through buckets of 2^24 microseconds (17 s): a bucket holds that many distinct times at
-# most, and ten years of operation have 19 million buckets. Both bounds hold whatever the size of the fleet.
-BUCKET_BITS = 24
-PATH = [["_bucket"], ["time"]]
+# Running sums go through a prefix tree over the microseconds of time: 2^16 per bucket, 2^16 buckets per epoch of 71 minutes, and
+# ten years have 73,000 epochs. So no window sees many more than 2^16 rows, whatever the size of the fleet or of a group.
+FAN_IN_BITS = 16
+PATH = [["_epoch"], ["_bucket"], ["time"]]
 
 # A product of many steps that should be exactly one half may land a few ulps above it.
 HALF_TOLERANCE = 1e-12
 
 
 def bucketed(points: DataFrame) -> DataFrame:
-    """Add the bucket of each point's ``time``, the outer level of ``PATH``."""
+    """Add the epoch and bucket of each point's ``time``, the outer levels of ``PATH``."""
     micros = F.floor(F.col("time") * F.lit(float(MICROS_PER_DAY)))
-    return points.withColumn("_bucket", F.shiftright(micros, BUCKET_BITS))
+    return points.withColumns({"_epoch": F.shiftright(micros, 2 * FAN_IN_BITS), "_bucket": F.shiftright(micros, FAN_IN_BITS)})
 
 
 def scan(points: DataFrame, measures, keys: Sequence[str] = ("group",), descending: bool = False) -> DataFrame:
@@ -145,6 +145,24 @@ def add_survival_at_time(df: DataFrame, curve: DataFrame, group: str = "model",
     return df.join(points, [group, time], "left").select(*df.columns, "survival_at_time")
 
 
+def add_survival_as_of(df: DataFrame, curve: DataFrame, group: str = "model", at: str = "time",
+                       output: str = "survival_as_of") -> DataFrame:
+    """Survival of the row's group at any time ``at``: the last point of the curve not after it.
+
+    Curve points and the distinct times asked for are merged in one order and the last point is carried along the prefix
+    tree, so neither a group's curve nor its rows meet in one task. Past the last point its value holds on; before
+    the first, in a group without a curve, and for a NULL group or time the result is NULL.
+    """
+    wanted = df.select(F.col(group).alias("group"), F.col(at).cast("double").alias("time")).dropna().distinct()
+    points = curve.select("group", "time", F.struct("time", "survival").alias("_point"))
+    merged = wanted.select("group", "time", F.lit(None).cast(points.schema["_point"].dataType).alias("_point")).unionByName(points)
+    merged = merged.groupBy("group", "time").agg(F.max("_point").alias("_point"))
+    carried = scan(bucketed(merged), {"_last": ("_point", LAST)}).select(
+        F.col("group").alias("_group"), F.col("time").alias("_at"), F.col("_last.survival").alias("_found"))
+    met = df[group].eqNullSafe(carried["_group"]) & (df[at].cast("double") == carried["_at"])
+    return df.join(carried, met, "left").select(*[df[c] for c in df.columns if c != output], F.col("_found").alias(output))
+
+
 def rul_columns(df: DataFrame) -> dict[str, Column]:
     """Pooled remaining-life figures and the machine's current time, as columns over the rows of ``df``.
 

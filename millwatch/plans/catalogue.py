@@ -318,6 +318,14 @@ def survival_at_time(spark, folder):
     return _round(joined.select("machineID", "survival_at_time"))
 
 
+@query
+def survival_as_of(spark, folder):
+    """Survival of each machine's model at a time of the machine's own, mostly between two points of the curve."""
+    rows = _fleet(spark, folder)
+    asked = rows.select("machineID", "model", (F.col("age") * 5.3 + F.col("time") / 7 - 4).alias("asked"))
+    return _round(survival.add_survival_as_of(asked, survival.km_curve(rows), at="asked").select("machineID", "asked", "survival_as_of"))
+
+
 @query
 def logrank_pairs(spark, folder):
     return _round(logrank.logrank_pairs(_fleet(spark, folder)).select(
@@ -326,10 +334,10 @@ def logrank_pairs(spark, folder):
 
 @query
 def logrank_p_value(spark, folder):
-    """The p value as the statistic it stands for in a table of chi-square quantiles: its band of significance."""
+    """The p value and its band of significance."""
     p = F.col("p_value")
     band = F.when(p < 0.001, "<0.001").when(p < 0.01, "<0.01").when(p < 0.05, "<0.05").when(p < 0.1, "<0.1").otherwise(">=0.1")
-    return logrank.logrank_pairs(_fleet(spark, folder)).select("group_a", "group_b", band.alias("p_band"))
+    return _round(logrank.logrank_pairs(_fleet(spark, folder)).select("group_a", "group_b", "p_value", band.alias("p_band")))
 
 
 @query
@@ -337,6 +345,17 @@ def cox_fit(spark, folder):
     return cox.fit_cox(_fleet(spark, folder))
 
 
+@query
+def cox_gradient(spark, folder):
+    """Gradient of the partial likelihood at the fitted coefficients: zero, except for aliased covariates, which have none."""
+    rows = _fleet(spark, folder)
+    fitted = cox.fit_cox(rows)
+    coefficients = {r["feature"]: r["coef"] for r in fitted.collect()}
+    score = cox.partial_likelihood(rows, {c: b for c, b in coefficients.items() if b is not None}).where("quantity = 'gradient'")
+    found = fitted.join(score.select(F.col("first").alias("feature"), F.abs("value").alias("gradient")), "feature", "left")
+    return _round(found.select("feature", F.isnull("coef").alias("aliased"), "gradient"), 4)
+
+
 @query
 def cox_score(spark, folder):
     """Efron's partial likelihood and its derivatives over all covariates, at fixed coefficients."""
@@ -707,10 +726,10 @@ def model_decision_pack(spark, folder):
 
 @query
 def alert_history(spark, folder):
-    """Two days of alerts appended to a history and read back, counted by day and level."""
+    """Two days of alerts, the first one run twice, written to a history and read back, counted by day and level."""
     rows = _stored_health(spark, folder)
     path = f"{work_dir(spark).rstrip('/')}/millwatch/history-{uuid.uuid4().hex}"
-    for day in ("2024-06-01 00:00:00", "2024-06-02 00:00:00"):
+    for day in ("2024-06-01 00:00:00", "2024-06-02 00:00:00", "2024-06-01 00:00:00"):
         alerting.append_history(alerting.alerts(rows, day), path)
     return spark.read.parquet(path).groupBy(F.col("as_of_date").cast("string").alias("day"), "alert_level").agg(
         F.count("*").alias("alerts"))
@@ -731,11 +750,26 @@ def technical_prompt(spark, folder):
 
 @query
 def statistics_bundle(spark, folder):
-    """Sizes and keys of every table of the bundle."""
-    bundle = quality.statistics(_stored_health(spark, folder))
+    """Every figure of the bundle as a row."""
+    rows = _stored_health(spark, folder).select(*config.SURVIVAL_COLUMNS, "global_health_score", "risk_level", "model_label")
+    return _round(quality.long_form(quality.statistics(rows), quality.BUNDLE_KEYS))
+
+
+@query
+def replaced_dataset(spark, folder):
+    """Machines that readers of a dataset see: one that began before it was replaced, one after, and one of a version made current again."""
+    place = f"{work_dir(configure(spark)).rstrip('/')}/millwatch/dataset-{uuid.uuid4().hex}"
+    rows, data = _fleet(spark, folder), readers.Catalogue({"fleet": f"{place}/fleet"})
+    seen = []
+    for version, part in (("1", rows), ("2", rows.where("age >= 10"))):
+        sinks.write_survival_table(part, f"{place}/upload-{version}.csv", "csv")
+        sinks.replace_dataset(spark, f"{place}/upload-{version}.csv", f"{place}/fleet", version)
+        seen.append(data.read(spark, "fleet"))
+    sinks.make_current(spark, f"{place}/fleet", "1")
+    seen.append(data.read(spark, "fleet"))
     out = None
-    for name, table in bundle.items():
-        part = table.select(F.lit(name).alias("part"), F.col(table.columns[0]).cast("string").alias("key"))
+    for name, table in zip(("before", "after", "restored"), seen):
+        part = table.agg(F.lit(name).alias("reader"), F.count(F.lit(1)).alias("machines"), F.sum("event").alias("failures"))
         out = part if out is None else out.unionByName(part)
     return out
 

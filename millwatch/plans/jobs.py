@@ -47,7 +47,7 @@ def train_job(spark: SparkSession, source: str, target: str, classifier_grid: di
 
 
 def alert_job(spark: SparkSession, source: str, target: str, as_of: datetime, models: str | None = None) -> DataFrame:
-    """Score the fleet, append the alerts to the history and write the text reports."""
+    """Score the fleet, put the alerts into the history and write the text reports."""
     configure(spark)
     fleet = materialise(features.health_features(require_columns(read_survival_table(spark, source))), "fleet")
     loaded = sinks.load_models(spark, ("classifier", "regressor"), models) if models else {}
@@ -56,7 +56,10 @@ def alert_job(spark: SparkSession, source: str, target: str, as_of: datetime, mo
         scored, as_of, predicted_probability="pred_proba" if "classifier" in loaded else None,
         predicted_rul="pred_rul" if "regressor" in loaded else None), "alerts")
     target = target.rstrip("/")
-    alerting.append_history(rows, f"{target}/alert_history")
+    if rows.isEmpty():
+        alerting.clear_day(spark, f"{target}/alert_history", str(as_of)[:10])
+    else:
+        alerting.append_history(rows, f"{target}/alert_history")
     economics = materialise(fleet_economics(fleet), "economics")
     sinks.write_lines(executive_report(fleet, economics, rows, as_of), f"{target}/executive_report")
     sinks.write_lines(maintenance_report(rows, as_of), f"{target}/maintenance_report")

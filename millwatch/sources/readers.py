@@ -77,6 +77,27 @@ def read_raw_logs(spark: SparkSession, paths: Mapping[str, str], file_format: st
     })
 
 
+MANIFESTS = "_current"
+
+
+def _store(spark: SparkSession, folder: str):
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder.rstrip("/"))
+    return root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), root
+
+
+def manifests(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the dataset's manifests, ``<number>-<version>``, the current one last."""
+    store, root = _store(spark, folder)
+    place = root.suffix(f"/{MANIFESTS}")
+    return sorted(entry.getPath().getName() for entry in store.listStatus(place)) if store.exists(place) else []
+
+
+def current_path(spark: SparkSession, path: str) -> str:
+    """Path of the current version of a versioned dataset; any other path stands for itself."""
+    names = manifests(spark, path)
+    return f"{path.rstrip('/')}/version={names[-1].split('-', 1)[1]}" if names else path
+
+
 class Catalogue:
     """Named datasets of a deployment, resolved to paths."""
 
@@ -89,4 +110,5 @@ class Catalogue:
         return self._paths[name]
 
     def read(self, spark: SparkSession, name: str) -> DataFrame:
-        return read_survival_table(spark, self.path(name))
+        """The dataset as it is now: a table that is replaced later does not change under its readers."""
+        return read_survival_table(spark, current_path(spark, self.path(name)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from typing import Mapping, Sequence
 
 from pyspark.ml import PipelineModel
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.utils import AnalysisException
 
 from millwatch.operators.quality import require_columns
-from millwatch.sources.readers import read_survival_table
+from millwatch.sources.readers import MANIFESTS, _store, manifests, read_survival_table
 
 
 def write_survival_table(df: DataFrame, path: str, file_format: str = "parquet") -> None:
@@ -60,11 +61,27 @@ def load_models(spark: SparkSession, names: Sequence[str], folder: str) -> dict[
 
 
 def replace_dataset(spark: SparkSession, source: str, folder: str, version: str) -> str:
-    """Validate a newly supplied table and store it as a version of its own; returns its path.
+    """Validate a newly supplied table, store it as a version of its own and make it the current one; returns its path.
 
-    The previous versions stay readable, so jobs that run meanwhile are not disturbed.
+    A table that fails validation changes nothing. The swap is the creation of one empty file, whose name holds a number
+    above all others and the version: readers see the old version or the new one. Earlier versions stay
+    readable, so jobs that began before are not disturbed; a version that exists is not written again.
     """
+    if not re.fullmatch(r"[\w.-]+", version):
+        raise ValueError(f"not a version name: {version!r}")
     table = require_columns(read_survival_table(spark, source))
     target = f"{folder.rstrip('/')}/version={version}"
-    table.write.mode("overwrite").parquet(target)
+    table.write.mode("errorifexists").parquet(target)
+    make_current(spark, folder, version)
     return target
+
+
+def make_current(spark: SparkSession, folder: str, version: str) -> None:
+    """Point the dataset to one of its versions, also back to an earlier one."""
+    store, root = _store(spark, folder)
+    if not store.exists(root.suffix(f"/version={version}")):
+        raise ValueError(f"no version {version!r} in {folder!r}")
+    while True:  # another writer may take the number in between
+        taken = [int(name.split("-", 1)[0]) for name in manifests(spark, folder)]
+        if store.createNewFile(root.suffix(f"/{MANIFESTS}/{max(taken, default=0) + 1:012d}-{version}")):
+            return

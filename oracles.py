@@ -357,6 +357,10 @@ oracle("km_summary", f"""
 oracle("survival_at_horizons", f"SELECT machineID, {cols(HORIZON_COLUMNS)} FROM survival s LEFT JOIN horizons z ON z.grp = s.model")
 oracle("survival_at_time", f"SELECT machineID, {even('c.survival')} AS survival_at_time FROM survival s "
        "LEFT JOIN curve c ON c.grp = s.model AND c.time = s.time")
+oracle("survival_as_of", f"""
+    SELECT machineID, {even('asked')} AS asked, {even('c.survival')} AS survival_as_of
+    FROM (SELECT machineID, model, age * 5.3e0 + time / 7 - 4 AS asked FROM survival) s
+    ASOF LEFT JOIN (SELECT grp, {dbl('time')} AS time, survival FROM curve) c ON s.model = c.grp AND s.asked >= c.time""")
 oracle("logrank_pairs", f"""
     SELECT a AS group_a, b AS group_b, {even('power(sum(d_a - e), 2) / sum(v)')} AS statistic,
            power(sum(d_a - e), 2) / sum(v) > 3.841458820694124 AS significant
@@ -416,6 +420,31 @@ oracle("describe_string", stacked(("model", "risk_level", "model_label"), lambda
     f"FROM (SELECT {c}, count(*) AS n FROM health GROUP BY {c})")))
 oracle("fleet_statistics", f"SELECT count(*) AS total_machines, count(DISTINCT model) AS unique_models, {even('avg(age)')} AS avg_age, "
        f"{even('avg(global_health_score)')} AS avg_health, {even('avg(event) * 100')} AS failure_rate FROM health")
+STATED = (*[c for c in ALL if c != "model"], "global_health_score")
+PROFILE = {"count": "count({0})", "mean": "avg({0})", "std": "stddev_samp({0})", "min": "min({0})", "q25": "quantile_cont(CAST({0} AS DOUBLE), 0.25)",
+           "q50": "quantile_cont(CAST({0} AS DOUBLE), 0.5)", "q75": "quantile_cont(CAST({0} AS DOUBLE), 0.75)", "max": "max({0})"}
+TEXT_PROFILE = {"count": ("count({0})", None), "unique": ("count(DISTINCT {0})", None), "freq": ("(SELECT max(n) FROM (SELECT count(*) AS n FROM health GROUP BY {0}))", None),
+                "top": (None, "(SELECT {0} FROM health GROUP BY {0} ORDER BY count(*) DESC, {0} LIMIT 1)")}
+FIGURES = {"total_machines": "count(*)", "unique_models": "count(DISTINCT model)", "avg_age": "avg(age)",
+           "avg_health": "avg(global_health_score)", "failure_rate": "avg(event) * 100"}
+
+
+def figure(part, key, metric, value=None, text=None, source="health"):
+    return (f"SELECT '{part}' AS part, {key} AS key, '{metric}' AS metric, {even(value) if value else 'CAST(NULL AS DOUBLE)'} AS value, "
+            f"{f'CAST({text} AS VARCHAR)' if text else 'NULL'} AS text FROM {source}")
+
+
+oracle("statistics_bundle", " UNION ALL ".join(
+    [figure("numeric", f"'{c}'", m, e.format(c)) for c in STATED for m, e in PROFILE.items()]
+    + [figure("text", f"'{c}'", m, e and e.format(c), t and t.format(c), "(SELECT 1)" if "(SELECT" in (e or t) else "health")
+       for c in ("model", "risk_level", "model_label") for m, (e, t) in TEXT_PROFILE.items()]
+    + [figure("missing", f"'{c}'", "missing", f"count(*) - count({c})") for c in (*STATED, "model", "risk_level", "model_label")]
+    + [figure("types", f"'{c}'", "data_type", None, f"'{ {**KINDS, 'global_health_score': 'double'}.get(c, 'string')}'", "(SELECT 1)") for c in (*STATED, "model", "risk_level", "model_label")]
+    + [figure("types", f"'{c}'", "present", f"count({c})") for c in (*STATED, "model", "risk_level", "model_label")]
+    + [figure("fleet", "NULL", m, e) for m, e in FIGURES.items()]
+    + [figure("by_model", "model", "machines", "count(*)") + " GROUP BY model"]))
+oracle("replaced_dataset", "SELECT reader, count(*) AS machines, CAST(sum(event) AS BIGINT) AS failures FROM survival "
+       "JOIN (VALUES ('before', 0), ('after', 10), ('restored', 0)) r(reader, least) ON age >= least GROUP BY reader")
 oracle("machines_by_model", "SELECT model, count(*) AS machines FROM survival GROUP BY model")
 oracle("distinct_models", "SELECT DISTINCT model FROM survival")
 
@@ -682,14 +711,22 @@ oracle("error_sessions", f"""
 oracle("alerts_total", "SELECT model, count(*) AS alerts FROM alerts GROUP BY ROLLUP (model)")
 oracle("alert_history", "SELECT day, alert_level, count(*) AS alerts FROM alerts, (VALUES ('2024-06-01'), ('2024-06-02')) d(day) "
        "GROUP BY day, alert_level")
-ORACLES["logrank_p_value"] = f"""SELECT group_a, group_b, CASE WHEN statistic > 10.827566170662733 THEN '<0.001'
+# Upper tail of chi-square with one degree of freedom: 1 - erf(sqrt(x / 2)), the error function by its series of positive terms.
+CHI_TAIL = ("1 - list_sum(list_transform(range(0, 400), lambda k: exp(2 * k * ln(2) + (2 * k + 1) * ln(sqrt(statistic / 2)) + lgamma(k + 1) "
+            "- lgamma(2 * k + 2) - statistic / 2))) * 2 / sqrt(pi())")
+ORACLES["logrank_p_value"] = f"""SELECT group_a, group_b, {even(CHI_TAIL)} AS p_value, CASE WHEN statistic > 10.827566170662733 THEN '<0.001'
     WHEN statistic > 6.6348966010212145 THEN '<0.01' WHEN statistic > 3.841458820694124 THEN '<0.05'
-    WHEN statistic > 2.705543454095404 THEN '<0.1' ELSE '>=0.1' END AS p_band FROM ({ORACLES['logrank_pairs']})"""
+    WHEN statistic > 2.705543454095404 THEN '<0.1' ELSE '>=0.1' END AS p_band
+    FROM ({ORACLES['logrank_pairs'].replace(even('power(sum(d_a - e), 2) / sum(v)'), 'power(sum(d_a - e), 2) / sum(v)')})"""
 ORACLES["split_sizes"] = f"""SELECT 'classifier' AS model, event AS label, is_test, count(*) AS machines
     FROM ({ORACLES['stratified_split']}) GROUP BY event, is_test
     UNION ALL SELECT 'regressor', NULL, is_test, count(*) FROM ({ORACLES['random_split']}) GROUP BY is_test"""
 
 
+oracle("cox_gradient", f"""
+    SELECT feature, aliased, CASE WHEN NOT aliased THEN {dbl(0)} END AS gradient FROM (
+        SELECT unnest(['age', 'volt', 'rotate', 'pressure', 'error_count', 'maint_count']) AS feature, false AS aliased
+        UNION ALL SELECT 'vibration', abs(corr(vibration, volt)) > 1 - 1e-9 FROM survival)""")
 COVARIATES = ("age", "volt", "rotate", "pressure", "vibration", "error_count", "maint_count")
 PAIRS = [(a, b) for i, a in enumerate(COVARIATES) for b in COVARIATES[i:]]
 MOMENTS = {"0": "w", **{a: f"w * {a}" for a in COVARIATES}, **{f"{a}_{b}": f"w * {a} * {b}" for a, b in PAIRS}}

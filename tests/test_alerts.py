@@ -119,6 +119,16 @@ def test_history_appends_by_day(spark, tmp_path):
         alerts.append_history(alerts.alerts(rows, f"{day} 00:00:00"), path)
     history = spark.read.parquet(path)
     assert history.count() == 2 and history.select("as_of_date").distinct().count() == 2
+    # a day that runs again replaces its own alerts only, also with fewer of them
+    two = spark.createDataFrame([(i, "m", 1, 5.0, 80.0, 0.0, 0) for i in (1, 2, 3)], FLEET)
+    counts = lambda: {str(r[0]): r[1] for r in spark.read.parquet(path).groupBy("as_of_date").count().collect()}
+    for rows, want in ((two, 3), (two, 3), (two.limit(1), 1)):
+        alerts.append_history(alerts.alerts(rows, "2024-06-02 00:00:00"), path)
+        assert counts() == {"2024-06-01": 1, "2024-06-02": want}
+    alerts.append_history(alerts.alerts(two.limit(0), "2024-06-02 00:00:00"), path)
+    assert counts()["2024-06-02"] == 1
+    assert alerts.clear_day(spark, path, "2024-06-02") and not alerts.clear_day(spark, path, "2024-06-03")
+    assert counts() == {"2024-06-01": 1}
 
 
 def test_custom_rules(spark):

@@ -117,6 +117,29 @@ def test_new_dataset_becomes_a_version(spark, tmp_path):
         sinks.replace_dataset(spark, str(tmp_path / "bad.csv"), str(tmp_path / "data"), "3")
 
 
+def test_current_dataset_is_swapped_as_a_whole(spark, tmp_path):
+    source, folder = csv(tmp_path, "1,model1,3,10.5,1,170,450,100,40,5,7"), str(tmp_path / "data")
+    with open(source, encoding="utf-8") as handle:
+        good = handle.read().replace("maint count", "maint_count")
+    data = readers.Catalogue({"fleet": folder, "plain": str(tmp_path / "one.csv")})
+    for name, rows in (("one", 1), ("two", 2)):
+        (tmp_path / f"{name}.csv").write_text(good + good.splitlines()[-1].replace("1,", "2,", 1) * (rows - 1), encoding="utf-8")
+    sinks.replace_dataset(spark, str(tmp_path / "one.csv"), folder, "v1")
+    before = data.read(spark, "fleet")
+    sinks.replace_dataset(spark, str(tmp_path / "two.csv"), folder, "v2")
+    assert (before.count(), data.read(spark, "fleet").count(), data.read(spark, "plain").count()) == (1, 2, 1)
+    (tmp_path / "bad.csv").write_text("machineID\n1\n")
+    for bad in (lambda: sinks.replace_dataset(spark, str(tmp_path / "bad.csv"), folder, "v3"), lambda: sinks.make_current(spark, folder, "v9"),
+                lambda: sinks.replace_dataset(spark, str(tmp_path / "one.csv"), folder, "a/b")):
+        with pytest.raises(ValueError):
+            bad()
+    with pytest.raises(Exception, match="exist"):
+        sinks.replace_dataset(spark, str(tmp_path / "one.csv"), folder, "v2")
+    assert data.read(spark, "fleet").count() == 2
+    sinks.make_current(spark, folder, "v1")
+    assert data.read(spark, "fleet").count() == 1 and [m.split("-")[1] for m in readers.manifests(spark, folder)] == ["v1", "v2", "v1"]
+
+
 def test_materialised_tables_live_in_the_shared_folder(spark):
     df = session.materialise(spark.range(5), "probe")
     assert all(session.work_dir(spark) in f for f in df.inputFiles())

@@ -1,5 +1,6 @@
 """Streaming results equal the batch results of the same functions."""
 
+import numpy as np
 import pytest
 from pyspark.sql import Window, functions as F
 
@@ -7,7 +8,7 @@ from millwatch.operators.alerts import alerts
 from millwatch.operators.features import health_features
 from millwatch.sources import driver_tables
 from millwatch.streaming import telemetry as windows
-from millwatch.streaming.alerts import alert_stream, write_stream
+from millwatch.streaming.alerts import alert_stream, write_history, write_stream
 
 FOLDER = "/root/testdata/sf0.001"
 FAR = "2030-01-01 00:00:00"
@@ -49,6 +50,43 @@ def test_telemetry_windows(spark, logs, tmp_path, slide):
          windows.telemetry_windows(logs.telemetry, **arguments))
 
 
+def test_sliding_windows_of_panes(spark, plan_of):
+    """Panes give what readings copied into every window give, with NULLs, single readings and a large offset; readings are not copied."""
+    rng = np.random.default_rng(3)
+    rows = [(int(m), float(s), *(None if rng.random() < 0.2 else float(1e6 + rng.normal()) for _ in range(4))) for m, s in zip(rng.integers(0, 4, 600), rng.uniform(0, 40 * 86400, 600))]
+    df = spark.createDataFrame(rows, "machineID long, s double, volt double, rotate double, pressure double, vibration double")
+    df = df.withColumn("datetime", F.timestamp_seconds(F.col("s") + 1_700_000_000)).drop("s")
+    for width, slide in (("3 days", "1 day"), ("50 hours", "30 hours")):
+        got = windows.telemetry_windows(df, width, slide)
+        direct = df.groupBy(F.window("datetime", width, slide).alias("w"), "machineID").agg(
+            F.avg("volt").alias("m"), F.stddev_samp("volt").alias("s"), F.count(F.lit(1)).alias("n"))
+        want = {(r.machineID, r.w.start): (r.m, r.s, r.n) for r in direct.collect()}
+        found = {(r.machineID, r.window_start): (r.volt_mean, r.volt_std, r.readings) for r in got.collect()}
+        assert found.keys() == want.keys()
+        for key, (m, s, n) in want.items():
+            assert found[key] == (m if m is None else pytest.approx(m, rel=1e-12), s if s is None else pytest.approx(s, rel=1e-6, abs=1e-6), n)
+    assert windows.pane_length("14 days", "1 hour") == "3600000 milliseconds"
+    plan = plan_of(windows.telemetry_windows(df, "14 days", "1 hour"), "simple")
+    assert plan.rindex("Exchange") > plan.index("Expand") if "Expand" in plan else plan.count("Exchange") == 2
+    with pytest.raises(ValueError):
+        windows.pane_length("1 month", "1 day")
+
+
+def test_history_of_a_stream(spark, tmp_path):
+    """A stream's history by batch; a batch that runs again does not double its alerts."""
+    schema = "machineID long, model string, age int, time double, volt double, rotate double, pressure double, " \
+             "vibration double, error_count long, maint_count long"
+    snapshot = spark.createDataFrame([(i, "m", 3, 5.0, 170.0, 450.0, 100.0, 40.0, 50, 3) for i in range(40)], schema)
+    snapshot.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(snapshot.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    for checkpoint in ("state", "lost"):  # the second run has lost its progress and replays all batches
+        query = write_history(alert_stream(stream, "2024-06-01 00:00:00"), str(tmp_path / "history"), str(tmp_path / checkpoint), once=True)
+        query.awaitTermination(300)
+        assert query.exception() is None
+        history = spark.read.parquet(str(tmp_path / "history"))
+        assert history.count() == history.select("machine_id").distinct().count() == 40
+
+
 def test_event_windows(spark, logs, tmp_path):
     errors = stream_of(spark, logs.errors, str(tmp_path / "errors"))
     maint = stream_of(spark, logs.maint, str(tmp_path / "maint"))
