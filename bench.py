@@ -1,6 +1,6 @@
 """Times the headline queries and prints one JSON line.
 
-``BENCH_SF_DIR`` names the data folder, ``BENCH_CPUS`` the local cores. Each query is built and run
+``BENCH_SF_DIR`` names the data folder, ``BENCH_CPUS`` the local cores, ``BENCH_SHARED_DIR`` the folder of stored tables. Each query is built and run
 to completion (a noop write of every column) four times; the figure is the median of the last three.
 """
 
@@ -27,8 +27,10 @@ def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1:] or HEADLINE
+    shared = os.environ.get("BENCH_SHARED_DIR") or tempfile.mkdtemp(prefix="bench-")  # one process, so any folder is shared
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("millwatch-bench")
+        .config("spark.checkpoint.dir", shared)
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
@@ -39,8 +41,6 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-"))  # one process, so it is shared
     timings = {}
     for name in names:
         runs = []

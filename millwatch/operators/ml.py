@@ -9,15 +9,14 @@ from typing import Callable, Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import IndexToString, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window, functions as F
 
 from millwatch import config
 from millwatch.config import TRAINING, Training
+from millwatch.operators import forest
 from millwatch.operators.metrics import classification_report, regression_metrics, roc_auc
 from millwatch.operators.split import random_split, stratified_split
 from millwatch.session import materialise
@@ -26,8 +25,11 @@ from millwatch.session import materialise
 DEFAULT_DEPTH = 10
 
 # Hyper-parameter grids. Depth 30 is Spark's limit and stands for "unlimited".
-CLASSIFIER_GRID = {"numTrees": (100, 200), "maxDepth": (10, 20, 30), "minInstancesPerNode": (1, 2)}
-REGRESSOR_GRID = {"numTrees": (100, 200), "maxDepth": (10, 20, 30)}
+CLASSIFIER_GRID = {"numTrees": (100, 200), "maxDepth": (10, 20, 30), "minInstancesPerNode": (1, 2), "minSamplesSplit": (2, 5)}
+REGRESSOR_GRID = {"numTrees": (100, 200), "maxDepth": (10, 20, 30), "minSamplesSplit": (2, 5)}
+
+
+GRID_LABELS = {"trees": "numTrees", "depth": "maxDepth", "leaf": "minInstancesPerNode", "split": "minSamplesSplit"}
 
 
 @dataclass(frozen=True)
@@ -39,6 +41,10 @@ class Trained:
     importance: DataFrame
     _tested: DataFrame
     _measure: Callable[[DataFrame], DataFrame]
+    features: Sequence[str] = ()
+    #: Settings that a grid search chose, and the score of every combination.
+    chosen: dict | None = None
+    scores: DataFrame | None = None
 
     @cached_property
     def predictions(self) -> DataFrame:
@@ -46,10 +52,22 @@ class Trained:
 
     @cached_property
     def metrics(self) -> DataFrame:
-        """Rows ``(model, metric, label, value)``, the depth limit of the forest among them."""
-        depth = self.model.stages[-1].getMaxDepth()
-        limit = self._tested.sparkSession.range(1).select(F.lit(depth).alias("max_depth"))
-        return self._measure(self.predictions).unionByName(_long(limit, self.name))
+        """Rows ``(model, metric, label, value)``, the depth limit of the forest among them.
+
+        After a grid search also the other settings it chose, and a row ``cv_score`` per combination, labelled with its settings.
+        """
+        limits = {"max_depth": self.model.stages[-1].getMaxDepth()}
+        if self.chosen:
+            limits |= {"n_estimators": self.chosen["numTrees"], "min_samples_leaf": self.chosen["minInstancesPerNode"],
+                       "min_samples_split": self.chosen["minSamplesSplit"]}
+        limit = self._tested.sparkSession.range(1).select(*[F.lit(v).alias(k) for k, v in limits.items()])
+        rows = self._measure(self.predictions).unionByName(_long(limit, self.name))
+        if self.scores is None:
+            return rows
+        return rows.unionByName(self.scores.select(
+            F.lit(self.name).alias("model"), F.lit("cv_score").alias("metric"), F.concat_ws(
+                " ", *[F.concat(F.lit(f"{short}="), F.col(c).cast("string")) for short, c in GRID_LABELS.items()]).alias("label"),
+            F.col("score").alias("value")))
 
 
 def optimal_features(df: DataFrame) -> list[str]:
@@ -81,12 +99,17 @@ def _long(df: DataFrame, model: str, label_column: str | None = None) -> DataFra
     ).select("model", "e.metric", "label", "e.value")
 
 
-def _search(pipeline: Pipeline, estimator, grid: dict, evaluator, settings: Training, parallelism: int):
-    builder = ParamGridBuilder()
-    for name, values in grid.items():
-        builder = builder.addGrid(getattr(estimator, name), list(values))
-    return CrossValidator(estimator=pipeline, estimatorParamMaps=builder.build(), evaluator=evaluator,
-                          numFolds=settings.folds, seed=settings.seed, parallelism=parallelism)
+def _search(train: DataFrame, features: Sequence[str], target: str, grid: dict, fit: Callable[..., PipelineModel], positive: bool,
+            settings: Training, parallelism: int) -> tuple[PipelineModel, dict, DataFrame]:
+    """The best combination of the grid (the first one of equal scores: fewer trees, then depth, leaf and split size), fitted on all rows."""
+    scores = forest.search(train, features, target, grid, lambda *a: fit(*a).stages[-1], positive, settings.folds, settings.seed, parallelism)
+    order = list(GRID_LABELS.values())
+    rank = F.desc(F.round("score", 9)) if positive else F.asc(F.round("score", 9))
+    chosen = scores.orderBy(rank, *order).select(*order).first().asDict()
+    model = fit(train, chosen["numTrees"], chosen["maxDepth"], chosen["minInstancesPerNode"])
+    if chosen["minSamplesSplit"] > 2:
+        model = PipelineModel(stages=[*model.stages[:-1], forest.with_min_split(train.sparkSession, model.stages[-1], chosen["minSamplesSplit"])])
+    return model, chosen, scores
 
 
 def _sizes(split: DataFrame, model: str) -> DataFrame:
@@ -106,14 +129,17 @@ def train_classifier(df: DataFrame, features: Sequence[str] | None = None, targe
     rows = stratified_split(df.select("machineID", target, *[c for c in features if c not in ("machineID", target)]),
                             target, test_fraction or settings.test_fraction, seed=settings.seed)
     rows = materialise(rows, "classifier_rows")
-    forest = RandomForestClassifier(labelCol=target, numTrees=settings.trees, maxDepth=depth, seed=settings.seed)
-    pipeline = Pipeline(stages=[*feature_stages(features), forest])
     train = rows.where(~F.col("is_test"))
+
+    def fit(part: DataFrame, trees: int, deepest: int, leaf: int = 1) -> PipelineModel:
+        grower = RandomForestClassifier(labelCol=target, numTrees=trees, maxDepth=deepest, minInstancesPerNode=leaf, seed=settings.seed)
+        return Pipeline(stages=[*feature_stages(features), grower]).fit(part)
+
+    chosen = scores = None
     if grid:
-        scorer = MulticlassClassificationEvaluator(labelCol=target, metricName="fMeasureByLabel", metricLabel=1.0)
-        model = _search(pipeline, forest, grid, scorer, settings, parallelism).fit(train).bestModel
+        model, chosen, scores = _search(train, features, target, grid, fit, True, settings, parallelism)
     else:
-        model = pipeline.fit(train)
+        model = fit(train, settings.trees, depth)
     tested = model.transform(rows.where("is_test")).select(
         "machineID", F.col(target).cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"),
         _positive_probability().alias("score"))
@@ -122,7 +148,7 @@ def train_classifier(df: DataFrame, features: Sequence[str] | None = None, targe
         return (_long(classification_report(scored), "classifier", "scope")
                 .unionByName(_long(roc_auc(scored), "classifier")).unionByName(_sizes(rows, "classifier")))
 
-    return Trained("classifier", model, _importance(model, "classifier", features, df), tested, measure)
+    return Trained("classifier", model, _importance(model, "classifier", features, df), tested, measure, features, chosen, scores)
 
 
 def _positive_probability():
@@ -139,20 +165,23 @@ def train_regressor(df: DataFrame, features: Sequence[str] | None = None, target
     rows = random_split(df.select("machineID", target, *needed).where(F.col(target).isNotNull()),
                         test_fraction or settings.test_fraction, seed=settings.seed)
     rows = materialise(rows, "regressor_rows")
-    forest = RandomForestRegressor(labelCol=target, numTrees=settings.trees, maxDepth=depth, seed=settings.seed)
-    pipeline = Pipeline(stages=[*feature_stages(features), forest])
     train = rows.where(~F.col("is_test"))
+
+    def fit(part: DataFrame, trees: int, deepest: int, leaf: int = 1) -> PipelineModel:
+        grower = RandomForestRegressor(labelCol=target, numTrees=trees, maxDepth=deepest, minInstancesPerNode=leaf, seed=settings.seed)
+        return Pipeline(stages=[*feature_stages(features), grower]).fit(part)
+
+    chosen = scores = None
     if grid:
-        scorer = RegressionEvaluator(labelCol=target, metricName="mae")
-        model = _search(pipeline, forest, grid, scorer, settings, parallelism).fit(train).bestModel
+        model, chosen, scores = _search(train, features, target, grid, fit, False, settings, parallelism)
     else:
-        model = pipeline.fit(train)
+        model = fit(train, settings.trees, depth)
     tested = model.transform(rows.where("is_test")).select("machineID", F.col(target).alias("label"), "prediction")
 
     def measure(scored: DataFrame) -> DataFrame:
         return _long(regression_metrics(scored), "regressor").unionByName(_sizes(rows, "regressor"))
 
-    return Trained("regressor", model, _importance(model, "regressor", features, df), tested, measure)
+    return Trained("regressor", model, _importance(model, "regressor", features, df), tested, measure, features, chosen, scores)
 
 
 def performance_summary(trained: Sequence[Trained]) -> DataFrame:
@@ -191,9 +220,9 @@ def train_risk_classifier(df: DataFrame, label: str = "risk_level", settings: Tr
                           depth: int = DEFAULT_DEPTH) -> PipelineModel:
     """Forest that learns the heuristic risk level from the four scoring features, on every row."""
     indexer = StringIndexer(inputCol=label, outputCol="_label", handleInvalid="skip").fit(df)
-    forest = RandomForestClassifier(labelCol="_label", numTrees=settings.risk_trees, maxDepth=depth, seed=settings.seed)
+    grower = RandomForestClassifier(labelCol="_label", numTrees=settings.risk_trees, maxDepth=depth, seed=settings.seed)
     names = IndexToString(inputCol="prediction", outputCol="predicted_level", labels=indexer.labels)
-    trainer = Pipeline(stages=[*feature_stages(config.SCORING_FEATURES), forest])
+    trainer = Pipeline(stages=[*feature_stages(config.SCORING_FEATURES), grower])
     fitted = trainer.fit(indexer.transform(df))
     return PipelineModel(stages=[*fitted.stages, names])
 
@@ -218,12 +247,31 @@ def standardise(df: DataFrame, columns: Sequence[str] = config.CLUSTER_FEATURES)
 
 
 def train_failure_patterns(df: DataFrame, settings: Training = TRAINING) -> PipelineModel:
-    """K-means on three standardised readings; two or three clusters depending on fleet size."""
+    """K-means on three standardised readings; two or three clusters depending on fleet size. Iterations end when no centre moves."""
     clusters = max(2, min(settings.max_clusters, df.count() // 10))
     scaler = StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True, withStd=True)
-    kmeans = KMeans(featuresCol="_scaled", predictionCol="failure_pattern", k=clusters, seed=settings.seed)
+    kmeans = KMeans(featuresCol="_scaled", predictionCol="failure_pattern", k=clusters, seed=settings.seed, maxIter=300, tol=1e-12)
     return Pipeline(stages=[*feature_stages(config.CLUSTER_FEATURES, "_c_", "_raw"), scaler, kmeans]).fit(df)
 
 
+def pattern_certificate(df: DataFrame, model: PipelineModel) -> DataFrame:
+    """(pattern, machines, nearest, off_centre): of every cluster its rows, those nearest to its centre, and how far their mean is from it.
+
+    Distances are recomputed from the standardised readings by expressions; a stationary clustering has all rows nearest and no offset.
+    """
+    centres = [[float(v) for v in c] for c in model.stages[-1].clusterCenters()]
+    z = vector_to_array("_scaled").cast("array<double>")
+    rows = model.transform(df).select("failure_pattern", z.alias("z"))
+    square = lambda c: sum(((F.get("z", F.lit(i)) - v) * (F.get("z", F.lit(i)) - v) for i, v in enumerate(c)), F.lit(0.0))
+    distances = F.array(*[square(c) for c in centres])
+    own = F.get(distances, F.col("failure_pattern")) <= F.array_min(distances) + 1e-12
+    means = [F.avg(F.get("z", F.lit(i))) for i in range(len(centres[0]))]
+    at = lambda i: F.get(F.get(F.lit(centres), F.col("failure_pattern")), F.lit(i))
+    grouped = rows.groupBy("failure_pattern").agg(F.count(F.lit(1)).alias("machines"), F.count_if(own).alias("nearest"),
+                                                  *[m.alias(f"m{i}") for i, m in enumerate(means)])
+    off = F.greatest(*[F.abs(F.col(f"m{i}") - at(i)) for i in range(len(means))])
+    return grouped.select(F.col("failure_pattern").alias("pattern"), "machines", "nearest", off.alias("off_centre"))
+
+
 def assign_failure_patterns(df: DataFrame, model: PipelineModel) -> DataFrame:
     return model.transform(df).select(*df.columns, "failure_pattern")

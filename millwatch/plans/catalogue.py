@@ -14,7 +14,7 @@ from millwatch import config
 from millwatch.functions import alerting as alert_rules, health as health_rules, risk as risk_rules
 from millwatch.functions.numeric import half_even
 from millwatch.operators import (
-    alerts as alerting, cox, dossier as dossiers, economics, etl, features, fleet, logrank, metrics, ml,
+    alerts as alerting, cox, dossier as dossiers, economics, etl, features, fleet, forest, logrank, metrics, ml,
     prep, quality, reports, split, survival,
 )
 from millwatch.plans.jobs import fleet_table
@@ -861,13 +861,13 @@ def performance_summary(spark, folder):
 
 @query
 def classifier_grid(spark, folder):
-    """Cross-validated search over ``ml.CLASSIFIER_GRID``; Spark's forests have no minimum split size."""
+    """Cross-validated search over ``ml.CLASSIFIER_GRID``, with the score of each of its 24 combinations."""
     return _round(ml.train_classifier(_stored_health(spark, folder), grid=ml.CLASSIFIER_GRID).metrics)
 
 
 @query
 def regressor_grid(spark, folder):
-    """Cross-validated search over ``ml.REGRESSOR_GRID``; Spark's forests have no minimum split size."""
+    """Cross-validated search over ``ml.REGRESSOR_GRID``, with the score of each of its 12 combinations."""
     return _round(ml.train_regressor(_stored_health(spark, folder), grid=ml.REGRESSOR_GRID).metrics)
 
 
@@ -914,6 +914,72 @@ def score_fleet(spark, folder):
     return _round(scored.select("machineID", "pred_proba", "pred_rul"))
 
 
+def _forests(rows: DataFrame) -> list[tuple[str, ml.Trained, DataFrame]]:
+    trained = (ml.train_classifier(rows), ml.train_regressor(rows))
+    return [(t.name, t, forest.node_table(rows.sparkSession, t.model.stages[-1])) for t in trained]
+
+
+@query
+def forest_nodes(spark, folder):
+    """Nodes of both forests by tree and depth, with what must hold of them: children split their parent's rows, and lower its impurity."""
+    out = None
+    for name, _, nodes in _forests(_stored_health(spark, folder)):
+        child = nodes.select("tree", F.col("parent").alias("node"), F.col("n").alias("child_n"), (F.col("n") * F.col("impurity")).alias("child_i"))
+        held = child.groupBy("tree", "node").agg(F.sum("child_n").alias("child_n"), F.sum("child_i").alias("child_i"), F.count("*").alias("children"))
+        inner = nodes.where("left >= 0").join(held, ["tree", "node"], "left")
+        whole = (F.col("children") == 2) & (F.col("child_n") == F.col("n")) & (F.col("child_i") <= F.col("n") * F.col("impurity") + 1e-6)
+        leaves = nodes.where("left < 0").select(F.lit("leaf").alias("kind"), (F.col("feature") == -1).alias("sound"))
+        both = inner.select(F.lit("inner").alias("kind"), whole.alias("sound")).unionByName(leaves)
+        part = both.groupBy("kind").agg(F.lit(name).alias("model"), F.coalesce(F.count_if(~F.col("sound")), F.lit(0)).alias("unsound"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def forest_predictions(spark, folder):
+    """Scores of the saved models less those of a walk down the node table: nothing, for every machine."""
+    rows = _stored_health(spark, folder)
+    (_, clf, one), (_, reg, two) = _forests(rows)
+    depth = ml.DEFAULT_DEPTH
+    walked = forest.predictions(rows, one, clf.features, {"walked_proba": (10_000, depth, 2)}, "class:1")
+    walked = forest.predictions(walked, two, reg.features, {"walked_rul": (10_000, depth, 2)}, "prediction")
+    scored = ml.score_fleet(walked, clf.model, reg.model)
+    return _round(scored.select("machineID", F.abs(F.col("pred_proba") - F.col("walked_proba")).alias("proba_off"),
+                                F.abs(F.col("pred_rul") - F.greatest(F.lit(1.0), "walked_rul")).alias("rul_off")))
+
+
+@query
+def risk_prediction_walked(spark, folder):
+    """Predicted risk levels and confidences less those of a walk down the node table."""
+    rows = materialise(features.add_risk_level(_raw_health(spark, folder)), "labelled")
+    model = ml.train_risk_classifier(rows)
+    nodes, labels = forest.node_table(spark, model.stages[-2]), model.stages[-1].getLabels()
+    predicted = ml.predict_risk(rows, model)
+    for k in range(len(labels)):
+        predicted = forest.predictions(predicted, nodes, config.SCORING_FEATURES, {f"w{k}": (10_000, ml.DEFAULT_DEPTH, 2)}, f"class:{k}")
+    off = F.greatest(*[F.abs(F.col("probabilities")[name] - F.col(f"w{k}")) for k, name in enumerate(labels)], F.lit(0.0))
+    return _round(predicted.select("machineID", off.alias("off"), (F.col("probabilities")[F.col("risk_level")] == F.col("confidence")).alias("is_level")))
+
+
+@query
+def importance_walked(spark, folder):
+    """Importances less the sums of impurity decrease over the node table."""
+    out = None
+    for name, trained, nodes in _forests(_stored_health(spark, folder)):
+        found = forest.importances(nodes, list(trained.features)).withColumnRenamed("importance", "summed")
+        part = trained.importance.join(found, "feature").select("model", "feature", F.abs(F.col("importance") - F.col("summed")).alias("off"))
+        out = part if out is None else out.unionByName(part)
+    return _round(out)
+
+
+@query
+def pattern_certificate(spark, folder):
+    """Machines of all clusters, and the proof that the clustering is stationary."""
+    rows = _fleet(spark, folder)
+    found = ml.pattern_certificate(rows, ml.train_failure_patterns(rows))
+    return _round(found.agg(F.sum("machines").alias("machines"), F.sum("nearest").alias("nearest"), F.max("off_centre").alias("off_centre")))
+
+
 # ---------------------------------------------------------------- windowed telemetry
 
 @query

@@ -686,6 +686,14 @@ oracle("standardize", "SELECT machineID, " + ", ".join(
     f"{even(f'({c} - (SELECT avg({c}) FROM survival)) / (SELECT stddev_pop({c}) FROM survival)')} AS {c}_z"
     for c in ("vibration", "pressure", "error_count")) + " FROM survival")
 
+# forests and clusters: what must hold of any fit
+LEARNED = ("global_health_score", "vibration", "error_count", "degradation_rate", "pressure", "volt", "rotate", "age", "maint_count", "risk_factor")
+oracle("forest_nodes", "SELECT model, kind, 0 AS unsound FROM (VALUES ('classifier'), ('regressor')) m(model), (VALUES ('inner'), ('leaf')) k(kind)")
+oracle("forest_predictions", f"SELECT machineID, {dbl(0)} AS proba_off, {dbl(0)} AS rul_off FROM survival")
+oracle("risk_prediction_walked", f"SELECT machineID, {dbl(0)} AS off, true AS is_level FROM survival")
+oracle("importance_walked", f"SELECT model, unnest({list(LEARNED)}) AS feature, {dbl(0)} AS off FROM (VALUES ('classifier'), ('regressor')) m(model)")
+oracle("pattern_certificate", f"SELECT count(*) AS machines, count(*) AS nearest, {dbl(0)} AS off_centre FROM survival")
+
 # windowed telemetry
 DAY = "make_timestamp(CAST(floor(epoch_us(datetime) / 86400e6) AS BIGINT) * 86400000000)"
 oracle("telemetry_tumbling", f"""

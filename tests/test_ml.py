@@ -2,10 +2,12 @@
 
 import numpy as np
 import pytest
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
 from millwatch.config import Training
-from millwatch.operators import features, metrics, ml, reports, split
+from millwatch.operators import features, forest, metrics, ml, reports, split
 from millwatch.plans import catalogue, jobs
 from millwatch.sources import sinks
 
@@ -97,24 +99,105 @@ def test_train_save_load_score(spark, fleet, tmp_path):
     assert same.where("pred_proba <> other").count() == 0
 
 
-def test_grid_search(fleet):
-    grid = {"numTrees": (3, 6), "maxDepth": (2, 5)}
+def walk(nodes, x, depth, split):
+    """The end node of a row in one tree {number: node row}, by a loop."""
+    k = 0
+    while nodes[k].left >= 0 and nodes[k].depth < depth and nodes[k].n >= split:
+        k = nodes[k].left if x[nodes[k].feature] <= nodes[k].threshold else nodes[k].right
+    return nodes[k]
+
+
+LIMITS = {"whole": (8, 30, 2), "flat": (8, 2, 2), "few": (3, 30, 2), "wide": (8, 30, 40), "both": (5, 3, 25)}
+
+
+def test_pruned_predictions_equal_a_loop(spark, fleet):
+    gappy = fleet.withColumn("vibration", F.when(F.col("machineID") % 7 > 0, F.col("vibration")))
+    names = ["vibration", "pressure", "age", "error_count"]
+    for trained, value in ((ml.train_classifier(gappy, names, settings=QUICK), "class:1"), (ml.train_regressor(gappy, names, settings=QUICK), "prediction")):
+        nodes = forest.node_table(spark, trained.model.stages[-1])
+        trees = {}
+        for r in nodes.collect():
+            trees.setdefault(r.tree, {})[r.node] = r
+        assert len(trees) == 8 and all(t[0].parent is None and t[0].depth == 0 for t in trees.values())
+        assert all(t[k].depth == t[t[k].parent].depth + 1 for t in trees.values() for k in t if k)
+        got = forest.predictions(gappy, nodes, names, LIMITS, value).collect()
+        assert len(got) == 300
+        for r in got:
+            x = [float(r[c] or 0) for c in names]
+            for name, (count, depth, split) in LIMITS.items():
+                ends = [walk(trees[t], x, depth, split) for t in range(count)]
+                want = np.mean([e.stats[1] / sum(e.stats) if value == "class:1" else e.prediction for e in ends])
+                assert r[name] == pytest.approx(want, abs=1e-12)
+
+
+def test_a_cut_tree_is_a_tree_grown_to_that_depth(spark, fleet):
+    """With all features at every node, a deep forest cut at a depth equals the forest grown to that depth."""
+    names = ["vibration", "pressure", "age", "error_count"]
+    rows = fleet.select("time", *names)
+
+    def grown(depth):
+        grower = RandomForestRegressor(labelCol="time", numTrees=6, maxDepth=depth, seed=5, featureSubsetStrategy="all")
+        return Pipeline(stages=[*ml.feature_stages(names), grower]).fit(rows)
+
+    cut = forest.predictions(rows, forest.node_table(spark, grown(9).stages[-1]), names, {"cut": (6, 3, 2)}, "prediction")
+    both = grown(3).transform(cut).select("cut", "prediction").collect()
+    assert all(r.cut == pytest.approx(r.prediction, rel=1e-9) for r in both) and len({round(r.cut, 6) for r in both}) > 5
+
+
+def test_model_with_a_minimum_split(spark, fleet, tmp_path):
+    """The pruned model predicts what the walk with that limit predicts, also after it was saved."""
+    trained = ml.train_classifier(fleet, settings=QUICK)
+    model = trained.model.stages[-1]
+    small = forest.with_min_split(spark, model, 60)
+    before, after = forest.node_table(spark, model), forest.node_table(spark, small)
+    assert after.count() < before.count() and after.where("left >= 0 AND n < 60").count() == 0
+    walked = forest.predictions(fleet, before, list(trained.features), {"walked": (8, 30, 60)}, "class:1")
+    pipeline = PipelineModel(stages=[*trained.model.stages[:-1], small])
+    sinks.save_models({"small": pipeline}, str(tmp_path))
+    scored = ml.score_fleet(walked, sinks.load_models(spark, ["small"], str(tmp_path))["small"])
+    assert scored.where(F.abs(F.col("walked") - F.col("pred_proba")) > 1e-12).count() == 0
+
+
+def test_grid_search(spark, fleet):
+    """Scores equal those of the folds' forests by a loop; the best combination is fitted."""
+    grid = {"numTrees": (3, 6), "maxDepth": (2, 5), "minInstancesPerNode": (1, 4), "minSamplesSplit": (2, 30)}
     clf = ml.train_classifier(fleet, settings=QUICK, grid=grid)
-    reg = ml.train_regressor(fleet, settings=QUICK, grid=grid)
-    assert clf.model.stages[-1].getNumTrees in (3, 6) and reg.model.stages[-1].getNumTrees in (3, 6)
-
-
-@pytest.mark.parametrize("name, grid", [("classifier", ml.CLASSIFIER_GRID), ("regressor", ml.REGRESSOR_GRID)])
-def test_grid_queries_search_all(spark, monkeypatch, name, grid):
-    searched, search = [], ml._search
+    scores = {(r.numTrees, r.maxDepth, r.minInstancesPerNode, r.minSamplesSplit): r.score for r in clf.scores.collect()}
+    assert len(scores) == 16 and all(0 <= v <= 1 for v in scores.values())
+    best = max(round(v, 9) for v in scores.values())
+    first = min(k for k, v in scores.items() if round(v, 9) == best)
+    assert first == tuple(clf.chosen[k] for k in ml.GRID_LABELS.values())
+    assert clf.model.stages[-1].getNumTrees == first[0]
+    told = {(r.metric, r.label): r.value for r in clf.metrics.collect()}
+    assert told[("min_samples_split", None)] == first[3] and sum(k[0] == "cv_score" for k in told) == 16
+
+    reg = ml.train_regressor(fleet, ["vibration", "age"], settings=QUICK, grid={"numTrees": (4,), "maxDepth": (3,), "minSamplesSplit": (2, 9)})
+    rows = split.random_split(fleet, seed=QUICK.seed).where("NOT is_test").withColumn("fold", F.floor(split.row_hash(seed=QUICK.seed + 1) * 2 / 2 ** 32))
+    errors = []
+    for fold in (0, 1):
+        grower = RandomForestRegressor(labelCol="time", numTrees=4, maxDepth=3, seed=QUICK.seed)
+        model = Pipeline(stages=[*ml.feature_stages(["vibration", "age"]), grower]).fit(rows.where(F.col("fold") != fold))
+        errors.append(model.transform(rows.where(F.col("fold") == fold)).agg(F.avg(F.abs(F.col("time") - F.col("prediction")))).first()[0])
+    want = {r.minSamplesSplit: r.score for r in reg.scores.collect()}
+    assert want[2] == pytest.approx(np.mean(errors), rel=0.15) and len(want) == 2
+
+
+@pytest.mark.parametrize("name, size", [("classifier", 24), ("regressor", 12)])
+def test_grid_queries_search_all(spark, monkeypatch, name, size):
+    searched, search = [], forest.search
+
+    def small(rows, features, target, grid, *rest):
+        searched.append(grid)
+        return search(rows, features, target, {k: v[:1] for k, v in grid.items()}, *rest)
+
+    monkeypatch.setattr(forest, "search", small)
+    rows = catalogue.QUERIES[f"{name}_grid"](spark, "/root/testdata/sf0.001").collect()
+    assert np.prod([len(v) for v in searched[0].values()]) == size and {r["model"] for r in rows} == {name}
 
-    def small(pipeline, forest, values, *rest):
-        searched.append(values)
-        return search(pipeline, forest, {"numTrees": (2,)}, *rest)
 
-    monkeypatch.setattr(ml, "_search", small)
-    rows = catalogue.QUERIES[f"{name}_grid"](spark, "/root/testdata/sf0.001").collect()
-    assert searched == [grid] and {r["model"] for r in rows} == {name}
+def test_patterns_are_stationary(fleet):
+    r = ml.pattern_certificate(fleet, ml.train_failure_patterns(fleet)).agg(F.sum("machines"), F.sum("nearest"), F.max("off_centre")).first()
+    assert (r[0], r[1]) == (300, 300) and r[2] < 1e-9
 
 
 def test_risk_classifier_and_patterns(fleet):

@@ -30,6 +30,15 @@ def test_rows_without_oracle(spark, name):
     assert QUERIES[name](spark, FOLDER).count() > 0
 
 
+def test_cox_fit_figures(spark):
+    """The covariates that have figures do not determine each other, and their intervals hold the coefficients."""
+    rows = {r.feature: r for r in QUERIES["cox_fit"](spark, FOLDER).collect()}
+    assert set(rows) == {"age", "volt", "rotate", "pressure", "vibration", "error_count", "maint_count"}
+    assert [f for f in rows if rows[f].coef is None] == ["vibration"]
+    for r in rows.values():
+        assert r.coef is None or (r.coef_lower_95 < r.coef < r.coef_upper_95 and r.se > 0 and 0 <= r.p <= 1)
+
+
 def test_entry(spark):
     rows = contract.entry(spark).collect()
     assert rows and {r["alert_level"] for r in rows} <= {"CRITIQUE", "HAUTE", "MOYENNE"}
