@@ -130,8 +130,8 @@ def partial_likelihood(df: DataFrame, coefficients: Mapping[str, float], time: s
 def risk_table(rows: DataFrame) -> DataFrame:
     """``rows`` (time, event, x0, x1, ...) stored with the bucket of their time; later times have higher buckets."""
     rows = materialise(rows, "cox_rows")
-    times = bucketed(rows.select("time").distinct().select(F.lit(POOLED).alias("group"), "time", F.lit(1).cast("long").alias("one")))
-    ranked = materialise(scan(times, {"rank": ("one", SUM)}).select("time", "rank"), "cox_times")
+    times = rows.select("time").distinct().select(F.lit(POOLED).alias("group"), "time", F.lit(1).cast("long").alias("one"))
+    ranked = materialise(scan(bucketed(times, rows.count()), {"rank": ("one", SUM)}).select("time", "rank"), "cox_times")
     count = ranked.count()
     size = max(BUCKET_TIMES, -(-count // MAX_BUCKETS))
     return materialise(rows.join(ranked, "time").withColumn("bucket", F.floor((F.col("rank") - 1) / size).cast("int")).drop("rank"), "cox")

@@ -35,7 +35,7 @@ def logrank_pairs(df: DataFrame, group: str = "model", time: str = "time", event
         F.sum(F.when(first, F.col("m")).otherwise(0)).alias("m_a"), F.sum("m").alias("m"))
 
     pair = ["group_a", "group_b"]
-    risk = scan(bucketed(merged), {"n_a": ("m_a", SUM), "n": ("m", SUM)}, keys=pair, descending=True)
+    risk = scan(bucketed(merged, points.count()), {"n_a": ("m_a", SUM), "n": ("m", SUM)}, keys=pair, descending=True)
     d, n, n_a = (F.col(c).cast("double") for c in ("d", "n", "n_a"))
     expected = n_a * d / n
     variance = F.when(n > 1, expected * ((n - n_a) / n) * ((n - d) / (n - 1))).otherwise(0.0)

@@ -13,24 +13,27 @@ from millwatch.session import materialise
 
 POOLED = "fleet"
 
-# Running sums go through a prefix tree over the microseconds of time: 2^16 per bucket, 2^16 buckets per epoch of 71 minutes, and
-# ten years have 73,000 epochs. So no window sees many more than 2^16 rows, whatever the size of the fleet or of a group.
+# No window sees many more than 2^16 rows. Up to so many points one level is enough; more go through a prefix tree over the
+# microseconds of time: 2^16 per bucket, 2^16 buckets per epoch of 71 minutes, and ten years have 73,000 epochs.
 FAN_IN_BITS = 16
+FAN_IN = 1 << FAN_IN_BITS
 PATH = [["_epoch"], ["_bucket"], ["time"]]
 
 # A product of many steps that should be exactly one half may land a few ulps above it.
 HALF_TOLERANCE = 1e-12
 
 
-def bucketed(points: DataFrame) -> DataFrame:
-    """Add the epoch and bucket of each point's ``time``, the outer levels of ``PATH``."""
+def bucketed(points: DataFrame, most: int | None = None) -> DataFrame:
+    """Add the epoch and bucket of each point's ``time``, the outer levels of ``PATH``; not where there are ``most`` points, and those are few."""
+    if most is not None and most <= FAN_IN:
+        return points
     micros = F.floor(F.col("time") * F.lit(float(MICROS_PER_DAY)))
     return points.withColumns({"_epoch": F.shiftright(micros, 2 * FAN_IN_BITS), "_bucket": F.shiftright(micros, FAN_IN_BITS)})
 
 
 def scan(points: DataFrame, measures, keys: Sequence[str] = ("group",), descending: bool = False) -> DataFrame:
-    """Running measures over ``time`` per ``keys``; ``points`` are bucketed and distinct."""
-    return running(points, list(keys), PATH, measures, descending)
+    """Running measures over ``time`` per ``keys``; ``points`` come from ``bucketed`` and are distinct."""
+    return running(points, list(keys), PATH if "_bucket" in points.columns else PATH[-1:], measures, descending)
 
 
 def observations(df: DataFrame, group: str | None = "model", time: str = "time",
@@ -47,8 +50,9 @@ def observations(df: DataFrame, group: str | None = "model", time: str = "time",
 
 
 def estimation_grid(df: DataFrame, group: str | None = "model", time: str = "time", event: str = "event") -> DataFrame:
-    """The distinct points, stored once because the scans read them several times."""
-    return bucketed(materialise(observations(df, group, time, event), "grid"))
+    """The distinct points, stored once because the scans read them several times; their count comes from the stored table."""
+    points = materialise(observations(df, group, time, event), "grid")
+    return bucketed(points, points.count())
 
 
 def curve_of(points: DataFrame, variance: bool = False, min_rows: int = 2) -> DataFrame:

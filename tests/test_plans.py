@@ -55,11 +55,12 @@ def test_top_alerts_limit_before_the_shuffle(table, plan_of):
     assert "TakeOrderedAndProject" in plan_of(fleet.lowest_health(features.health_features(table)), "simple")
 
 
-def test_large_scans_use_bounded_windows(table, plan_of):
+@pytest.mark.parametrize(("fan_in", "levels"), [(0, {(1, "_epoch"), (2, "_bucket"), (3, "time")}), (1 << 16, {(1, "time")})])
+def test_scans_use_as_many_levels_as_points_need(table, plan_of, monkeypatch, fan_in, levels):
+    monkeypatch.setattr(survival, "FAN_IN", fan_in)
     plan = plan_of(survival.km_curve(table), "simple")
     windows = re.findall(r"Window \[.*\], \[(group.*?)\], \[(\S+)", plan)
-    levels = {(len(keys.split(",")), order.split("#")[0]) for keys, order in windows}
-    assert levels == {(1, "_epoch"), (2, "_bucket"), (3, "time")}, levels
+    assert {(len(keys.split(",")), order.split("#")[0]) for keys, order in windows} == levels
 
 
 def test_queries_leave_no_cached_data(spark, table):

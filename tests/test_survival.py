@@ -59,8 +59,9 @@ def sample(seed, size=120, times=40):
              int(rng.random() < 0.7)) for _ in range(size)] + [("alone", 3.0, 1)]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_km_equals_loop(spark, seed):
+@pytest.mark.parametrize(("seed", "fan_in"), [(1, 0), (2, 0), (2, 1 << 16)])
+def test_km_equals_loop(spark, monkeypatch, seed, fan_in):
+    monkeypatch.setattr(survival, "FAN_IN", fan_in)
     rows = sample(seed)
     got = {(r.group, r.time): (r.n_at_risk, r.d, r.survival) for r in survival.km_curve(fleet(spark, rows)).collect()}
     want = loop_curve(rows)
@@ -84,8 +85,9 @@ def test_km_properties(spark, rows):
         ((r.group, r.time), round(r.survival, 9)) for r in curve.collect()}
 
 
-def test_curve_inside_one_bucket(spark):
+def test_curve_inside_one_bucket(spark, monkeypatch):
     """Times a few microseconds apart share a bucket; the curve is the same as over days."""
+    monkeypatch.setattr(survival, "FAN_IN", 0)
     steps = [(1 + i % 3, i % 4 > 0) for i in range(200)]
     days = [("m", float(t), int(e)) for t, e in steps]
     micros = [("m", t / 86_400_000_000, e) for _, t, e in days]
@@ -143,7 +145,9 @@ def test_rul_estimates_and_defaults(spark):
     assert (r.rul_median, r.survival_30d, r.survival_90d) == (100.0, 0.8, 0.6)
 
 
-def test_logrank_equals_loop(spark):
+@pytest.mark.parametrize("fan_in", [0, 1 << 16])
+def test_logrank_equals_loop(spark, monkeypatch, fan_in):
+    monkeypatch.setattr(survival, "FAN_IN", fan_in)
     rows = sample(4)
     got = {(r.group_a, r.group_b): r for r in logrank_pairs(fleet(spark, rows)).collect()}
     groups = sorted({r[0] for r in rows})
@@ -253,6 +257,7 @@ def test_cox_through_buckets_and_pieces_of_ties(spark, monkeypatch):
     assert whole[0] == pytest.approx(efron(np.array([0.3, -0.2]), x, t, e))
     monkeypatch.setattr(cox, "BUCKET_TIMES", 3)
     monkeypatch.setattr(cox, "TIE_CHUNK", 7)
+    monkeypatch.setattr(survival, "FAN_IN", 0)
     assert read() == pytest.approx(whole, rel=1e-9)
 
 
