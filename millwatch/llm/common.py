@@ -30,6 +30,19 @@ def word_count(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
+def boxed(docs: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` and all other columns as one struct, so that no column an operator adds can meet one of theirs."""
+    filler = "_"
+    while filler in docs.columns:
+        filler += "_"
+    return docs.select(F.struct(F.lit(0).alias(filler), *[F.col(f"`{c}`") for c in docs.columns if c not in keep]).alias("_row"), *keep)
+
+
+def unboxed(df: DataFrame, columns: list[str], *keep: str) -> DataFrame:
+    """The columns that ``boxed`` took, in their order and with their values."""
+    return df.select(*[F.col(c) if c in keep else F.col("_row").getField(c).alias(c) for c in columns])
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below the one all executors share (``spark.checkpoint.dir``)."""
     return f"{work_dir(spark).rstrip('/')}/millwatch/{name}-{uuid.uuid4().hex}"

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, table, texts
+from .common import boxed, slices, table, texts, unboxed
 
 #: Bytes of a word stay (A-Z lower-cased), all other ASCII becomes a blank.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -154,9 +154,10 @@ def contaminated(share: int = 20) -> F.Column:
     return (n_hit() > 0) & (share * n_hit() >= F.col("n_words"))
 
 
-def drop_documents(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int = 20, **names) -> DataFrame:
-    """``docs`` without the contaminated documents, same columns."""
-    return occurrences(docs, benchmark, n, **names).where(~contaminated(share)).select(*docs.columns)
+def drop_documents(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int = 20, text: str = "text", **names) -> DataFrame:
+    """``docs`` without the contaminated documents; same columns and values, whatever their names."""
+    kept = occurrences(boxed(docs, text), benchmark, n, text=text, **names).where(~contaminated(share))
+    return unboxed(kept, docs.columns, text)
 
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame, n: int = 13, text: str = "text", **names) -> DataFrame:

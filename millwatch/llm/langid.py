@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, table, texts
+from .common import boxed, slices, table, texts, unboxed
 
 HIGH = 29  # symbols 0..28: blank, other ASCII, digit, a..z; then the bytes 128..255
 RAW = HIGH + 128
@@ -161,11 +161,11 @@ def learn(docs: DataFrame) -> Model:
 
 
 def accepted(docs: DataFrame, model: Model, languages: list[str] | None = None, least: float = 0.5) -> DataFrame:
-    """``docs`` in a known (or one of the named) language with at least the score, same columns."""
+    """``docs`` in a known (or one of the named) language with at least the score; same columns and values, whatever their names."""
     good = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)
     if languages is not None:
         good &= F.col("lang_pred").isin(languages)
-    return predict(docs, model).where(good).select(*docs.columns)
+    return unboxed(predict(boxed(docs, "text"), model).where(good), docs.columns, "text")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

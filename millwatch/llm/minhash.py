@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, stored, table, texts
+from .common import boxed, slices, stored, table, texts, unboxed
 from .graph import components
 
 SHINGLE = 5
@@ -205,11 +205,13 @@ def without(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFram
                 hit = ((shared.value[s >> 6] >> (s & 63)) & 1 == 1) == wanted
                 if hit.any():
                     yield batch.drop_columns(["_spot"]).filter(pa.array(hit))
-        return docs.withColumn("_spot", F.xxhash64(F.col(column).cast("long"))).mapInArrow(keep, docs.schema)
+        return box.withColumn("_spot", F.xxhash64(F.col(column).cast("long"))).mapInArrow(keep, box.schema)
 
+    box = boxed(docs, column)
     gone = ids.select(F.col(ids.columns[0]).alias("_gone"))
     suspects = pick(True)
-    return pick(False).union(suspects.join(gone, suspects[column] == gone["_gone"], "left_anti"))
+    left = pick(False).union(suspects.join(gone, suspects[column] == gone["_gone"], "left_anti"))
+    return unboxed(left, docs.columns, column)
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -8,7 +8,8 @@ targets cut [0, 1) into one interval per source, and a slot belongs to the sourc
 every prefix of the schedule holds each source in nearly its share. A source whose interval holds no point
 shares the slot of the point below it. Slots are ranked per source. Each source is shuffled by a hash of its
 documents and read around and around for exactly its target, rounded to a word; its slots divide those words evenly, by
-rank. A document is taken as often as the target passes over its words; a slot may begin and end inside a document.
+rank, and join the documents whose words they read. A document's words taken are the sum over these slots; a slot may begin and
+end inside a document.
 
 Documents without words take no part (taken 0). NULL is a source of its own, after all others. Ties and
 repeated rows share a hash and stand side by side. An empty table gives no rows.
@@ -105,27 +106,32 @@ def schedule(goals: DataFrame, bits: int) -> DataFrame:
     return owned.withColumn("own", own).join(counts, ["key", "chunk"]).select("slot", "key", (F.col("before") + F.col("own")).alias("rank"))
 
 
-def streams(sized: DataFrame, order: str = "doc_id") -> DataFrame:
+def streams(sized: DataFrame, order: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Add ``start``: where the document's words begin in the shuffled stream of its source."""
-    mixed = sized.withColumn("h", F.xxhash64(F.lit("mix"), order)).withColumn("cell", F.pmod("h", F.lit(CELLS)))
+    mixed = sized.withColumn("h", F.xxhash64(F.lit("mix"), *order)).withColumn("cell", F.pmod("h", F.lit(CELLS)))
     sums = mixed.groupBy("key", "cell").agg(F.sum("size").alias("n"))
     before = F.sum("n").over(Window.partitionBy("key").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
     sums = sums.select("key", "cell", F.coalesce(before, F.lit(0)).alias("before"))
-    upto = Window.partitionBy("key", "cell").orderBy("h", F.col(order).asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy("key", "cell").orderBy("h", *[F.col(c).asc_nulls_last() for c in order], "size").rowsBetween(Window.unboundedPreceding, 0)
     own = F.sum("size").over(upto) - F.col("size")
     return mixed.withColumn("own", own).join(sums, ["key", "cell"]).withColumn("start", F.col("before") + F.col("own")).drop("h", "cell", "own", "before")
 
 
 def mix(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, most: int = MOST, text: str = "text",
         source: str = "source", order: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """The mix by document and by slot.
+    """The mix by document and by slot; a document's words are those that the slots read of it.
 
     First (order column, size, source_size, target, taken, first_slot), one row per row of ``docs``; ``first_slot`` is
     the slot that reads its first word, NULL if it is not taken. Second (slot, key, rank, start, words): the order in which the
     sources' shuffled streams are to be read. ``start`` counts on through the passes: it is word start modulo source_size.
     """
-    spark = docs.sparkSession
-    sized = stored(docs.select(order, key(source).alias("key"), word_count(F.col(text)).alias("size")), "sizes")
+    return _mix(docs, text, source, (order,), block_tokens, most)
+
+
+def _mix(docs: DataFrame, text: str, source: str, order_by: tuple[str, ...], block_tokens: int = BLOCK_TOKENS,
+         most: int = MOST) -> tuple[DataFrame, DataFrame]:
+    """``mix`` of documents named by several columns."""
+    sized = stored(docs.select(*order_by, key(source).alias("key"), word_count(F.col(text)).alias("size")), "sizes")
     goals = stored(targets(sources(sized), most), "goals")
     total = goals.agg(F.sum("source_size")).first()[0] or 0
     bits = max(0, math.ceil(math.log2(max(total, 1) / block_tokens)))
@@ -140,29 +146,39 @@ def mix(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, most: int = MOST, tex
         "slot", "key", "rank", (F.col("rank") * F.col("each") + F.least("rank", "more")).alias("start"),
         (F.col("each") + (F.col("rank") < F.col("more")).cast("long")).alias("words"))
 
-    placed = stored(streams(sized, order), "streams")
-    shares = shares.select("key", "words", "more", "each", F.expr("words div source_size").alias("passes"), (F.col("words") % F.col("source_size")).alias("rest"))
-    told = placed.join(goals.select("key", "source_size", "target"), "key").join(shares, "key", "left")
-    inside = F.greatest(F.least("size", F.col("rest") - F.col("start")), F.lit(0))
-    told = told.withColumn("taken", F.coalesce(F.col("passes") * F.col("size") + inside, F.lit(0)).cast("long"))
-    rank = F.expr("if(start < more * (each + 1), start div (each + 1), more + (start - more * (each + 1)) div greatest(each, 1))")
-    # What is not taken has a rank of its own that no slot has, so it does not meet in one task.
-    told = told.withColumn("rank", F.when(F.col("taken") > 0, rank).otherwise(-1 - F.col("start")))
-    by_doc = told.join(slots.select("key", "rank", F.col("slot").alias("first_slot")), ["key", "rank"], "left").select(
-        order, "size", "source_size", "target", "taken", "first_slot")
+    # Every pass over a document's words is a range of slots; each slot reads what of the range lies within it.
+    placed = stored(streams(sized, order_by), "streams")
+    shares = shares.select("key", "words", "more", "each")
+    passes = placed.join(shares.join(goals.select("key", "source_size"), "key"), "key").where("size > 0").select(
+        "key", "start", "size", "words", "more", "each",
+        F.explode(F.expr("transform(sequence(0L, (words - 1) div source_size), p -> p * source_size + start)")).alias("from"))
+    passes = passes.where(F.col("from") < F.col("words")).withColumn("to", F.least(F.col("from") + F.col("size"), F.col("words")))
+    at = "if({0} < more * (each + 1), {0} div (each + 1), more + ({0} - more * (each + 1)) div greatest(each, 1))"
+    ranks = F.sequence(F.expr(at.format("`from`")), F.expr(at.format("(`to` - 1)")))
+    reads = passes.select("key", "start", "from", "to", F.explode(ranks).alias("rank")).join(
+        slots.select("key", "rank", "slot", F.col("start").alias("begin"), (F.col("start") + F.col("words")).alias("end")), ["key", "rank"])
+    within = F.least("to", "end") - F.greatest("from", "begin")
+    # Documents with words begin at places of their own.
+    taken = reads.groupBy("key", "start").agg(F.sum(within).alias("taken"), F.min_by("slot", F.greatest("from", "begin")).alias("first_slot"))
+    taken = taken.select("key", "start", "taken", "first_slot", F.lit(True).alias("worded"))
+    told = placed.withColumn("worded", F.when(F.col("size") > 0, True)).join(goals.select("key", "source_size", "target"), "key")
+    told = told.join(taken, ["key", "start", "worded"], "left")
+    by_doc = told.select(*order_by, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
     return by_doc, slots
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with every document as often as the mix takes it, to the nearest whole copy; same columns.
+def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source", **options) -> DataFrame:
+    """``docs`` with every document as often as the schedule's slots read it, to the nearest whole copy; same columns and values.
 
-    Rows that share an id are repeated alike.
+    Equal rows (id, text and source) are repeated alike, each by their mean; rows without id are told apart by text and source.
     """
-    each = mix(docs, **options)[0].where(F.col("size") > 0).groupBy("doc_id").agg(
-        F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("_copies")).where(F.col("_copies") > 0)
-    each = each.withColumnRenamed("doc_id", "_doc")
-    taken = docs.join(each, F.col("doc_id").eqNullSafe(F.col("_doc")))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    box = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"),
+                      F.col(source).alias("source"), F.xxhash64(F.col(text), F.lit("/"), F.col(source)).alias("print"))
+    each = _mix(box.select("doc_id", "print", "text", "source"), "text", "source", ("doc_id", "print"), **options)[0]
+    copies = F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int")
+    each = each.where("size > 0").groupBy(F.col("doc_id").alias("_id"), F.col("print").alias("_print")).agg(copies.alias("_copies")).where("_copies > 0")
+    taken = box.select("_row", "doc_id", "print").join(each, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("print") == F.col("_print")))
+    return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,6 +108,16 @@ def test_mix_of_small_sources(spark, docs):
     for s in read:
         mine = [x for x in got if source[x["doc_id"]] == s and x["taken"]]
         assert min(x["first_slot"] for x in mine) == first[s, 0] and {x["first_slot"] for x in mine} <= {v for (k, _), v in first.items() if k == s}
+    # Slot by slot: a slot's words are those of the documents that lie between its ends in the shuffled stream, pass after pass.
+    sized = frame.select("doc_id", mixing.key().alias("key"), mixing.word_count(F.col("text")).alias("size"))
+    by_slot = collections.Counter()
+    stream = collections.defaultdict(list)
+    for x in mixing.streams(sized).orderBy("key", "start").collect():
+        stream[x["key"][1:]] += [x["doc_id"]] * x["size"]
+    for x in slots:
+        s = x["key"][1:]
+        by_slot.update(stream[s][k % size[s]] for k in range(x["start"], x["start"] + x["words"]))
+    assert {x["doc_id"]: x["taken"] for x in got if x["taken"]} == dict(by_slot)
     copies = collections.Counter(x["doc_id"] for x in mixing.mixed_documents(frame).select("doc_id").collect())
     words, longest = collections.Counter(), collections.Counter()
     for i, t, _, s in rows:

@@ -72,3 +72,33 @@ def test_clashing_columns(spark, docs, corpus):
     assert minhash.drop_near_duplicates(wide).columns == wide.columns
     assert mixing.mixed_documents(wide).columns == wide.columns
     assert shards.assign(wide, 3).columns.count("size") == 1
+
+
+def test_stages_return_the_values_of_clashing_columns(spark, docs, corpus):
+    """The filtering and mixing stages give back every column as it came, also those named like their own."""
+    from millwatch.llm import decontaminate, langid, minhash, mixing
+    names = {"score": -5.0, "lang_pred": "mine", "_has_letter": 3, "n_words": -5, "hit_spans": "s", "hit_items": 2, "_spot": 4, "_gone": 1, "_copies": 9,
+             "_copy": "c", "_doc": 8, "_id": 1, "_print": 2, "print": "p", "key": "k", "size": 1, "_row": "r", "_": "u", "component_id": 7, "row.dot": 6}
+    rows = [(i, t, "en" if i % 3 else "fr", "a") for i, t in corpus if i < 70]
+    wide = docs(rows).select("*", *[F.lit(v).alias(k) for k, v in names.items()])
+    bench = spark.createDataFrame([(1, rows[0][1])], BENCHMARK)
+    want = {r[0]: r for r in map(tuple, wide.collect())}
+    for stage in (langid.accepted(wide, langid.learn(wide)), minhash.drop_near_duplicates(wide), decontaminate.drop_documents(wide, bench), mixing.mixed_documents(wide)):
+        got = [tuple(r) for r in stage.collect()]
+        assert stage.columns == wide.columns and got and all(r == want[r[0]] for r in got)
+
+
+def test_mixing_of_rows_without_id(spark, docs):
+    """Rows without id are told apart by their texts; equal rows share their copies."""
+    from collections import Counter
+    from millwatch.llm import mixing
+    rows = [(None, f"{w} " * n, None, "a") for w, n in (("x", 8), ("y", 1), ("z", 30), ("z", 30))] + [(1, "q " * 400, None, "b")]
+    copies = Counter(r["text"][0] for r in mixing.mixed_documents(docs(rows)).collect())
+    taken = {x["size"]: x["taken"] for x in mixing.mix(docs(rows))[0].collect() if x["size"] < 30}
+    assert 16 <= taken[8] <= 24 and 2 <= taken[1] <= 3
+    assert {copies["x"], copies["y"], copies["z"] / 2} <= {2, 3}  # the target of 156 words passes twice and a bit over 69
+
+
+def test_mixing_stage_reads_the_slots(spark, docs, corpus, plan_of):
+    from millwatch.llm import mixing
+    assert "Range" in plan_of(mixing.mixed_documents(docs([(i, t, None, "ab"[i % 2]) for i, t in corpus])), "simple")
