@@ -1,16 +1,15 @@
-"""Language identification by prediction by partial matching (PPM-C with exclusion).
+"""Language identification by prediction by partial matching (PPM-C).
 
-Per language a context tree of bytes up to order two is counted over all labelled training texts. The
-tree is then frozen into one table of code lengths per (context, symbol): where a symbol was never
-seen after its context, the escape probability is paid and the next shorter context decides, without
-the symbols already excluded; below order zero every unseen symbol is equally likely. A text costs the sum of
-its code lengths plus an end mark, the language with the shortest code is the prediction (ties: the
-smaller name), and the score is its posterior under equal priors. Lengths are integers of 2^-16 bit, so sums
-do not depend on partitions or batches.
+Per language a tree of byte contexts of every length up to four is counted over all labelled training texts, and frozen into code
+lengths: a byte seen after its four predecessors costs by its share there; if it was not, the escape probability of
+that context is paid and the context without its first byte decides, down to the empty context and at last to 256 equally likely
+bytes. A context never seen costs nothing to leave. A text costs the sum over its bytes and an end mark, the language with the shortest
+code is the prediction (ties: the smaller name), and the score is its posterior under equal priors. Lengths are whole
+units of 2^-16 bit, so sums do not depend on partitions or batches.
 
-Symbols: A-Z count as a-z, digits, blanks with controls, and other ASCII are one symbol each, and every
-byte above 127 is its own, up to ``symbols`` in all (the rarest share one). The table has
-languages * symbols^3 entries whatever the corpus size, and ``symbols`` shrinks if that exceeded ``table_bytes``.
+A-Z count as a-z, digits as one byte, blanks and controls as another; all other bytes are themselves. The trees are sparse: of each
+length only contexts that occurred are kept, with the lengths of all languages side by side. ``table_bytes`` bounds each of the five
+tables, also with many labels or a corpus of noise; beyond it the rarest of its contexts and bytes count as never seen.
 
 NULL texts and texts without a letter get ``und`` and score 0, as does everything if nothing was learned.
 Rows whose id is NULL are held out. Repeated rows count and are answered each; other columns stay.
@@ -18,6 +17,7 @@ Rows whose id is NULL are held out. Repeated rows count and are answered each; o
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,15 +26,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import boxed, slices, table, texts, unboxed
+from .common import boxed, slices, stored, table, texts, unboxed
 
-HIGH = 29  # symbols 0..28: blank, other ASCII, digit, a..z; then the bytes 128..255
-RAW = HIGH + 128
-CLASS = bytes(HIGH + b - 128 if b >= 128 else b - 97 + 3 if 97 <= b <= 122 else b - 65 + 3 if 65 <= b <= 90
-              else 2 if 48 <= b <= 57 else 0 if b <= 32 or b == 127 else 1 for b in range(256))
-END = b"  "
+ORDER = 4
+FOLD = bytes(32 if b <= 32 or b == 127 else b + 32 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in range(256))
+MARK = bytes(ORDER)  # no folded text holds a zero byte; the first one after a text is its end mark
 UNIT = 1 << 16
+TABLE_BYTES = 64 << 20
 UNKNOWN = "und"
+#: A text goes if its code is longer than this many times what its language's own texts take, and by so many bits more.
+EXCESS, SLACK = 2.0, 128.0
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -42,130 +43,215 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(crc % 5 == 0, F.lit(True))
 
 
-def _triples(joined: bytes, symbols: int, classes: bytes) -> np.ndarray:
-    """Number of (two symbols of context, symbol) for every byte after the leading end mark."""
-    s = np.frombuffer(joined.translate(classes), dtype=np.uint8).astype(np.int32)
-    return (s[:-2] * symbols + s[1:-1]) * symbols + s[2:]
+def grams(each: list[bytes], block: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first text, starts, grams, used) by blocks of bytes: each byte with its predecessors in one number, and whether it counts.
+
+    ``starts`` cuts the block into the texts it holds, the first one possibly begun before.
+    """
+    joined = np.frombuffer(MARK + b"".join(t.translate(FOLD) + MARK for t in each), dtype=np.uint8)
+    ends = np.cumsum([len(t) + ORDER for t in each])
+    for start in range(0, len(joined) - ORDER, block):
+        stop = min(start + block, len(joined) - ORDER)
+        part = joined[start:stop + ORDER].astype(np.int64)
+        packed = part[:stop - start].copy()
+        for k in range(1, ORDER + 1):
+            packed <<= 8
+            packed |= part[k:k + stop - start]
+        first, last = np.searchsorted(ends, start, side="right"), np.searchsorted(ends, stop - 1, side="right")
+        used = (part[ORDER:] != 0) | (part[ORDER - 1:-1] != 0)  # of the marks only the first
+        empty = [k for k in range(first, last + 1) if not each[k]]
+        for k in empty:  # an empty text is its end mark alone, right after other marks
+            at = ends[k] - ORDER - start
+            if 0 <= at < len(used):
+                used[at] = True
+        yield first, np.concatenate(([0], ends[first:last] - start)), packed, used
 
 
 def counts(labelled: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, triple, n): how often each triple occurs per language, over all rows."""
+    """(lang, gram, n): how often each byte follows its four predecessors per language, over all rows."""
+    def merged(old, new):
+        gram = np.concatenate([old[0], new[0]])
+        keys, place = np.unique(gram, return_inverse=True)
+        return keys, np.bincount(place, weights=np.concatenate([old[1], new[1]])).astype(np.int64)
+
+    def rows(found):
+        for name, (gram, n) in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(gram), pa.string()), pa.array(gram), pa.array(n)], names=["lang", "gram", "n"])
+
     def count(batches):
-        for batch in slices(batches, text, 8_000_000):
+        found: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in slices(batches, text, 4_000_000):
             by: dict[str, list[bytes]] = {}
             for name, t in zip(batch.column(lang).to_pylist(), texts(batch, text), strict=True):
                 by.setdefault(name, []).append(t)
             for name, each in by.items():
-                n = np.bincount(_triples(END + END.join(each) + END, RAW, CLASS))
-                seen = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(seen), pa.string()), pa.array(seen, pa.int64()),
-                                                  pa.array(n[seen], pa.int64())], names=["lang", "triple", "n"])
+                for _, _, packed, used in grams(each, 4 << 20):
+                    here = np.unique(packed[used], return_counts=True)
+                    found[name] = merged(found[name], here) if name in found else here
+            if sum(len(g) for g, _ in found.values()) > 4_000_000:
+                yield from rows(found)
+                found = {}
+        yield from rows(found)
     usable = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(lang, text)
-    return usable.mapInArrow(count, "lang string, triple long, n long").groupBy("lang", "triple").agg(F.sum("n").alias("n"))
+    return usable.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+@dataclass
+class Level:
+    """Contexts of one length: code lengths of each (context, byte) and of leaving each context, by language."""
+
+    keys: np.ndarray
+    lengths: np.ndarray
+    slots: np.ndarray
+    contexts: np.ndarray
+    escapes: np.ndarray
+
+    def find(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the asked keys and whether they are there: by a table of hashes, and by bisection where that holds another key."""
+        at = self.slots[_slot(asked, len(self.slots))]
+        hit = self.keys[at] == asked
+        miss = np.flatnonzero(~hit)
+        if len(miss):
+            again = np.minimum(np.searchsorted(self.keys, asked[miss]), len(self.keys) - 1)
+            at[miss], hit[miss] = again, self.keys[again] == asked[miss]
+        return at, hit
+
+    def leave(self, contexts: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.contexts, contexts), len(self.contexts) - 1)
+        return np.where((self.contexts[at] == contexts)[:, None], self.escapes[at], 0)
+
+
+def _slot(keys: np.ndarray, size: int) -> np.ndarray:
+    return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - size.bit_length())
 
 
 @dataclass
 class Model:
     languages: list[str]
-    classes: bytes
-    symbols: int
-    lengths: np.ndarray  # [language, triple], in units of 2^-16 bit
-
-
-def _lengths(n: np.ndarray) -> np.ndarray:
-    """Code lengths in bits for counts n[context, context, symbol]."""
-    size = n.shape[-1]
-    levels = [n, np.broadcast_to(n.sum(axis=0), n.shape), np.broadcast_to(n.sum(axis=(0, 1)), n.shape)]
-    bits, todo = np.zeros(n.shape), np.ones(n.shape, dtype=bool)
-    open_ = np.ones(n.shape, dtype=bool)  # symbols no longer context has excluded
-    for c in levels:
-        c = np.where(open_, c, 0)
-        total, kinds = c.sum(axis=-1, keepdims=True), (c > 0).sum(axis=-1, keepdims=True)
-        whole = np.maximum(total + kinds, 1)
-        here = todo & (c > 0)
-        bits += np.where(here, np.log2(whole / np.maximum(c, 1)), 0)
-        todo &= ~here
-        bits += np.where(todo & (kinds > 0), np.log2(whole / np.maximum(kinds, 1)), 0)  # escape
-        open_ &= c == 0
-    return bits + np.where(todo, np.log2(np.maximum(open_.sum(axis=-1, keepdims=True), 1)), 0)
-
-
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", symbols: int = 96, table_bytes: int = 256 << 20) -> Model:
-    """Freeze the trees of all languages; what reaches the driver is bounded by languages * 157^3 counts."""
-    rows = counts(labelled, text, lang).toPandas()
-    languages = sorted(rows["lang"].unique(), key=lambda x: x.encode())
-    if not languages:
-        return Model([], CLASS, RAW, np.zeros((0, 0), dtype=np.int32))
-    symbols = min(symbols, int((table_bytes / 4 / len(languages)) ** (1 / 3) + 1e-9))
-    triple, n = rows["triple"].to_numpy(), rows["n"].to_numpy()
-    use = np.bincount(triple % RAW, weights=n, minlength=RAW)
-    high = [b for b in np.argsort(-use[HIGH:], kind="stable")[:symbols - HIGH - 1] + HIGH if use[b]]
-    place = np.full(RAW, HIGH, dtype=np.int64)  # HIGH: the symbol rare and unseen bytes share
-    place[:HIGH] = np.arange(HIGH)
-    place[high] = np.arange(len(high)) + HIGH + 1
-    symbols = HIGH + 1 + len(high)
-    packed = (place[triple // RAW // RAW] * symbols + place[triple // RAW % RAW]) * symbols + place[triple % RAW]
-    lengths = np.empty((len(languages), symbols**3), dtype=np.int32)
-    for k, name in enumerate(languages):
-        of = (rows["lang"] == name).to_numpy()
-        dense = np.bincount(packed[of], weights=n[of], minlength=symbols**3).reshape(symbols, symbols, symbols)
-        lengths[k] = np.rint(_lengths(dense) * UNIT).ravel()
-    return Model(languages, bytes(int(place[c]) for c in CLASS), symbols, lengths)
-
-
-def code_lengths(model: Model, each: list[bytes], block: int = 1 << 20) -> np.ndarray:
+    levels: list[Level]
+
+    def lengths(self, packed: np.ndarray, order: int = ORDER) -> np.ndarray:
+        """[gram, language]: code lengths in units of 2^-16 bit."""
+        if order < 0:
+            return np.full((len(packed), len(self.languages)), 8 * UNIT, dtype=np.int32)
+        level = self.levels[order]
+        at, hit = level.find(packed)
+        out = level.lengths[at]
+        miss = np.flatnonzero(~hit)
+        if len(miss):
+            out[miss] = level.leave(packed[miss] >> 8) + self.lengths(packed[miss] & ((1 << 8 * order) - 1), order - 1)
+        return out
+
+
+def _level(below: Model, keys: np.ndarray, n: np.ndarray, order: int) -> Level:
+    """Freeze the counts n[key, language] of one context length; ``below`` holds the shorter ones."""
+    contexts, place = np.unique(keys >> 8, return_inverse=True)
+    starts = np.flatnonzero(np.append(True, np.diff(place) > 0))
+    total, kinds = np.add.reduceat(n, starts, axis=0), np.add.reduceat((n > 0).astype(np.int64), starts, axis=0)
+    whole = total + kinds
+    escapes = np.where(kinds > 0, np.rint(np.log2(np.maximum(whole, 1) / np.maximum(kinds, 1)) * UNIT), 0).astype(np.int32)
+    own = np.rint(np.log2(np.maximum(whole, 1)[place] / np.maximum(n, 1)) * UNIT).astype(np.int32)
+    lengths = np.where(n > 0, own, escapes[place] + below.lengths(keys & ((1 << 8 * order) - 1), order - 1))
+    slots = np.zeros(1 << max(10, int(4 * len(keys) - 1).bit_length()), dtype=np.int64)
+    rare_first = np.argsort(n.sum(axis=1), kind="stable")
+    slots[_slot(keys[rare_first], len(slots))] = rare_first  # the most frequent key of a slot stays
+    return Level(keys, lengths.astype(np.int32), slots, contexts, escapes)
+
+
+def _kept(rows: DataFrame, most: int) -> DataFrame:
+    """Of more than ``most`` grams the most frequent ones, by a lower bound of their counts."""
+    by_gram = stored(rows.groupBy("gram").agg(F.sum("n").alias("all")), "grams")
+    steps = by_gram.groupBy(F.floor(4 * F.log2("all")).alias("step")).agg(F.count("*").alias("grams")).orderBy(F.desc("step")).collect()
+    room, least = most, 0
+    for row in steps:
+        room -= row["grams"]
+        if room < 0:
+            least = row["step"] + 1
+            break
+    if not least:
+        return rows
+    return rows.join(by_gram.where(F.floor(4 * F.log2("all")) >= least).select("gram"), "gram", "left_semi")
+
+
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", table_bytes: int = TABLE_BYTES) -> Model:
+    """Freeze the trees of all languages; what reaches the driver is bounded by ``table_bytes`` per context length."""
+    rows = stored(counts(labelled, text, lang), "grams")
+    languages = sorted((r[0] for r in rows.select("lang").distinct().collect()), key=lambda x: x.encode())
+    model = Model(languages, [])
+    for order in range(ORDER + 1 if languages else 0):
+        shorter = rows.groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1)).alias("gram")).agg(F.sum("n").alias("n"))
+        found = _kept(stored(shorter, "grams"), max(256, table_bytes // (8 * len(languages)))).toPandas()
+        keys, place = np.unique(found["gram"].to_numpy(dtype=np.int64), return_inverse=True)
+        n = np.zeros((len(keys), len(languages)), dtype=np.int64)
+        n[place, found["lang"].map({name: k for k, name in enumerate(languages)}).to_numpy()] = found["n"].to_numpy()
+        model.levels.append(_level(model, keys, n, order))
+    return model
+
+
+def code_lengths(model: Model, each: list[bytes], block: int = 1 << 19) -> np.ndarray:
     """[language, text]: code length of every text with its end mark."""
-    ends = np.cumsum([len(t) + len(END) for t in each])
-    out = np.zeros((len(model.languages), len(each)), dtype=np.int64)
-    joined = END + b"".join(t + END for t in each)
-    for start in range(0, int(ends[-1]), block):
-        stop = min(start + block, int(ends[-1]))
-        triples = _triples(joined[start:stop + 2], model.symbols, model.classes)
-        first, last = np.searchsorted(ends, start, side="right"), np.searchsorted(ends, stop - 1, side="right")
-        cuts = np.concatenate(([0], ends[first:last] - start))
-        for k, lengths in enumerate(model.lengths):
-            out[k, first:last + 1] += np.add.reduceat(lengths[triples], cuts, dtype=np.int64)
-    return out
-
-
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``; columns of these names are replaced."""
-    plain = docs.drop(*[c for c in docs.columns if c.lower() in ("lang_pred", "score", "_has_letter")])
-    schema = T.StructType([*plain.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    out = np.zeros((len(each), len(model.languages)), dtype=np.int64)
+    for first, starts, packed, used in grams(each, block):
+        lengths = model.lengths(packed)
+        lengths[~used] = 0
+        out[first:first + len(starts)] += np.add.reduceat(lengths, starts, axis=0, dtype=np.int64)
+    return out.T
+
+
+def _scored(docs: DataFrame, model: Model, text: str) -> DataFrame:
+    """``docs`` with ``lang_pred``, ``score`` and ``_bits``, the length of the shortest code."""
+    plain = docs.drop(*[c for c in docs.columns if c.lower() in ("lang_pred", "score", "_has_letter", "_bits")])
+    schema = T.StructType([*plain.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
+                           T.StructField("_bits", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
         m = shared.value
         for batch in slices(batches, text, 8_000_000):
             usable = np.asarray(batch.column("_has_letter").to_pylist(), dtype=bool) & bool(m.languages)
-            names, scores = np.full(batch.num_rows, UNKNOWN, dtype=object), np.zeros(batch.num_rows)
+            names, scores, bits = np.full(batch.num_rows, UNKNOWN, dtype=object), np.zeros(batch.num_rows), np.zeros(batch.num_rows)
             at = np.flatnonzero(usable)
             if len(at):
                 every = texts(batch, text)
                 cost = code_lengths(m, [every[i] for i in at])
-                best = cost.argmin(axis=0)
                 more = np.minimum((cost - cost.min(axis=0)) / UNIT, 1000.0)
-                names[at] = np.array(m.languages, dtype=object)[best]
-                scores[at] = 1 / np.exp2(-more).sum(axis=0)
+                names[at] = np.array(m.languages, dtype=object)[cost.argmin(axis=0)]
+                scores[at], bits[at] = 1 / np.exp2(-more).sum(axis=0), cost.min(axis=0) / UNIT
             rest = batch.drop_columns(["_has_letter"])
-            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                                             names=[*rest.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(bits)],
+                                             names=[*rest.schema.names, "lang_pred", "score", "_bits"])
 
     letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     return plain.withColumn("_has_letter", letter).mapInArrow(score, schema)
 
 
+def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score``; columns of these names are replaced."""
+    return _scored(docs, model, text).drop("_bits")
+
+
 def learn(docs: DataFrame) -> Model:
     """Fit on the labelled rows that are not held out."""
     return fit(docs.where(~held_out()).select("text", "lang"))
 
 
-def accepted(docs: DataFrame, model: Model, languages: list[str] | None = None, least: float = 0.5) -> DataFrame:
-    """``docs`` in a known (or one of the named) language with at least the score; same columns and values, whatever their names."""
+def accepted(docs: DataFrame, model: Model, languages: list[str] | None = None, least: float = 0.5, excess: float = EXCESS,
+             slack: float = SLACK) -> DataFrame:
+    """``docs`` in a known (or one of the named) language with at least the score; same columns and values, whatever their names.
+
+    A text of an unlearned language has a clear nearest language too, but a long code. It goes when its code exceeds ``excess`` times
+    the bits per byte of the language's own texts that were not learned from, and ``slack`` bits, which spares short texts.
+    """
     good = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)
     if languages is not None:
         good &= F.col("lang_pred").isin(languages)
-    return unboxed(predict(boxed(docs, "text"), model).where(good), docs.columns, "text")
+    own = _scored(docs.where(held_out() & F.col("lang").isNotNull()).select("text", F.col("lang").alias("own")), model, "text")
+    known = own.where(F.col("own") == F.col("lang_pred")).groupBy("lang_pred").agg(
+        (F.sum("_bits") / F.sum(F.octet_length("text") + 1)).alias("rate")).collect()
+    rate = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for r in known for v in (r["lang_pred"], r["rate"])]), F.col("lang_pred"))
+                      if known else F.lit(None), F.lit(8.0 * excess))
+    good &= F.col("_bits") <= F.lit(slack) + F.lit(excess) * rate * (F.octet_length("text") + 1)
+    return unboxed(_scored(boxed(docs, "text"), model, "text").where(good), docs.columns, "text")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

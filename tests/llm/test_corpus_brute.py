@@ -318,14 +318,73 @@ def test_languages(spark, docs, folder):
     assert langid.op10_language_id(spark, folder(documents=docs([]))).count() == 0
 
 
-def test_code_lengths_are_a_code():
-    """In every context the symbols' code lengths obey Kraft's inequality, and blocks do not change sums."""
-    n = np.random.default_rng(5).poisson(0.3, (6, 6, 6)).astype(float)
-    assert (np.exp2(-langid._lengths(n)).sum(axis=-1) <= 1 + 1e-9).all()
-    model = langid.Model(["x"], langid.CLASS, langid.RAW, np.random.default_rng(6).integers(0, 99, (1, langid.RAW**3)).astype(np.int32))
-    each = [b"abc", b"", b"x" * 50, "é".encode() * 9]
-    assert (langid.code_lengths(model, each) == langid.code_lengths(model, each, block=7)).all()
-    assert langid.code_lengths(model, each)[0].tolist() == [langid.code_lengths(model, [t])[0, 0] for t in each]
+def ppm(training, text, order=langid.ORDER):
+    """Bits of a text by an independent PPM-C over dictionaries."""
+    def fold(t):
+        return [0] * order + [32 if b <= 32 or b == 127 else b + 32 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in t.encode()] + [0]
+    tree = collections.defaultdict(collections.Counter)
+    for t in training:
+        f = fold(t)
+        for i in range(order, len(f)):
+            for k in range(order + 1):
+                tree[tuple(f[i - k:i])][f[i]] += 1
+    f, bits = fold(text), 0.0
+    for i in range(order, len(f)):
+        for k in range(order, -1, -1):
+            seen = tree.get(tuple(f[i - k:i]))
+            if not seen:
+                continue
+            whole = sum(seen.values()) + len(seen)
+            if f[i] in seen:
+                bits += math.log2(whole / seen[f[i]])
+                break
+            bits += math.log2(whole / len(seen))
+        else:
+            bits += 8
+    return bits
+
+
+@pytest.fixture(scope="module")
+def tongues():
+    r = random.Random(12)
+    parts = {"aa": ["tha", "ing", "er"], "bb": ["ción", "ll", "que"], "日本": ["の", "日本", "です"], "zz": ["tha", "que", "xy"]}
+    return {k: [" ".join("".join(r.choice(v) for _ in range(r.randint(1, 3))) for _ in range(r.randint(1, 12))) for _ in range(15)] for k, v in parts.items()}
+
+
+def test_code_lengths_equal_an_independent_ppm(spark, docs, tongues):
+    rows = [(k * 100 + i, t, name, "s") for k, (name, each) in enumerate(tongues.items()) for i, t in enumerate(each)]
+    model = langid.fit(docs(rows))
+    assert model.languages == sorted(tongues, key=str.encode)
+    probes = ["the thing", "", "ZZ 19 que", "です の日本", "\x00\x7f\t", "ñ" * 30, *(each[0] for each in tongues.values())]
+    whole = langid.code_lengths(model, [p.encode() for p in probes])
+    for k, name in enumerate(model.languages):
+        for p, got in zip(probes, whole[k]):
+            assert got / langid.UNIT == pytest.approx(ppm(tongues[name], p), abs=1e-3 + 1e-4 * len(p.encode()))
+    # neither blocks nor batches change a sum
+    assert (langid.code_lengths(model, [p.encode() for p in probes], block=7) == whole).all()
+    assert [langid.code_lengths(model, [p.encode()])[0, 0] for p in probes] == whole[0].tolist()
+
+
+def test_bounded_tables_keep_the_frequent_contexts(spark, docs, tongues):
+    """Many noisy labels and a small bound: tables stay within it, frequent languages are still told apart."""
+    rows = [(k * 100 + i, t, name, "s") for k, (name, each) in enumerate(tongues.items()) for i, t in enumerate(each * 3)]
+    rows += [(10_000 + i, f"noise{i}", f"label{i}", "s") for i in range(200)]
+    model = langid.fit(docs(rows), table_bytes=8 * 204 * 300)
+    assert len(model.languages) == 204 and all(len(level.keys) <= 300 for level in model.levels)
+    cost = langid.code_lengths(model, [tongues["aa"][0].encode(), tongues["日本"][1].encode()])
+    assert [model.languages[k] for k in cost.argmin(axis=0)] == ["aa", "日本"]
+
+
+def test_texts_of_unlearned_languages_go(spark, docs):
+    r = random.Random(5)
+    words = [["tha", "ing", "er", "on"], ["ción", "ll", "que", "os"]]
+    text = lambda v, n: " ".join("".join(r.choice(v) for _ in range(r.randint(1, 3))) for _ in range(n))
+    rows = [(i, text(words[i % 2], r.randint(1, 80)), ("aa", "bb")[i % 2], "s") for i in range(400)]
+    rows += [(1000 + i, text(["wkj", "zvq", "pyx", "gmf"], 60), None, "s") for i in range(20)]
+    rows += [(2000, "wkj", None, "s"), (2001, None, "aa", "s"), (2002, "12", None, "s")]
+    kept = {x["doc_id"] for x in langid.accepted(docs(rows), langid.learn(docs(rows))).collect()}
+    assert kept == {i for i in range(400)} | {2000}  # too short to tell stays
+    assert langid.accepted(docs(rows[-3:]), langid.learn(docs(rows[-3:]))).count() == 0
 
 
 def test_toxicity(spark, docs, folder):
