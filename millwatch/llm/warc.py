@@ -27,6 +27,7 @@ import struct
 import uuid
 import zlib
 from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
 from pyarrow import fs
@@ -37,9 +38,12 @@ from .common import scratch, slices, stored, table, texts
 
 REVISIT_BYTES = 100
 BLOCK_LINES = 3000
-INDEX_FILES = 4096
+#: Captures of one index file, and index files at most: their first and last keys are all that every task holds.
+INDEX_LINES, INDEX_FILES = 1_000_000, 1 << 16
 FILE_BYTES = 1 << 30
 READ_BYTES = 4 << 20
+#: Packed bytes that one task reads back.
+TASK_BYTES = 4 << 20
 CAPTURE = "page_id long, url_key string, file string, offset long, length long"
 RECORD = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -101,7 +105,10 @@ def write(pages: DataFrame, root: str, date: str = "1970-01-01T00:00:00Z", html:
                         F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_digest"))
     first = rows.where(F.col("payload_bytes") >= REVISIT_BYTES).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
     first = first.where((F.col("n") > 1) & F.col("first").isNotNull()).select("payload_digest", "first")
-    typed = rows.join(first, "payload_digest", "left").withColumn("refers_to", F.when(F.col("page_id") > F.col("first"), F.col("first")))
+    # Payloads that may not match have keys of their own: neither empty ones nor copies of a short one meet in one task.
+    alone = F.concat(F.lit("-"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("-"), F.xxhash64("url").cast("string"))
+    rows = rows.withColumn("match", F.when(F.col("payload_bytes") >= REVISIT_BYTES, F.col("payload_digest")).otherwise(alone))
+    typed = rows.join(first.withColumnRenamed("payload_digest", "match"), "match", "left").withColumn("refers_to", F.when(F.col("page_id") > F.col("first"), F.col("first")))
     typed = typed.select("page_id", "url", url_key(F.col("url")).alias("url_key"), "payload_bytes", "payload_digest", "refers_to",
                          F.when(F.col("refers_to").isNull(), F.col("html")).alias("html"))
 
@@ -174,7 +181,8 @@ def build_index(captures: DataFrame, root: str, block_lines: int = BLOCK_LINES)
             out.close()
             yield pa.RecordBatch.from_pylist([{"first": directory[0][0], "last": last.decode(), "file": name}])
 
-    parts = min(INDEX_FILES, int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    wanted = max(int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-captures.count() // INDEX_LINES))
+    parts = min(INDEX_FILES, wanted)
     ordered = captures.repartitionByRange(parts, *by).sortWithinPartitions(*by)
     tops = stored(ordered.mapInArrow(lay_out, "first string, last string, file string"), "index")
     rows = [(r["first"].encode(), r["last"].encode(), r["file"]) for r in tops.collect()]
@@ -220,15 +228,15 @@ class Reader:
 def lookup(index: Index, urls: DataFrame, url: str = "url") -> DataFrame:
     """Captures of the distinct keys of ``urls``."""
     keys = urls.select(url_key(F.col(url)).alias("url_key")).distinct()
-    parts = min(INDEX_FILES, int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def search(batches):
         reader = Reader(index)
         for batch in batches:
             for key in batch.column("url_key").to_pylist():
-                found = [(p, key, f, a, n) for p, f, a, n in reader.find(key.encode())]
-                for i in range(0, len(found), 10_000):
-                    cols = list(zip(*found[i:i + 10_000], strict=True))
+                found = ((p, key, f, a, n) for p, f, a, n in reader.find(key.encode()))
+                while some := list(islice(found, 10_000)):  # a key may have captures without end
+                    cols = list(zip(*some, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()),
                                                       pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())],
                                                      names=["page_id", "url_key", "file", "offset", "length"])
@@ -256,7 +264,10 @@ def fetch(captures: DataFrame, root: str) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, schema=SCHEMA)
                 i = j
 
-    near = captures.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    # Tasks by the bytes they read, which their own rows do not show.
+    places = stored(captures.select("file", "offset", "length"), "places")
+    total = places.agg(F.sum("length")).first()[0] or 0
+    near = places.repartitionByRange(max(1, -(-total // TASK_BYTES)), "file", "offset").sortWithinPartitions("file", "offset")
     return near.mapInArrow(read, RECORD)
 
 

@@ -102,3 +102,21 @@ def test_mixing_of_rows_without_id(spark, docs):
 def test_mixing_stage_reads_the_slots(spark, docs, corpus, plan_of):
     from millwatch.llm import mixing
     assert "Range" in plan_of(mixing.mixed_documents(docs([(i, t, None, "ab"[i % 2]) for i, t in corpus])), "simple")
+
+
+def test_hot_pages(spark, folder, monkeypatch):
+    """Most captures have one key, and most payloads are empty or one short text: read back in many tasks, index in many files."""
+    from millwatch.llm import warc
+    monkeypatch.setattr(warc, "TASK_BYTES", 20_000)
+    monkeypatch.setattr(warc, "INDEX_LINES", 100)
+    rows = [(i, None if i % 3 else f"http://h{i}.example/", None if i % 2 else "short" if i % 4 else f"{i} " * 60) for i in range(3000)]
+    root = folder(pages=spark.createDataFrame(rows, PAGES))
+    assert same(spark, "op1_warc_index", root, ["pages"]) == 3000
+    pages = spark.read.parquet(f"{root}/pages.parquet")
+    target = warc.scratch(spark, "warc")
+    captures = warc.write(pages, target)
+    index = warc.build_index(captures, target)
+    assert len(index.tops) > 8
+    found = warc.lookup(index, pages)
+    assert found.groupBy("url_key").count().agg(F.max("count")).first()[0] == 2000 and found.count() == 3000
+    assert warc.fetch(found, target).rdd.getNumPartitions() >= 10
