@@ -178,12 +178,13 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", table_bytes
     rows = stored(counts(labelled, text, lang), "grams")
     languages = sorted((r[0] for r in rows.select("lang").distinct().collect()), key=lambda x: x.encode())
     model = Model(languages, [])
+    number = (F.array_position(F.lit(languages), F.col("lang")) - 1).cast("int") if languages else F.lit(0)
     for order in range(ORDER + 1 if languages else 0):
-        shorter = rows.groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1)).alias("gram")).agg(F.sum("n").alias("n"))
-        found = _kept(stored(shorter, "grams"), max(256, table_bytes // (8 * len(languages)))).toPandas()
-        keys, place = np.unique(found["gram"].to_numpy(dtype=np.int64), return_inverse=True)
+        shorter = rows.groupBy(number.alias("lang"), F.col("gram").bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1)).alias("gram")).agg(F.sum("n").alias("n"))
+        found = _kept(stored(shorter, "grams"), max(256, table_bytes // (8 * len(languages)))).select("gram", "lang", "n").toArrow()
+        keys, place = np.unique(found["gram"].to_numpy(), return_inverse=True)
         n = np.zeros((len(keys), len(languages)), dtype=np.int64)
-        n[place, found["lang"].map({name: k for k, name in enumerate(languages)}).to_numpy()] = found["n"].to_numpy()
+        n[place, found["lang"].to_numpy()] = found["n"].to_numpy()
         model.levels.append(_level(model, keys, n, order))
     return model
 
