@@ -483,7 +483,8 @@ def risk_heatmap_t(spark, folder):
 
 @query
 def fleet_risk_distribution(spark, folder):
-    return fleet.risk_distribution(_health(spark, folder))
+    """Machines by the risk of their dossiers, which is told from health alone where no model predicts it."""
+    return fleet.risk_distribution(_analysis(spark, folder))
 
 
 @query
@@ -659,7 +660,7 @@ def trained_dossier(spark, folder):
     cards = dossiers.dossier(dossiers.analysed(predicted, survival.rul_columns(rows)))
     return _round(cards.select(
         "machineID", "identification.pattern_failure", "prediction_risque.risk_level", "prediction_risque.confidence",
-        F.size("prediction_risque.probabilities").alias("levels"), "estimation_rul.rul_median"))
+        F.explode("prediction_risque.probabilities").alias("level", "probability"), "estimation_rul.rul_median"))
 
 
 @query

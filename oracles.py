@@ -482,7 +482,7 @@ oracle("risk_heatmap", f"SELECT model_label, {HEAT} FROM health GROUP BY model_l
 oracle("risk_heatmap_t", stacked(("global_health_score", "vibration", "error_count"), lambda c: (
     f"SELECT model, '{c}' AS metric, {even(f'avg({c})', 2)} AS value FROM health WHERE model IS NOT NULL GROUP BY model")))
 HIGH = "risk_level IN ('CRITIQUE', 'ÉLEVÉ')"
-oracle("fleet_risk_distribution", "SELECT risk_level, count(*) AS machines FROM health GROUP BY risk_level")
+oracle("fleet_risk_distribution", "SELECT level AS risk_level, count(*) AS machines FROM analysis GROUP BY level")
 oracle("critical_machines", f"SELECT machineID, risk_level FROM health WHERE {HIGH}")
 oracle("machine_lookup", "SELECT machineID, model, global_health_score FROM health WHERE age >= 15")
 oracle("machine_metrics", "SELECT machineID, " + ", ".join(f"{even(c)} AS {n}" for c, n in (
@@ -636,6 +636,19 @@ oracle("maintenance_report", f"""
         UNION ALL SELECT 2, 'Préparer équipe d''intervention rapide avec pièces critiques' FROM tally WHERE c > 0
         UNION ALL SELECT 3, 'Planifier maintenance des ' || h || ' machines HAUTE priorité cette semaine' FROM tally WHERE h > 0
         UNION ALL SELECT 4, {text(STANDING_INSTRUCTIONS[0])} UNION ALL SELECT 5, {text(STANDING_INSTRUCTIONS[1])}"""})
+# Titles of the executive report.
+EXECUTIVE = ("RAPPORT EXÉCUTIF - MAINTENANCE PRÉDICTIVE", "Entreprise Industrielle", "Date: 2024-06-01 00:00:00")
+EXECUTIVE_PARTS = (("📊 TABLEAU DE BORD STRATÉGIQUE", "SELECT position, '  ' || key || ': ' || value AS line", ORACLES["executive_kpis"], "true"),
+                   ("💰 ANALYSE FINANCIÈRE", "SELECT position, '  ' || key || ': ' || value AS line", ORACLES["roi_analysis"], "true"),
+                   ("🔴 RISQUES CRITIQUES", "SELECT position, '  ' || position || '. ' || line AS line", ORACLES["critical_risks"], "position <= 5"),
+                   ("✅ RECOMMANDATIONS STRATÉGIQUES", "SELECT position, '  ' || position || '. ' || line AS line", ORACLES["instructions"], "section = 'strategy'"),
+                   ("📈 PROJECTIONS 12 MOIS", "SELECT position, '  ' || key || ': ' || value AS line", ORACLES["projections"], "true"))
+ORACLES["executive_report"] = " UNION ALL ".join(
+    [f"SELECT 0 AS block, CAST({i} AS INTEGER) AS position, {line} AS line" for i, line in enumerate(
+        ("repeat('=', 80)", *map(text, EXECUTIVE), "repeat('=', 80)"), 1)]
+    + [f"SELECT {block}, -2, chr(10) || {text(title)} UNION ALL SELECT {block}, -1, repeat('=', 80) "
+       f"UNION ALL SELECT {block}, CAST(position AS INTEGER), line FROM ({lines} FROM ({source}) WHERE {where})"
+       for block, (title, lines, source, where) in enumerate(EXECUTIVE_PARTS, 1)])
 oracle("decision_pack", f"""
     SELECT 'top5' AS section, row_number() OVER (ORDER BY global_health_score, machineID) AS position,
            '- Machine ' || machineID || ' | Modèle: ' || model || ' | Santé: ' || {shown('global_health_score', 2)} || ' | ProbFail: N/A' AS line
