@@ -43,6 +43,19 @@ def unboxed(df: DataFrame, columns: list[str], *keep: str) -> DataFrame:
     return df.select(*[F.col(c) if c in keep else F.col("_row").getField(c).alias(c) for c in columns])
 
 
+def dealt(rows: DataFrame, key: str = "key", member: str = "id", block: int = 1024) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join of ``rows`` with themselves on ``key``, to be joined on ``key`` and ``block``.
+
+    Keys of more than ``block`` members are split: on the right each member is in one block, on the left in all of them, so that every
+    pair of members still meets once and no task sees a whole large key.
+    """
+    large = stored(rows.groupBy(key).agg(F.count("*").alias("blocks")).where(F.col("blocks") > block), "large-keys")
+    large = large.select(F.col(key).alias("_large"), F.ceil(F.col("blocks") / block).cast("int").alias("blocks"))
+    known = rows.join(large, rows[key] == large["_large"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).drop("_large")
+    left = known.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    return left, known.withColumn("block", F.pmod(F.xxhash64(member), F.col("blocks")).cast("int")).drop("blocks")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below the one all executors share (``spark.checkpoint.dir``)."""
     return f"{work_dir(spark).rstrip('/')}/millwatch/{name}-{uuid.uuid4().hex}"

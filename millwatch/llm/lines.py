@@ -21,12 +21,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import SPACES, slices, stored, table, texts
+from .common import SPACES, dealt, slices, stored, table, texts
 from .graph import components
 from .minhash import FILTER_BITS, marks
 
 EDITS = 2
 MIN_CHARS = 20
+#: Lines under a key that one task pairs with the key's others.
+KEY_BLOCK = 1024
 
 
 def probes(length: int, edits: int) -> list[tuple[int, int, int, bool]]:
@@ -164,7 +166,8 @@ def links(docs: DataFrame, text: str = "text", edits: int = EDITS, min_chars: in
     some = entries(docs, text, edits, min_chars, shared).join(shared, "key").distinct()
     some = stored(some, "line-entries")
     turned = sum((F.bit_count(F.col(f"i.bag{k}").bitwiseXOR(F.col(f"p.bag{k}"))) for k in range(4)), F.lit(0))
-    met = some.where("indexed").alias("i").join(some.alias("p"), F.col("i.key") == F.col("p.key")).where(
+    every, one = dealt(some, block=KEY_BLOCK)
+    met = every.where("indexed").alias("i").join(one.alias("p"), (F.col("i.key") == F.col("p.key")) & (F.col("i.block") == F.col("p.block"))).where(
         (F.col("i.id") != F.col("p.id")) & (~F.col("p.indexed") | (F.col("i.id") < F.col("p.id"))) & (turned <= 4 * edits))
     pairs = stored(met.select(F.least("i.id", "p.id").alias("a"), F.greatest("i.id", "p.id").alias("b")).distinct(), "line-pairs")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()

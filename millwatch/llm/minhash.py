@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import boxed, slices, stored, table, texts, unboxed
+from .common import boxed, dealt, slices, stored, table, texts, unboxed
 from .graph import components
 
 SHINGLE = 5
@@ -39,6 +39,8 @@ FINE = 1024
 ESTIMATE = {MINIMA: 0.52, FINE: 0.66}
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SIGNATURE = "doc_id long, n_shingles long, class binary, low array<long>, high array<long>, bands array<long>"
+#: Members of a bucket that one task pairs with the bucket's others.
+KEY_BLOCK = 1024
 #: Bits of the filter that thins out texts before they are shuffled; its size does not grow with the data.
 FILTER_BITS = 24
 
@@ -272,8 +274,9 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     mixed = stored(labelled.join(mixed, "key"), "mixed")
     fine = fine_planes(by_id.join(mixed.select("id").distinct(), "id", "left_semi"))
     left = stored(mixed.join(stored(sign.join(fine, "id"), "fine"), "id"), "mixed")
-    x, y = left.alias("x"), left.alias("y")
-    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
+    every, one = dealt(left, block=KEY_BLOCK)
+    x, y = every.alias("x"), one.alias("y")
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
     close = estimate("x", "y", FINE, "fine_") >= ESTIMATE[FINE]
     agree = F.array_position(F.zip_with("x.bands", "y.bands", lambda p, q: p == q), True)
     more = x.join(y, apart & _plausible("x", "y") & close & (agree == F.col("x.band") + 1)).select(
