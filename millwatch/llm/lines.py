@@ -1,8 +1,9 @@
 """Near-duplicate lines by a segment-partition edit join.
 
-A line is what stands between newlines and holds a word. Equal lines are one class. Two different lines
-of at least ``MIN_CHARS`` characters are linked when at most ``EDITS`` single-character edits apart: cut one of
-them into EDITS + 1 segments, and at least one segment stands unchanged in the other, near its place. Every line
+A line is what stands between newlines and holds a word. Equal lines are one class. Two different lines are linked when at most
+so many single-character edits apart as the length of the shorter one allows: bands of length have their own number of edits, by
+default 1 from 8 characters on and 2 from 20 on. Cut the shorter line into one segment more than its edits, and at least one
+segment stands unchanged in the other, near its place. Every line
 is indexed by its segments (with its length and the segment's number) and probes, for its own and the lengths just below,
 the substrings the shift bounds allow. Lines that meet under a key are candidates, unless the parities of their
 bigrams already differ in more places than so few edits can turn; the banded bit-parallel edit distance decides. Connected lines form classes, and every line but a class's first (smallest id,
@@ -25,25 +26,34 @@ from .common import SPACES, dealt, slices, stored, table, texts
 from .graph import components
 from .minhash import FILTER_BITS, marks
 
-EDITS = 2
-MIN_CHARS = 20
+#: (characters from which, edits) by length.
+BANDS = ((8, 1), (20, 2))
 #: Lines under a key that one task pairs with the key's others.
 KEY_BLOCK = 1024
 
 
-def probes(length: int, edits: int) -> list[tuple[int, int, int, bool]]:
+def allowed(length: int, bands: tuple = BANDS) -> int:
+    """Edits that may lie between a line of ``length`` characters and one that is no shorter."""
+    return max((edits for least, edits in bands if length >= least), default=0)
+
+
+def probes(length: int, bands: tuple = BANDS) -> list[tuple[int, int, int, bool]]:
     """(seed, start, end, indexed) of a line of ``length`` characters: its own segments, and the substrings
     that may be segments of a line no longer than this one. The seed stands for that line's length and the segment.
     """
-    out, n = [], edits + 1
-    for less in range(edits + 1):
+    out = []
+    for less in range(allowed(length, bands) + 1):
         own = length - less
+        edits = allowed(own, bands)
+        if not edits or less > edits:
+            continue
+        n = edits + 1
         base, short = own // n, n - own % n  # the longer segments stand last
         for i in range(n):
             start, size = base * i + max(0, i - short), base + (i >= short)
             for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
                 if 0 <= start + shift and start + shift + size <= length:
-                    out.append((own * n + i, start + shift, start + shift + size, less == 0 and shift == 0))
+                    out.append((own * 64 + i, start + shift, start + shift + size, less == 0 and shift == 0))
     return out
 
 
@@ -55,7 +65,7 @@ def bag(line: str) -> list[int]:
     return np.packbits(odd, bitorder="little").view(np.int64).tolist()
 
 
-def entries(docs: DataFrame, text: str, edits: int, min_chars: int, shared: DataFrame | None = None) -> DataFrame:
+def entries(docs: DataFrame, text: str, bands: tuple, shared: DataFrame | None = None) -> DataFrame:
     """(key, id, indexed) of all lines long enough; with ``shared``, of the keys in it and few others, and with bags.
 
     ``id`` is Spark's ``xxhash64`` of the line. A line counts once per slice of texts.
@@ -69,11 +79,11 @@ def entries(docs: DataFrame, text: str, edits: int, min_chars: int, shared: Data
             keys, ids, indexed, kept = [], [], [], []
             for line in found:
                 length = len(line)
-                if length < min_chars or not line.strip(SPACES):
+                if not allowed(length, bands) or not line.strip(SPACES):
                     continue
                 plan = plans.get(length)
                 if plan is None:
-                    plan = plans[length] = probes(length, edits)
+                    plan = plans[length] = probes(length, bands)
                 keys += [xxh64_intdigest(line[a:b], seed) for seed, a, b, _ in plan]
                 ids.append((xxh64_intdigest(line, 42), len(plan)))
                 indexed += [x for *_, x in plan]
@@ -158,12 +168,13 @@ def lines_of(docs: DataFrame, text: str = "text") -> DataFrame:
     return split.where(F.btrim("line", F.lit(SPACES)) != "").withColumn("id", F.xxhash64("line"))
 
 
-def links(docs: DataFrame, text: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Pairs (a, b) of ids of different lines at most ``edits`` apart."""
+def links(docs: DataFrame, text: str = "text", bands: tuple = BANDS) -> DataFrame:
+    """Pairs (a, b) of ids of different lines as near as ``bands`` allow."""
+    edits = max((e for _, e in bands), default=0)
     lines = lines_of(docs, text)
-    every = entries(docs, text, edits, min_chars)
+    every = entries(docs, text, bands)
     shared = stored(every.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("key"), "line-keys")
-    some = entries(docs, text, edits, min_chars, shared).join(shared, "key").distinct()
+    some = entries(docs, text, bands, shared).join(shared, "key").distinct()
     some = stored(some, "line-entries")
     turned = sum((F.bit_count(F.col(f"i.bag{k}").bitwiseXOR(F.col(f"p.bag{k}"))) for k in range(4)), F.lit(0))
     every, one = dealt(some, block=KEY_BLOCK)
@@ -176,7 +187,8 @@ def links(docs: DataFrame, text: str = "text", edits: int = EDITS, min_chars: in
 
     def check(batches):
         for batch in batches:
-            near = [edit_distance(x, y, edits) <= edits for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
+            near = [edit_distance(x, y, k) <= k for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)
+                    for k in (allowed(min(len(x), len(y)), bands),)]
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     both = pairs.join(known.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
@@ -184,14 +196,14 @@ def links(docs: DataFrame, text: str = "text", edits: int = EDITS, min_chars: in
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def deduplicate(docs: DataFrame, text: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def deduplicate(docs: DataFrame, text: str = "text", bands: tuple = BANDS) -> DataFrame:
     """Per document: n_lines, n_links (links of its lines to different lines), n_dropped, the positions dropped and the lines' classes.
 
     ``line_classes`` has (position, class_doc_id, class_position, links) of every line by position: a class is named by
     the id and position of its first line, and ``links`` counts the different lines that this one is linked to.
     """
     lines = lines_of(docs, text)
-    pairs = stored(links(docs, text, edits, min_chars), "line-links")
+    pairs = stored(links(docs, text, bands), "line-links")
     degree = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).groupBy("id").agg(F.count("*").alias("links"))
     classes = components(pairs).join(degree.withColumnRenamed("id", "node"), "node", "left").select(F.col("node").alias("id"), "component", "links")
     told = stored(lines.select("doc_id", "position", "id").join(classes, "id", "left").select(

@@ -160,9 +160,33 @@ def test_edit_distance():
         assert turned <= 4 * plain(a, "".join(b))
 
 
+def linked(a, b, bands=lines.BANDS):
+    k = max((e for least, e in bands if min(len(a), len(b)) >= least), default=0)
+    return k > 0 and abs(len(a) - len(b)) <= k and lines.edit_distance(a, b, k) <= k
+
+
+@pytest.mark.parametrize("bands", [lines.BANDS, ((3, 1), (12, 2), (25, 3), (45, 4)), ((30, 1),), ()])
+def test_bands_of_edits(spark, docs, bands):
+    """Links equal brute force in every band and across their borders."""
+    r = random.Random(15)
+    base = ["".join(r.choice("abcdé ") for _ in range(n)).strip() + "." for n in [2, 4, 6, 7, 8, 10, 11, 12, 18, 19, 20, 21, 24, 25, 26, 44, 45, 46, 60]]
+    def edited(x):
+        x = list(x)
+        for _ in range(r.randint(0, 4)):
+            i = r.randrange(len(x) + 1)
+            x[i:i + r.randint(0, 1)] = r.choice(["", "z", "q"])
+        return "".join(x)
+    rows = [(i, "\n".join(edited(r.choice(base)) for _ in range(6))) for i in range(60)]
+    frame = docs(rows)
+    text = {x["id"]: x["line"] for x in lines.lines_of(frame).collect()}
+    got = {frozenset((text[x["a"]], text[x["b"]])) for x in lines.links(frame, bands=bands).collect()}
+    want = {frozenset(p) for p in itertools.combinations(set(text.values()), 2) if linked(*p, bands)}
+    assert got == want and bool(want) == bool(bands)
+
+
 def test_line_join(spark, docs, folder):
     r = random.Random(5)
-    base = ["".join(r.choice("abcdé ") for _ in range(r.randint(18, 40))).strip() + "." for _ in range(25)]
+    base = ["".join(r.choice("abcdé ") for _ in range(r.randint(6, 40))).strip() + "." for _ in range(25)]
     def edited(x):
         x = list(x)
         for _ in range(r.randint(0, 3)):
@@ -179,7 +203,7 @@ def test_line_join(spark, docs, folder):
             x = root[x]
         return x
     for a, b in itertools.combinations(unique, 2):
-        if min(len(a), len(b)) >= 20 and abs(len(a) - len(b)) <= 2 and lines.edit_distance(a, b, 2) <= 2:
+        if linked(a, b):
             degree[a] += 1
             degree[b] += 1
             root[find(a)] = find(b)
@@ -209,7 +233,7 @@ def test_line_classes(spark, docs, folder):
     occ = [(i, p, x) for i, t in rows if i is not None for p, x in enumerate((t or "").split("\n")) if x.strip()]
     near = collections.defaultdict(set)
     for (_, _, a), (_, _, b) in itertools.combinations(occ, 2):
-        if a != b and min(len(a), len(b)) >= 20 and lines.edit_distance(a, b, 2) <= 2:
+        if a != b and linked(a, b):
             near[a].add(b)
             near[b].add(a)
     name = {}
