@@ -17,10 +17,11 @@ from millwatch.operators import (
     alerts as alerting, cox, dossier as dossiers, economics, etl, features, fleet, forest, logrank, metrics, ml,
     prep, quality, reports, split, survival,
 )
-from millwatch.plans.jobs import fleet_table
+from millwatch.plans.jobs import fleet_table, load_and_prepare, train_job
 from millwatch.session import configure, materialise, work_dir
 from millwatch.sources import driver_tables, readers, schemas, sinks
-from millwatch.streaming import telemetry as windows
+from millwatch.streaming import alerts as alert_streams, telemetry as windows
+from millwatch.streaming.alerts import write_stream
 
 AS_OF = "2024-06-01 00:00:00"
 
@@ -617,6 +618,15 @@ def fleet_economics(spark, folder):
     return economics.fleet_economics(_fleet(spark, folder))
 
 
+@query
+def machine_economics_override(spark, folder):
+    """Costs under other settings than the built-in ones: dearer hours, two known models, higher limits."""
+    rules = config.Economics(hourly_downtime_cost=350.0, emergency_repair_cost=900.0, downtime_hours={"model1": 8.0, "model3": 2.5},
+                             default_downtime_hours=1.0, high_priority_above=3000, medium_priority_above=1400)
+    return economics.machine_economics(_health(spark, folder), rules).select(
+        "machineID", "cost_unplanned_downtime", "potential_savings", "savings_percent", "priority")
+
+
 # ---------------------------------------------------------------- dossiers
 
 @query
@@ -798,6 +808,98 @@ def technical_report(spark, folder):
         trained[0].metrics.unionByName(trained[1].metrics), ml.top_features(weights), quality.data_quality_summary(rows))
 
 
+# ---------------------------------------------------------------- what is written and read again
+
+def _place(spark: SparkSession, name: str) -> str:
+    return f"{work_dir(configure(spark)).rstrip('/')}/millwatch/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def training_report_file(spark, folder):
+    """A report of metrics written as JSON and read again."""
+    report = metrics.classification_report(_scored_labels(spark, folder))
+    rows = report.select(F.lit("scored").alias("model"), F.lit("f1").alias("metric"), F.col("scope").alias("label"), F.col("f1").alias("value"))
+    path = _place(spark, "report")
+    sinks.write_metrics(rows, path)
+    return _round(sinks.read_metrics(spark, path))
+
+
+@query
+def decision_pack_file(spark, folder):
+    """The decision pack written as a text file: its lines and where they stand."""
+    rows = _fleet(spark, folder)
+    pack = materialise(reports.decision_pack(features.health_features(rows), economics.fleet_economics(rows)), "pack")
+    path = _place(spark, "pack")
+    sinks.write_lines(reports.decision_pack_lines(pack, AS_OF), path)
+    text = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("place", "line"))
+    return text.where("line <> ''")
+
+
+@query
+def saved_models(spark, folder):
+    """Machines whose scores differ between the trained models and those saved and loaded again, and a model that was never saved."""
+    rows, path = _stored_health(spark, folder), _place(spark, "models")
+    clf, reg = ml.train_classifier(rows), ml.train_regressor(rows)
+    sinks.save_models({"classifier": clf.model, "regressor": reg.model}, path)
+    loaded = sinks.load_models(spark, ("classifier", "regressor", "never"), path)
+    one = ml.score_fleet(rows, clf.model, reg.model).select("machineID", "pred_proba", "pred_rul")
+    two = ml.score_fleet(rows, loaded["classifier"], loaded["regressor"]).select("machineID", F.col("pred_proba").alias("p"), F.col("pred_rul").alias("r"))
+    return one.join(two, "machineID").agg(F.count("*").alias("machines"), F.count_if((F.col("pred_proba") != F.col("p")) | (F.col("pred_rul") != F.col("r"))).alias("differ"),
+                                          F.lit(len(loaded)).alias("models"))
+
+
+@query
+def load_and_validate(spark, folder):
+    """Tables that are loaded and enriched, and one that is rejected because columns are missing."""
+    rows, place = _fleet(spark, folder), _place(spark, "upload")
+    out = None
+    for name, part in (("whole", rows), ("old", rows.where("age >= 10")), ("short", rows.drop("volt", "age"))):
+        sinks.write_survival_table(part, f"{place}-{name}.csv", "csv")
+        try:
+            found = load_and_prepare(spark, f"{place}-{name}.csv").agg(F.count("*").alias("machines"), F.count("combined_risk").alias("enriched"))
+            row = found.select(F.lit(name).alias("upload"), F.lit(None).cast("string").alias("problem"), "machines", "enriched")
+        except ValueError as problem:
+            row = spark.range(1).select(F.lit(name).alias("upload"), F.lit(str(problem)).alias("problem"), F.lit(0).cast("long").alias("machines"), F.lit(0).cast("long").alias("enriched"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query
+def training_job(spark, folder):
+    """Sample sizes in the report of the whole training job, which loads, enriches, trains, saves and reports."""
+    place = _place(spark, "job")
+    sinks.write_survival_table(_fleet(spark, folder), f"{place}.csv", "csv")
+    trained = train_job(spark, f"{place}.csv", place)
+    report = sinks.read_metrics(spark, f"{place}/training_report")
+    return report.where("metric IN ('n_samples_train', 'n_samples_test')").select("model", "metric", F.col("value").cast("long").alias("rows"), F.lit(len(trained)).alias("models"))
+
+
+@query
+def alert_stream(spark, folder):
+    """Alerts of a stream of fleet snapshots, written to a history by batch and read again."""
+    place = _place(spark, "stream")
+    rows = _fleet(spark, folder)
+    rows.repartition(3).write.parquet(f"{place}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+    running = alert_streams.write_history(alert_streams.alert_stream(stream, AS_OF), f"{place}/history", f"{place}/state", once=True)
+    running.awaitTermination()
+    return spark.read.parquet(f"{place}/history").select("machine_id", "alert_level", "rul_days", "prob_failure", "risk_score")
+
+
+@query
+def telemetry_stream(spark, folder):
+    """Sliding windows of a stream of readings, closed by its watermark: all but those that later readings could still change."""
+    place = _place(spark, "readings")
+    rows = _logs(spark, folder).telemetry
+    last = rows.agg(F.max("datetime")).first()[0]
+    rows.withColumn("_day", F.to_date("datetime")).repartition(4, "_day").drop("_day").write.parquet(f"{place}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{place}/in")
+    rolled = windows.telemetry_windows(stream, "14 days", "7 days", "1 hour")
+    write_stream(rolled, f"{place}/out", f"{place}/state", once=True).awaitTermination()
+    closed = spark.read.schema(rolled.schema).parquet(f"{place}/out").where(F.col("window_end") <= F.lit(last) - F.expr("INTERVAL 15 DAYS"))
+    return _round(closed.select("machineID", _text_time("window_start"), "rotate_mean", "pressure_std", "readings"))
+
+
 # ---------------------------------------------------------------- machine learning
 
 @query
@@ -882,6 +984,36 @@ def top_features(spark, folder):
     return ml.top_features(_importances(_stored_health(spark, folder)))
 
 
+@query
+def optimal_features(spark, folder):
+    """The features that training picks by itself, in order."""
+    names = ml.optimal_features(_stored_health(spark, folder).drop("pressure"))
+    return spark.createDataFrame(list(enumerate(names, 1)), "position int, feature string")
+
+
+@query
+def top_features_certificate(spark, folder):
+    """Of each model's top features: how many, and how many of the other features are more important than the last of them."""
+    weights = materialise(_importances(_stored_health(spark, folder)), "weights")
+    top = ml.top_features(weights).select("model", "feature", "position", "importance")
+    least = top.groupBy("model").agg(F.count("*").alias("top"), F.min("importance").alias("least"), F.max("position").alias("last"))
+    rest = weights.join(top.select("model", "feature"), ["model", "feature"], "left_anti").join(least, "model")
+    return rest.groupBy("model", "top", "last").agg(F.count_if(F.col("importance") > F.col("least")).alias("above"), F.count("*").alias("others"))
+
+
+@query
+def grid_certificate(spark, folder):
+    """Combinations that both grids scored, and how many of them score better than the chosen one."""
+    rows, out = _stored_health(spark, folder), None
+    for trained, sign in ((ml.train_classifier(rows, grid=ml.CLASSIFIER_GRID), 1), (ml.train_regressor(rows, grid=ml.REGRESSOR_GRID), -1)):
+        same = [F.col(k) == v for k, v in trained.chosen.items()]
+        chosen = trained.scores.where(same[0] & same[1] & same[2] & same[3]).select(F.col("score").alias("chosen"))
+        part = trained.scores.join(chosen).groupBy(F.lit(trained.name).alias("model")).agg(
+            F.count("*").alias("combinations"), F.count_if(sign * (F.col("score") - F.col("chosen")) > 1e-8).alias("better"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query
 def risk_classifier(spark, folder):
     rows = features.add_risk_level(_raw_health(spark, folder))

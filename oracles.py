@@ -545,6 +545,13 @@ oracle("roi_by_model", f"""
            {even('(annual - 100) / 100 * 100', 1)} AS roi_percent, {even('12 * 100 / annual', 1)} AS payback_months FROM values4""")
 oracle("fleet_economics", "SELECT * FROM fleetmoney")
 
+OTHER_HOURS = f"CASE model WHEN 'model1' THEN {dbl(8)} WHEN 'model3' THEN {dbl(2.5)} ELSE {dbl(1)} END"
+oracle("machine_economics_override", f"""
+    SELECT machineID, cost AS cost_unplanned_downtime, greatest(0, cost - 200) AS potential_savings,
+           {even('greatest(0, cost - 200) / cost * 100', 1)} AS savings_percent,
+           CASE WHEN cost - 200 > 3000 THEN 'HAUTE' WHEN cost - 200 > 1400 THEN 'MOYENNE' ELSE 'BASSE' END AS priority
+    FROM (SELECT *, {OTHER_HOURS} * 350 + 900 AS cost FROM health)""")
+
 # dossiers
 oracle("anomalies", f"""
     SELECT machineID, 'VIBRATION_ÉLEVÉE' AS type, 'HAUTE' AS severity, 'Vibration élevée: ' || {shown('vibration')} AS message,
@@ -762,3 +769,24 @@ oracle("cox_score", f"""
     "coxrisk": "SELECT *, " + ", ".join(f"sum(r_{k}) OVER (ORDER BY time DESC) AS s_{k}" for k in MOMENTS) + " FROM coxtimes",
     "coxterms": "SELECT " + ", ".join(f"s_{k} - k / d * f_{k} AS m_{k}" for k in MOMENTS)
                 + " FROM (SELECT *, CAST(unnest(range(0, d)) AS DOUBLE) AS k FROM coxrisk WHERE d > 0)"})
+
+# what is written and read again
+ORACLES["training_report_file"] = f"SELECT 'scored' AS model, 'f1' AS metric, scope AS label, f1 AS value FROM ({ORACLES['classification_report']})"
+oracle("saved_models", "SELECT count(*) AS machines, 0 AS differ, 2 AS models FROM survival")
+oracle("load_and_validate", """
+    SELECT upload, CASE WHEN upload = 'short' THEN 'missing columns: age, volt' END AS problem, count(machineID) AS machines, count(machineID) AS enriched
+    FROM (VALUES ('whole', 0), ('old', 10), ('short', 1000)) u(upload, least) LEFT JOIN survival ON age >= least GROUP BY upload""")
+ORACLES["training_job"] = f"""SELECT model, CASE WHEN is_test THEN 'n_samples_test' ELSE 'n_samples_train' END AS metric, CAST(sum(machines) AS BIGINT) AS rows, 2 AS models
+    FROM ({ORACLES['split_sizes']}) GROUP BY model, is_test"""
+ORACLES["alert_stream"] = f"SELECT machine_id, alert_level, rul_days, prob_failure, risk_score FROM ({ORACLES['alerts']})"
+ORACLES["telemetry_stream"] = f"""SELECT * FROM ({ORACLES['telemetry_sliding']})
+    WHERE strptime(window_start, '%Y-%m-%d %H:%M:%S') + INTERVAL 29 DAY <= (SELECT make_timestamp(1704067200000000 + (max(epoch_us(ts)) - 1704067200000000) * 4) FROM events)"""
+oracle("optimal_features", "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{c}')" for i, c in enumerate(
+    ("global_health_score", "vibration", "error_count", "degradation_rate", "volt", "rotate", "age", "maint_count", "risk_factor"), 1)) + ") f(position, feature)")
+oracle("top_features_certificate", "SELECT model, 5 AS top, 5 AS last, 0 AS above, 5 AS others FROM (VALUES ('classifier'), ('regressor')) m(model)")
+oracle("grid_certificate", "SELECT * FROM (VALUES ('classifier', 24, 0), ('regressor', 12, 0)) g(model, combinations, better)")
+# Headings of the decision pack.
+PACK = ((0, "Decision Pack - Maintenance Prédictive"), (1, "Date: 2024-06-01 00:00:00"), (3, "Top 5 Machines à Risque:"), (10, "Résumé Economique:"))
+ORACLES["decision_pack_file"] = " UNION ALL ".join(
+    [f"SELECT CASE WHEN section = 'top5' THEN 3 ELSE 10 END + position AS place, line FROM ({ORACLES['decision_pack']})"]
+    + [f"SELECT {place}, {text(line)}" for place, line in PACK])
