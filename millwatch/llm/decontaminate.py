@@ -3,8 +3,8 @@
 Words are runs of ``[0-9a-z]`` and non-ASCII characters after lower-casing A-Z. A window is ``n``
 consecutive words of an item; a shorter item with a word is one window. The benchmark is collected in
 slices of a bounded number of words (``slice_words``); each slice becomes one broadcast index, and the
-documents pass through the slices one after another, so a benchmark of any size is handled whole and
-no broadcast exceeds the bound unless a single item does. Documents are only read, never shuffled.
+documents pass through the slices one after another, stored in between, so a benchmark of any size is handled whole and
+neither a broadcast nor a task exceeds the bound unless a single item does. Documents are only read, never shuffled.
 
 NULL texts have no words, NULL items no windows. Windows of an item without an id hit words, but the
 item is not counted. Repeated rows give repeated results; empty tables give no rows or no hits.
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import boxed, slices, table, texts, unboxed
+from .common import boxed, slices, stored, table, texts, unboxed
 
 #: Bytes of a word stay (A-Z lower-cased), all other ASCII becomes a blank.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -103,7 +103,9 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, n: int = 13, slice_words:
     out = plain.select("*", F.lit(None).cast("long").alias("n_words"), F.array().cast(added["hit_spans"].dataType).alias("hit_spans"),
                        F.array().cast("array<string>").alias("hit_items"))
     schema = T.StructType([*plain.schema.fields, *added.fields])
-    for index in _indexes(benchmark, n, slice_words, item, item_text):
+    for k, index in enumerate(_indexes(benchmark, n, slice_words, item, item_text)):
+        if k:  # one index at a time in a task's worker, however many slices there are
+            out = stored(out, "occurrences")
         shared = docs.sparkSession.sparkContext.broadcast(index)
         out = out.mapInArrow(_scanner(shared, text), schema)
     return out
