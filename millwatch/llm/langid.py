@@ -159,7 +159,9 @@ def _level(below: Model, keys: np.ndarray, n: np.ndarray, order: int) -> Level:
 
 
 def _kept(rows: DataFrame, most: int) -> DataFrame:
-    """Of more than ``most`` grams the most frequent ones, by a lower bound of their counts."""
+    """Of more than ``most`` grams the most frequent ones, by a lower bound of their counts. ``rows`` are stored."""
+    if rows.count() <= most:
+        return rows
     by_gram = stored(rows.groupBy("gram").agg(F.sum("n").alias("all")), "grams")
     steps = by_gram.groupBy(F.floor(4 * F.log2("all")).alias("step")).agg(F.count("*").alias("grams")).orderBy(F.desc("step")).collect()
     room, least = most, 0
