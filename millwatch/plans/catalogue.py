@@ -1062,7 +1062,8 @@ def forest_nodes(spark, folder):
         inner = nodes.where("left >= 0").join(held, ["tree", "node"], "left")
         whole = (F.col("children") == 2) & (F.col("child_n") == F.col("n")) & (F.col("child_i") <= F.col("n") * F.col("impurity") + 1e-6)
         leaves = nodes.where("left < 0").select(F.lit("leaf").alias("kind"), (F.col("feature") == -1).alias("sound"))
-        both = inner.select(F.lit("inner").alias("kind"), whole.alias("sound")).unionByName(leaves)
+        none = spark.createDataFrame([("inner", True), ("leaf", True)], "kind string, sound boolean")  # a forest may have no inner node
+        both = inner.select(F.lit("inner").alias("kind"), whole.alias("sound")).unionByName(leaves).unionByName(none)
         part = both.groupBy("kind").agg(F.lit(name).alias("model"), F.coalesce(F.count_if(~F.col("sound")), F.lit(0)).alias("unsound"))
         out = part if out is None else out.unionByName(part)
     return out
