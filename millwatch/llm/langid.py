@@ -69,28 +69,34 @@ def grams(each: list[bytes], block: int = 1 << 20) -> Iterator[tuple[int, np.nda
 
 def counts(labelled: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """(lang, gram, n): how often each byte follows its four predecessors per language, over all rows."""
-    def merged(old, new):
-        gram = np.concatenate([old[0], new[0]])
-        keys, place = np.unique(gram, return_inverse=True)
-        return keys, np.bincount(place, weights=np.concatenate([old[1], new[1]])).astype(np.int64)
+    def merged(parts):
+        if len(parts) == 1:
+            return parts[0]
+        keys, place = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+        return keys, np.bincount(place, weights=np.concatenate([n for _, n in parts])).astype(np.int64)
 
     def rows(found):
-        for name, (gram, n) in found.items():
+        for name, parts in found.items():
+            gram, n = merged(parts)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(gram), pa.string()), pa.array(gram), pa.array(n)], names=["lang", "gram", "n"])
 
+    def size(found):
+        return sum(len(g) for parts in found.values() for g, _ in parts)
+
     def count(batches):
-        found: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in slices(batches, text, 4_000_000):
+        found: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for batch in slices(batches, text, 2_000_000):
             by: dict[str, list[bytes]] = {}
             for name, t in zip(batch.column(lang).to_pylist(), texts(batch, text), strict=True):
                 by.setdefault(name, []).append(t)
             for name, each in by.items():
-                for _, _, packed, used in grams(each, 4 << 20):
-                    here = np.unique(packed[used], return_counts=True)
-                    found[name] = merged(found[name], here) if name in found else here
-            if sum(len(g) for g, _ in found.values()) > 4_000_000:
-                yield from rows(found)
-                found = {}
+                for _, _, packed, used in grams(each, 1 << 19):
+                    found.setdefault(name, []).append(np.unique(packed[used], return_counts=True))
+            if size(found) > 1_500_000:
+                found = {name: [merged(parts)] for name, parts in found.items()}
+                if size(found) > 1_000_000:
+                    yield from rows(found)
+                    found = {}
         yield from rows(found)
     usable = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(lang, text)
     return usable.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -108,7 +114,7 @@ class Level:
 
     def find(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the asked keys and whether they are there: by a table of hashes, and by bisection where that holds another key."""
-        at = self.slots[_slot(asked, len(self.slots))]
+        at = self.slots[_slot(asked, len(self.slots))].astype(np.int64)
         hit = self.keys[at] == asked
         miss = np.flatnonzero(~hit)
         if len(miss):
@@ -152,7 +158,7 @@ def _level(below: Model, keys: np.ndarray, n: np.ndarray, order: int) -> Level:
     escapes = np.where(kinds > 0, np.rint(np.log2(np.maximum(whole, 1) / np.maximum(kinds, 1)) * UNIT), 0).astype(np.int32)
     own = np.rint(np.log2(np.maximum(whole, 1)[place] / np.maximum(n, 1)) * UNIT).astype(np.int32)
     lengths = np.where(n > 0, own, escapes[place] + below.lengths(keys & ((1 << 8 * order) - 1), order - 1))
-    slots = np.zeros(1 << max(10, int(4 * len(keys) - 1).bit_length()), dtype=np.int64)
+    slots = np.zeros(1 << max(10, int(2 * len(keys) - 1).bit_length()), dtype=np.int32)
     rare_first = np.argsort(n.sum(axis=1), kind="stable")
     slots[_slot(keys[rare_first], len(slots))] = rare_first  # the most frequent key of a slot stays
     return Level(keys, lengths.astype(np.int32), slots, contexts, escapes)
@@ -191,7 +197,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", table_bytes
     return model
 
 
-def code_lengths(model: Model, each: list[bytes], block: int = 1 << 19) -> np.ndarray:
+def code_lengths(model: Model, each: list[bytes], block: int = 1 << 18) -> np.ndarray:
     """[language, text]: code length of every text with its end mark."""
     out = np.zeros((len(each), len(model.languages)), dtype=np.int64)
     for first, starts, packed, used in grams(each, block):
@@ -210,7 +216,7 @@ def _scored(docs: DataFrame, model: Model, text: str) -> DataFrame:
 
     def score(batches):
         m = shared.value
-        for batch in slices(batches, text, 8_000_000):
+        for batch in slices(batches, text, 2_000_000):
             usable = np.asarray(batch.column("_has_letter").to_pylist(), dtype=bool) & bool(m.languages)
             names, scores, bits = np.full(batch.num_rows, UNKNOWN, dtype=object), np.zeros(batch.num_rows), np.zeros(batch.num_rows)
             at = np.flatnonzero(usable)
