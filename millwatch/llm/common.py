@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -80,6 +82,13 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4_000_00
             yield batch.slice(start, end - start)
 
 
+def release() -> None:
+    """Give memory that this worker no longer uses back to the system: workers are kept for later tasks, of other stages too."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def texts(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
     """The values of a text column as UTF-8 bytes."""
     return batch.column(column).cast(pa.binary()).to_pylist()

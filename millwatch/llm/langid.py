@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import boxed, slices, stored, table, texts, unboxed
+from .common import boxed, release, slices, stored, table, texts, unboxed
 
 ORDER = 4
 FOLD = bytes(32 if b <= 32 or b == 127 else b + 32 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in range(256))
@@ -98,6 +98,8 @@ def counts(labelled: DataFrame, text: str = "text", lang: str = "lang") -> DataF
                     yield from rows(found)
                     found = {}
         yield from rows(found)
+        del found
+        release()
     usable = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(lang, text)
     return usable.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
@@ -229,6 +231,7 @@ def _scored(docs: DataFrame, model: Model, text: str) -> DataFrame:
             rest = batch.drop_columns(["_has_letter"])
             yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(bits)],
                                              names=[*rest.schema.names, "lang_pred", "score", "_bits"])
+        release()
 
     letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     return plain.withColumn("_has_letter", letter).mapInArrow(score, schema)
