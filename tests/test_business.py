@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from millwatch.config import Economics
+from millwatch.functions import risk
 from millwatch.operators import alerts, dossier, economics, features, fleet, reports, survival
+from millwatch.plans import catalogue
 from millwatch.sources import sinks
 
 AS_OF = "2024-06-01 00:00:00"
@@ -33,6 +35,14 @@ def test_machine_economics(health):
     assert got[4].cost_unplanned_downtime == got[5].cost_unplanned_downtime == 4000
 
 
+def test_fleet_risk_counts_levels_told_from_all_readings(spark, rows, health, monkeypatch):
+    """Vibration and errors raise a machine's level, not its health alone."""
+    monkeypatch.setattr(catalogue, "_fleet", lambda *_: rows)
+    got = {r.risk_level: r.machines for r in catalogue.QUERIES["fleet_risk_distribution"](spark, "").collect()}
+    count = lambda level: {r[0]: r[1] for r in health.groupBy(level).count().collect()}
+    assert got == count(F.col("risk_level")) != count(risk.risk_from_health(F.col("global_health_score")))
+
+
 def test_economics_settings(spark):
     df = spark.createDataFrame([("a",), ("b",)], "model string")
     cheap = Economics(hourly_downtime_cost=100, emergency_repair_cost=0, downtime_hours={"a": 1.0}, default_downtime_hours=15)
