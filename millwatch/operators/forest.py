@@ -12,6 +12,7 @@ from itertools import product
 from multiprocessing.pool import ThreadPool
 from typing import Callable, Mapping, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml import Model
@@ -23,6 +24,11 @@ from millwatch.session import materialise, work_dir
 NODES = "tree int, node int, parent int, depth int, n long, prediction double, impurity double, stats array<double>, " \
         "gain double, feature int, threshold double, left int, right int"
 
+# Sizes of the groups in which rows walk down trees: bounds of what one task holds, and the least number of groups per block of rows.
+BLOCK_ROWS = 1 << 16
+BLOCK_NODES = 500_000
+TREE_BLOCKS = 16
+
 
 def _saved(spark: SparkSession, model: Model) -> str:
     path = f"{work_dir(spark).rstrip('/')}/millwatch/forest-{uuid.uuid4().hex}"
@@ -32,25 +38,28 @@ def _saved(spark: SparkSession, model: Model) -> str:
 
 def node_table(spark: SparkSession, model: Model) -> DataFrame:
     """One row per node of every tree; ``n`` counts the rows of the node's sample, leaves have no children and no feature."""
-    types = [("tree", pa.int32()), ("node", pa.int32()), ("parent", pa.int32()), ("depth", pa.int32())]
-
     def place(tree: pa.Table) -> pa.Table:
-        rows = sorted(tree.to_pylist(), key=lambda r: r["node"])
-        parent, depth = [-1] * len(rows), [0] * len(rows)
-        for r in rows:  # children have higher numbers than their parent
-            for child in (r["left"], r["right"]):
-                if child >= 0:
-                    parent[child], depth[child] = r["node"], depth[r["node"]] + 1
-        return pa.Table.from_pylist([{"tree": r["tree"], "node": r["node"], "parent": p if p >= 0 else None, "depth": d}
-                                     for r, p, d in zip(rows, parent, depth, strict=True)], schema=pa.schema(types))
-
+        tree = tree.sort_by("node")
+        children = [tree[c].to_numpy() for c in ("left", "right")]
+        parent, depth = np.full(tree.num_rows, -1, np.int32), np.zeros(tree.num_rows, np.int32)
+        level, below = np.zeros(1, np.int64), 0
+        while len(level):  # nodes are numbered from the root's 0 without gaps
+            below, found = below + 1, []
+            for child in children:
+                inner = level[child[level] >= 0]
+                parent[child[inner]], depth[child[inner]] = inner, below
+                found.append(child[inner])
+            level = np.concatenate(found)
+        placed = {"parent": pa.array(parent, mask=parent < 0), "depth": pa.array(depth)}
+        return pa.Table.from_arrays([placed[c] if c in placed else tree[c] for c in names], names=names)
+
+    names = [c.split()[0] for c in NODES.split(", ")]
     e = lambda name: F.col(f"nodeData.{name}")
     raw = spark.read.parquet(f"{_saved(spark, model)}/data").select(
         F.col("treeID").alias("tree"), e("id").alias("node"), e("rawCount").alias("n"), e("prediction").alias("prediction"),
         e("impurity").alias("impurity"), e("impurityStats").alias("stats"), e("gain").alias("gain"), e("split.featureIndex").alias("feature"),
         F.get(e("split.leftCategoriesOrThreshold"), F.lit(0)).alias("threshold"), e("leftChild").alias("left"), e("rightChild").alias("right"))
-    placed = raw.select("tree", "node", "left", "right").groupBy("tree").applyInArrow(place, "tree int, node int, parent int, depth int")
-    return materialise(raw.join(placed, ["tree", "node"]).select(*[c.split()[0] for c in NODES.split(", ")]), "nodes")
+    return materialise(raw.groupBy("tree").applyInArrow(place, NODES), "nodes")
 
 
 def feature_array(features: Sequence[str]) -> Column:
@@ -58,44 +67,63 @@ def feature_array(features: Sequence[str]) -> Column:
     return F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features])
 
 
-def _walk(depth: int, split: int, steps: int) -> Column:
-    """The node where a row ends in its tree, if nodes at ``depth`` or of fewer than ``split`` rows are leaves."""
-    at = lambda name, k: F.get(F.col(f"_tree.{name}"), k)
-
-    def step(node: Column, _: Column) -> Column:
-        last = (at("left", node) < 0) | (at("depth", node) >= depth) | (at("n", node) < split)
-        down = F.when(F.get(F.col("_x"), at("feature", node)) <= at("threshold", node), at("left", node)).otherwise(at("right", node))
-        return F.when(last, node).otherwise(down)
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(max(1, min(depth, steps)))), F.lit(0), step)
+def _ends(tree: dict[str, np.ndarray], x: np.ndarray, depth: int, split: int) -> np.ndarray:
+    """The nodes where rows end in a tree, if nodes at ``depth`` or of fewer than ``split`` rows are leaves."""
+    last = (tree["left"] < 0) | (tree["depth"] >= depth) | (tree["n"] < split)
+    ends, rows = np.zeros(len(x), np.int64), np.arange(len(x))
+    rows = rows[~last[ends]]
+    while len(rows):
+        node = ends[rows]
+        down = np.where(x[rows, tree["feature"][node]] <= tree["threshold"][node], tree["left"][node], tree["right"][node])
+        ends[rows] = down
+        rows = rows[~last[down]]
+    return ends
 
 
 def predictions(rows: DataFrame, nodes: DataFrame, features: Sequence[str], limits: Mapping[str, tuple[int, int, int]], value: str) -> DataFrame:
     """``rows`` with one column per entry of ``limits`` (number of trees, depth, split size): the forest's mean.
 
-    ``value`` is ``prediction``, or ``class:k`` for the share of class k. Each row meets every tree, whose nodes are arrays of one
-    row, and walks down by expressions; the trees are joined by number, so the planner sees their size.
+    ``value`` is ``prediction``, or ``class:k`` for the share of class k. Blocks of rows meet blocks of trees, each pair of blocks in
+    a group of its own that holds no more of either than the block sizes; neither the nodes nor the rows pass through the driver.
     """
-    names = ("depth", "n", "left", "right", "feature", "threshold", "prediction", "stats")
-    trees = nodes.groupBy("tree").agg(F.sort_array(F.collect_list(F.struct("node", *names))).alias("_n")).select(
-        F.col("tree").alias("_t"), F.struct(*[F.col(f"_n.{c}").alias(c) for c in names]).alias("_tree"))
-    trees = materialise(trees, "trees")
-    size, deepest = nodes.agg(F.max("tree") + 1, F.max("depth")).first()
+    size, count = nodes.agg(F.max("tree") + 1, F.count("*")).first()
     met = rows.withColumns({"_x": feature_array(features), "_id": F.monotonically_increasing_id()})
     met = materialise(met, "walkers")
-    pairs = met.select("_id", "_x", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("_t")).join(trees, "_t")
-    ends = {(d, s): f"_end_{d}_{s}" for _, d, s in limits.values()}
-    walked = pairs.select("_id", "_t", "_tree", *[_walk(d, s, deepest).alias(c) for (d, s), c in ends.items()])
-
-    def told(end: str) -> Column:
-        if value == "prediction":
-            return F.get("_tree.prediction", F.col(end))
-        stats = F.get("_tree.stats", F.col(end))
-        total = F.aggregate(stats, F.lit(0.0), lambda a, v: a + v)
-        return F.coalesce(F.get(stats, F.lit(int(value.split(":")[1]))), F.lit(0.0)) / total
-
-    told_by = walked.select("_id", "_t", *[told(c).alias(c) for c in ends.values()])
-    means = told_by.groupBy("_id").agg(*[F.avg(F.when(F.col("_t") < t, F.col(ends[d, s]))).alias(name) for name, (t, d, s) in limits.items()])
+    forests = min(size, max(TREE_BLOCKS, -(-count // BLOCK_NODES)))
+    blocks = max(1, -(-met.count() // BLOCK_ROWS))
+    if value == "prediction":
+        told = F.col("prediction")
+    else:
+        total = F.aggregate("stats", F.lit(0.0), lambda a, v: a + v)
+        told = F.coalesce(F.get("stats", F.lit(int(value.split(":")[1]))), F.lit(0.0)) / total
+    numbers = ("left", "right", "feature", "threshold", "depth", "n")
+    each = lambda k, name: F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias(name)
+    grown = nodes.select(F.floor(F.col("tree") * forests / size).cast("int").alias("_f"), each(blocks, "_b"), "tree", "node", *numbers, told.alias("told"))
+    dealt = met.select(F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int").alias("_b"), each(forests, "_f"), "_id",
+                       *[F.get("_x", F.lit(i)).alias(f"_x{i}") for i in range(len(features))])
+    names = list(limits)
+    schema = pa.schema([("_id", pa.int64()), *[(f"_p{i}", pa.float64()) for i in range(len(names))]])
+
+    def walk(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        x = np.column_stack([left[f"_x{i}"].to_numpy() for i in range(len(features))])
+        sums = np.zeros((len(names), len(x)))
+        right = right.sort_by([("tree", "ascending"), ("node", "ascending")])
+        known = {c: right[c].to_numpy() for c in ("tree", *numbers, "told")}
+        trees, starts = np.unique(known["tree"], return_index=True)
+        for number, low, high in zip(trees, starts, [*starts[1:], right.num_rows]):
+            tree, ended = {c: v[low:high] for c, v in known.items()}, {}
+            for k, (first, depth, split) in enumerate(limits.values()):
+                if number < first:
+                    if (depth, split) not in ended:
+                        ended[depth, split] = tree["told"][_ends(tree, x, depth, split)]
+                    sums[k] += ended[depth, split]
+        return pa.Table.from_arrays([left["_id"].combine_chunks(), *[pa.array(s) for s in sums]], schema=schema)
+
+    parts = dealt.groupBy("_b", "_f").cogroup(grown.groupBy("_b", "_f")).applyInArrow(
+        walk, ", ".join(["_id long", *[f"_p{i} double" for i in range(len(names))]]))
+    means = parts.groupBy("_id").agg(*[(F.sum(f"_p{i}") / min(limits[name][0], size)).alias(name) for i, name in enumerate(names)])
     return met.join(means, "_id").select(*rows.columns, *limits)
 
 

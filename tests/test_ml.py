@@ -130,6 +130,22 @@ def test_pruned_predictions_equal_a_loop(spark, fleet):
                 assert r[name] == pytest.approx(want, abs=1e-12)
 
 
+def test_walks_meet_blocks_of_rows_and_trees(spark, fleet, monkeypatch, plan_of):
+    """Small blocks give the same means, rows that repeat stay, and no tree is carried along by a row or sent to all tasks."""
+    names = ["vibration", "pressure", "age", "error_count"]
+    trained = ml.train_regressor(fleet, names, settings=QUICK)
+    nodes = forest.node_table(spark, trained.model.stages[-1])
+    rows = fleet.unionByName(fleet.where("machineID < 20"))
+    whole = forest.predictions(rows, nodes, names, LIMITS, "prediction")
+    monkeypatch.setattr(forest, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(forest, "BLOCK_NODES", 100)
+    dealt = forest.predictions(rows, nodes, names, LIMITS, "prediction")
+    plan = plan_of(dealt, "simple")
+    assert "FlatMapCoGroupsInArrow" in plan and "_tree" not in plan and "BroadcastHashJoin" not in plan.split("FlatMapCoGroupsInArrow", 1)[1]
+    key = lambda df: sorted((r.machineID, *[round(r[c], 9) for c in LIMITS]) for r in df.collect())
+    assert key(whole) == key(dealt) and dealt.count() == 320
+
+
 def test_a_cut_tree_is_a_tree_grown_to_that_depth(spark, fleet):
     """With all features at every node, a deep forest cut at a depth equals the forest grown to that depth."""
     names = ["vibration", "pressure", "age", "error_count"]
