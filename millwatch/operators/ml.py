@@ -132,7 +132,7 @@ def train_classifier(df: DataFrame, features: Sequence[str] | None = None, targe
     train = rows.where(~F.col("is_test"))
 
     def fit(part: DataFrame, trees: int, deepest: int, leaf: int = 1) -> PipelineModel:
-        grower = RandomForestClassifier(labelCol=target, numTrees=trees, maxDepth=deepest, minInstancesPerNode=leaf, seed=settings.seed)
+        grower = RandomForestClassifier(labelCol=target, numTrees=trees, maxDepth=deepest, minInstancesPerNode=leaf, seed=settings.seed, cacheNodeIds=True)
         return Pipeline(stages=[*feature_stages(features), grower]).fit(part)
 
     chosen = scores = None
@@ -168,7 +168,7 @@ def train_regressor(df: DataFrame, features: Sequence[str] | None = None, target
     train = rows.where(~F.col("is_test"))
 
     def fit(part: DataFrame, trees: int, deepest: int, leaf: int = 1) -> PipelineModel:
-        grower = RandomForestRegressor(labelCol=target, numTrees=trees, maxDepth=deepest, minInstancesPerNode=leaf, seed=settings.seed)
+        grower = RandomForestRegressor(labelCol=target, numTrees=trees, maxDepth=deepest, minInstancesPerNode=leaf, seed=settings.seed, cacheNodeIds=True)
         return Pipeline(stages=[*feature_stages(features), grower]).fit(part)
 
     chosen = scores = None
@@ -220,7 +220,7 @@ def train_risk_classifier(df: DataFrame, label: str = "risk_level", settings: Tr
                           depth: int = DEFAULT_DEPTH) -> PipelineModel:
     """Forest that learns the heuristic risk level from the four scoring features, on every row."""
     indexer = StringIndexer(inputCol=label, outputCol="_label", handleInvalid="skip").fit(df)
-    grower = RandomForestClassifier(labelCol="_label", numTrees=settings.risk_trees, maxDepth=depth, seed=settings.seed)
+    grower = RandomForestClassifier(labelCol="_label", numTrees=settings.risk_trees, maxDepth=depth, seed=settings.seed, cacheNodeIds=True)
     names = IndexToString(inputCol="prediction", outputCol="predicted_level", labels=indexer.labels)
     trainer = Pipeline(stages=[*feature_stages(config.SCORING_FEATURES), grower])
     fitted = trainer.fit(indexer.transform(df))

@@ -146,6 +146,18 @@ def test_walks_meet_blocks_of_rows_and_trees(spark, fleet, monkeypatch, plan_of)
     assert key(whole) == key(dealt) and dealt.count() == 320
 
 
+def test_forests_do_not_ship_their_trees(fleet, monkeypatch):
+    """Rows keep their node, so that a level does not send all trees grown so far to the tasks."""
+    made = []
+    for name in ("RandomForestClassifier", "RandomForestRegressor"):
+        grower = getattr(ml, name)
+        monkeypatch.setattr(ml, name, lambda _grower=grower, **kw: made.append(_grower(**kw)) or made[-1])
+    ml.train_classifier(fleet, settings=QUICK)
+    ml.train_regressor(fleet, settings=QUICK)
+    ml.train_risk_classifier(fleet, settings=Training(risk_trees=2))
+    assert len(made) == 3 and all(m.getCacheNodeIds() for m in made)
+
+
 def test_a_cut_tree_is_a_tree_grown_to_that_depth(spark, fleet):
     """With all features at every node, a deep forest cut at a depth equals the forest grown to that depth."""
     names = ["vibration", "pressure", "age", "error_count"]
