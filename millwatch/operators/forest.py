@@ -184,8 +184,10 @@ def search(rows: DataFrame, features: Sequence[str], target: str, grid: Mapping[
         return materialise(told.select("_fold", F.lit(leaf).alias("_leaf"), F.col("_label").cast("double").alias("_label"), *limits), "told")
 
     jobs = list(product(range(folds), grid["minInstancesPerNode"]))
+    # Each job has a copy of the local properties: threads that share one clear each other's execution ids.
+    calls = [(inheritable_thread_target(spark)(held_out), job) for job in jobs]
     with ThreadPool(parallelism) as pool:
-        parts = [p for p in pool.map(inheritable_thread_target(spark)(held_out), jobs) if p is not None]
+        parts = [p for p in pool.starmap(lambda call, job: call(job), calls, chunksize=1) if p is not None]
     told = None
     for part in parts:
         told = part if told is None else told.unionByName(part)

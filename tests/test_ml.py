@@ -210,6 +210,14 @@ def test_grid_search(spark, fleet):
     assert want[2] == pytest.approx(np.mean(errors), rel=0.15) and len(want) == 2
 
 
+def test_fits_of_a_grid_do_not_share_local_properties(fleet, monkeypatch):
+    """Threads with one set of properties clear each other's execution ids (NumberFormatException in one of some runs)."""
+    copies, wrap = [], forest.inheritable_thread_target
+    monkeypatch.setattr(forest, "inheritable_thread_target", lambda session: copies.append(session) or wrap(session))
+    ml.train_regressor(fleet, ["vibration"], settings=QUICK, grid={"numTrees": (2,), "maxDepth": (2,)})
+    assert len(copies) == QUICK.folds
+
+
 @pytest.mark.parametrize("name, size", [("classifier", 24), ("regressor", 12)])
 def test_grid_queries_search_all(spark, monkeypatch, name, size):
     searched, search = [], forest.search
