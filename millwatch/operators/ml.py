@@ -34,10 +34,10 @@ GRID_LABELS = {"trees": "numTrees", "depth": "maxDepth", "leaf": "minInstancesPe
 
 @dataclass(frozen=True)
 class Trained:
-    """A fitted model; the hold-out is scored and measured only when its figures are asked for."""
+    """A fitted model; the hold-out is scored and measured, and a searched model put together, only when they are asked for."""
 
     name: str
-    model: PipelineModel
+    _model: Callable[[], PipelineModel]
     importance: DataFrame
     _tested: DataFrame
     _measure: Callable[[DataFrame], DataFrame]
@@ -46,6 +46,10 @@ class Trained:
     chosen: dict | None = None
     scores: DataFrame | None = None
 
+    @cached_property
+    def model(self) -> PipelineModel:
+        return self._model()
+
     @cached_property
     def predictions(self) -> DataFrame:
         return materialise(self._tested, f"{self.name}_test")
@@ -56,10 +60,11 @@ class Trained:
 
         After a grid search also the other settings it chose, and a row ``cv_score`` per combination, labelled with its settings.
         """
-        limits = {"max_depth": self.model.stages[-1].getMaxDepth()}
-        if self.chosen:
-            limits |= {"n_estimators": self.chosen["numTrees"], "min_samples_leaf": self.chosen["minInstancesPerNode"],
-                       "min_samples_split": self.chosen["minSamplesSplit"]}
+        if not self.chosen:
+            limits = {"max_depth": self.model.stages[-1].getMaxDepth()}
+        else:
+            limits = {"max_depth": self.chosen["maxDepth"], "n_estimators": self.chosen["numTrees"],
+                      "min_samples_leaf": self.chosen["minInstancesPerNode"], "min_samples_split": self.chosen["minSamplesSplit"]}
         limit = self._tested.sparkSession.range(1).select(*[F.lit(v).alias(k) for k, v in limits.items()])
         rows = self._measure(self.predictions).unionByName(_long(limit, self.name))
         if self.scores is None:
@@ -84,8 +89,11 @@ def feature_stages(features: Sequence[str], prefix: str = "_x_", output: str = "
             VectorAssembler(inputCols=[f"{prefix}{c}" for c in features], outputCol=output)]
 
 
-def _importance(model: PipelineModel, name: str, features: Sequence[str], df: DataFrame) -> DataFrame:
-    weights = model.stages[-1].featureImportances.toArray()
+def _importance(fitted: PipelineModel | DataFrame, name: str, features: Sequence[str], df: DataFrame) -> DataFrame:
+    """Of a model, or of the nodes of a forest."""
+    if isinstance(fitted, DataFrame):
+        return forest.importances(fitted, features).select(F.lit(name).alias("model"), "feature", "importance")
+    weights = fitted.stages[-1].featureImportances.toArray()
     rows = [(name, f, float(w)) for f, w in zip(features, weights)]
     return df.sparkSession.createDataFrame(rows, "model string, feature string, importance double")
 
@@ -100,16 +108,45 @@ def _long(df: DataFrame, model: str, label_column: str | None = None) -> DataFra
 
 
 def _search(train: DataFrame, features: Sequence[str], target: str, grid: dict, fit: Callable[..., PipelineModel], positive: bool,
-            settings: Training, parallelism: int) -> tuple[PipelineModel, dict, DataFrame]:
-    """The best combination of the grid (the first one of equal scores: fewer trees, then depth, leaf and split size), fitted on all rows."""
-    scores = forest.search(train, features, target, grid, lambda *a: fit(*a).stages[-1], positive, settings.folds, settings.seed, parallelism)
+            settings: Training, parallelism: int) -> tuple[Callable[[], PipelineModel], DataFrame, dict, DataFrame]:
+    """The best combination of the grid (the first one of equal scores: fewer trees, then depth, leaf and split size), grown on all rows.
+
+    Returns what puts the model together, the nodes, the combination and all scores.
+    """
+    classes = 0
+    if positive:
+        label = F.col(target).cast("double")
+        known = train.agg(F.max(label).alias("most"), F.count_if((label < 0) | (label != F.floor(label))).alias("odd")).first()
+        if known["odd"]:
+            raise ValueError(f"{target!r} holds labels that are not whole numbers from 0 on")
+        classes = int(known["most"] or 0) + 1
+    grower = forest.Grower(features, target, classes, settings.seed)
+    scores = forest.search(train, features, target, grid, grower, positive, settings.folds, settings.seed, parallelism)
     order = list(GRID_LABELS.values())
     rank = F.desc(F.round("score", 9)) if positive else F.asc(F.round("score", 9))
     chosen = scores.orderBy(rank, *order).select(*order).first().asDict()
-    model = fit(train, chosen["numTrees"], chosen["maxDepth"], chosen["minInstancesPerNode"])
-    if chosen["minSamplesSplit"] > 2:
-        model = PipelineModel(stages=[*model.stages[:-1], forest.with_min_split(train.sparkSession, model.stages[-1], chosen["minSamplesSplit"])])
-    return model, chosen, scores
+    nodes = grower.nodes(train, *[chosen[k] for k in order])
+
+    def model() -> PipelineModel:
+        *stages, roots = fit(train, chosen["numTrees"], 0, chosen["minInstancesPerNode"]).stages
+        return PipelineModel(stages=[*stages, forest.as_model(nodes, roots, chosen["maxDepth"])])
+
+    return model, nodes, chosen, scores
+
+
+def _walked(rows: DataFrame, nodes: DataFrame, features: Sequence[str], chosen: dict, value: str, name: str) -> DataFrame:
+    """``rows`` with what the chosen forest says."""
+    return forest.predictions(rows, nodes, features, {name: (chosen["numTrees"], chosen["maxDepth"], chosen["minSamplesSplit"])}, value)
+
+
+def _walked_labels(rows: DataFrame, nodes: DataFrame, features: Sequence[str], chosen: dict) -> DataFrame:
+    """``rows`` with the class that has the largest share, the lowest of equal ones, and the share of class 1."""
+    classes = nodes.agg(F.max(F.size("stats"))).first()[0]
+    for k in range(1, classes):
+        rows = _walked(rows, nodes, features, chosen, f"class:{k}", f"_p{k}")
+    others = [F.col(f"_p{k}") for k in range(1, classes)]
+    shares = F.array(sum((-p for p in others), F.lit(1.0)), *others)
+    return rows.withColumns({"prediction": F.array_position(shares, F.array_max(shares)) - 1, "score": F.coalesce(F.get(shares, F.lit(1)), F.lit(0.0))})
 
 
 def _sizes(split: DataFrame, model: str) -> DataFrame:
@@ -137,18 +174,18 @@ def train_classifier(df: DataFrame, features: Sequence[str] | None = None, targe
 
     chosen = scores = None
     if grid:
-        model, chosen, scores = _search(train, features, target, grid, fit, True, settings, parallelism)
+        model, fitted, chosen, scores = _search(train, features, target, grid, fit, True, settings, parallelism)
+        tested = _walked_labels(rows.where("is_test"), fitted, features, chosen)
     else:
-        model = fit(train, settings.trees, depth)
-    tested = model.transform(rows.where("is_test")).select(
-        "machineID", F.col(target).cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"),
-        _positive_probability().alias("score"))
+        fitted = fit(train, settings.trees, depth)
+        model, tested = lambda: fitted, fitted.transform(rows.where("is_test")).withColumn("score", _positive_probability())
+    tested = tested.select("machineID", F.col(target).cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"), "score")
 
     def measure(scored: DataFrame) -> DataFrame:
         return (_long(classification_report(scored), "classifier", "scope")
                 .unionByName(_long(roc_auc(scored), "classifier")).unionByName(_sizes(rows, "classifier")))
 
-    return Trained("classifier", model, _importance(model, "classifier", features, df), tested, measure, features, chosen, scores)
+    return Trained("classifier", model, _importance(fitted, "classifier", features, df), tested, measure, features, chosen, scores)
 
 
 def _positive_probability():
@@ -173,15 +210,17 @@ def train_regressor(df: DataFrame, features: Sequence[str] | None = None, target
 
     chosen = scores = None
     if grid:
-        model, chosen, scores = _search(train, features, target, grid, fit, False, settings, parallelism)
+        model, fitted, chosen, scores = _search(train, features, target, grid, fit, False, settings, parallelism)
+        tested = _walked(rows.where("is_test"), fitted, features, chosen, "prediction", "prediction")
     else:
-        model = fit(train, settings.trees, depth)
-    tested = model.transform(rows.where("is_test")).select("machineID", F.col(target).alias("label"), "prediction")
+        fitted = fit(train, settings.trees, depth)
+        model, tested = lambda: fitted, fitted.transform(rows.where("is_test"))
+    tested = tested.select("machineID", F.col(target).alias("label"), "prediction")
 
     def measure(scored: DataFrame) -> DataFrame:
         return _long(regression_metrics(scored), "regressor").unionByName(_sizes(rows, "regressor"))
 
-    return Trained("regressor", model, _importance(model, "regressor", features, df), tested, measure, features, chosen, scores)
+    return Trained("regressor", model, _importance(fitted, "regressor", features, df), tested, measure, features, chosen, scores)
 
 
 def performance_summary(trained: Sequence[Trained]) -> DataFrame:

@@ -186,6 +186,81 @@ def test_model_with_a_minimum_split(spark, fleet, tmp_path):
     assert scored.where(F.abs(F.col("walked") - F.col("pred_proba")) > 1e-12).count() == 0
 
 
+def test_grown_nodes_hold_the_best_splits(spark, fleet):
+    """Of every node of a tree with all features: sums of its rows, the largest gain of any split, and leaves where no split is allowed."""
+    names = ["vibration", "age", "error_count"]
+    rows = fleet.select("machineID", "time", "event", *names)
+    told = rows.withColumn("key", F.xxhash64("machineID")).collect()
+    edges = forest.edges_of(rows, names)
+    assert len(edges[0]) == 31 and edges[1].tolist() == [v + 0.5 for v in range(19)]
+    x = np.array([[float(r[c]) for c in names] for r in told])
+    w = forest._drawn(np.array([r.key for r in told], np.int64).view(np.uint64), forest._root(5, 0))
+    assert 0.5 < np.mean(w > 0) < 0.75 and 0.8 < w.mean() < 1.2
+    for target, classes, depth, leaf, split in (("time", 0, 6, 3, 8), ("event", 2, 30, 1, 2)):
+        y = np.array([float(r[target]) for r in told])
+        spread = (lambda a, y=y: 1 - sum((a[y == k].sum() / a.sum()) ** 2 for k in (0, 1))) if classes else (
+            lambda a, y=y: np.average((y - np.average(y, weights=a)) ** 2, weights=a))
+        tree = {r.node: r for r in forest.Grower(names, target, classes, 5).nodes(rows, 1, depth, leaf, split).collect()}
+        members = {0: w.astype(float)}
+        for k in range(len(tree)):
+            own, node = members[k], tree[k]
+            assert node.n == own.sum() and node.impurity == pytest.approx(spread(own), abs=1e-9)
+            assert node.stats[1] == pytest.approx((own * y).sum()) and (classes or node.prediction == pytest.approx(np.average(y, weights=own)))
+            gains = [0.0]
+            for f, e in enumerate(edges):
+                for t in e:
+                    a, b = own * (x[:, f] <= t), own * (x[:, f] > t)
+                    if min(a.sum(), b.sum()) >= leaf:
+                        gains.append(spread(own) - (a.sum() * spread(a) + b.sum() * spread(b)) / own.sum())
+            may = node.depth < depth and node.n >= split and max(gains) > 1e-9
+            assert (node.left >= 0) == may and (not may or node.gain == pytest.approx(max(gains), abs=1e-9))
+            if may:
+                goes = x[:, node.feature] <= node.threshold
+                members[node.left], members[node.right] = own * goes, own * ~goes
+                assert node.threshold in edges[node.feature] and tree[node.left].parent == tree[node.right].parent == k
+        assert len(members) == len(tree) > 10
+
+
+@pytest.mark.parametrize("target, classes, value", [("event", 2, "class:1"), ("time", 0, "prediction")])
+def test_grown_forests_as_tables_and_models(spark, fleet, monkeypatch, target, classes, value):
+    """Told-out rows, a walk down the nodes and the model put together say the same, however rows and trees are dealt."""
+    names = ["vibration", "pressure", "age", "error_count"]
+    gappy = fleet.withColumn("vibration", F.when(F.col("machineID") % 7 > 0, F.col("vibration"))).withColumn("_id", F.col("machineID"))
+    rows = gappy.select("machineID", target, *names, "_id", (F.col("machineID") % 3 == 0).alias("_held"))
+    grower, train = forest.Grower(names, target, classes, 42), gappy.where("machineID % 3 > 0")
+    told = grower.told(rows, 8, 30, 1, LIMITS)
+    nodes = grower.nodes(train, 8, 30)
+    walked = forest.predictions(rows.where("_held"), nodes, names, LIMITS, value)
+    key = lambda df: sorted(tuple(round(r[c], 9) for c in LIMITS) for r in df.collect())
+    assert key(told) == key(walked) and told.count() == 100
+    monkeypatch.setattr(forest, "GROW_BLOCKS", 3)
+    assert key(grower.told(rows.repartition(5, "age"), 8, 30, 1, LIMITS)) == key(told)
+
+    trained = (ml.train_classifier if classes else ml.train_regressor)(
+        train, names, settings=QUICK, grid={"numTrees": (8,), "maxDepth": (9,), "minSamplesSplit": (20,)})
+    stage = trained.model.stages[-1]
+    assert (stage.getNumTrees, stage.getMaxDepth()) == (8, 9)
+    scored = trained.model.transform(trained._tested.select("machineID").join(train, "machineID"))
+    other = trained.predictions.select("machineID", F.col("prediction").alias("told"))
+    assert scored.join(other, "machineID").where(F.abs(F.col("prediction") - F.col("told")) > 1e-9).count() == 0
+    weights = dict(zip(names, stage.featureImportances.toArray()))
+    assert {r.feature: r.importance for r in trained.importance.collect()} == pytest.approx(weights)
+    assert forest.node_table(spark, stage).where("left >= 0 AND n < 20").count() == 0
+
+
+@pytest.mark.parametrize("name", ["classifier"])
+def test_searches_fit_no_forest_through_the_driver(fleet, monkeypatch, name):
+    """A forest of Spark takes jobs per level, whose nodes and bins pass through the driver: grids took longer than their limits."""
+    def broken(*_, **__):
+        raise AssertionError("fitted level by level")
+
+    monkeypatch.setattr(ml, f"RandomForest{name.title()}", broken)
+    grid = {"numTrees": (3, 6), "maxDepth": (2, 30), "minSamplesSplit": (2, 9)}
+    trained = getattr(ml, f"train_{name}")(fleet, settings=QUICK, grid=grid)
+    told = [(r.metric, r.value) for r in trained.metrics.collect()]
+    assert sum(m == "cv_score" for m, _ in told) == 8 and dict(told)["n_estimators"] in (3, 6)
+
+
 def test_grid_search(spark, fleet):
     """Scores equal those of the folds' forests by a loop; the best combination is fitted."""
     grid = {"numTrees": (3, 6), "maxDepth": (2, 5), "minInstancesPerNode": (1, 4), "minSamplesSplit": (2, 30)}
