@@ -248,7 +248,7 @@ def test_grown_forests_as_tables_and_models(spark, fleet, monkeypatch, target, c
     assert forest.node_table(spark, stage).where("left >= 0 AND n < 20").count() == 0
 
 
-@pytest.mark.parametrize("name", ["classifier"])
+@pytest.mark.parametrize("name", ["classifier", "regressor"])
 def test_searches_fit_no_forest_through_the_driver(fleet, monkeypatch, name):
     """A forest of Spark takes jobs per level, whose nodes and bins pass through the driver: grids took longer than their limits."""
     def broken(*_, **__):
