@@ -261,6 +261,21 @@ def test_searches_fit_no_forest_through_the_driver(fleet, monkeypatch, name):
     assert sum(m == "cv_score" for m, _ in told) == 8 and dict(told)["n_estimators"] in (3, 6)
 
 
+def test_grid_certificate_fits_no_forest_through_the_driver(spark, fleet, monkeypatch):
+    """Both grids are scored and compared with the chosen combinations, without a model of Spark."""
+    def broken(*_, **__):
+        raise AssertionError("fitted level by level")
+
+    for name in ("RandomForestClassifier", "RandomForestRegressor"):
+        monkeypatch.setattr(ml, name, broken)
+    small = {"numTrees": (2, 4), "maxDepth": (2, 30), "minSamplesSplit": (2, 9)}
+    monkeypatch.setattr(ml, "CLASSIFIER_GRID", {**small, "minInstancesPerNode": (1, 3)})
+    monkeypatch.setattr(ml, "REGRESSOR_GRID", small)
+    monkeypatch.setattr(catalogue, "_stored_health", lambda *_: fleet)
+    rows = {tuple(r) for r in catalogue.QUERIES["grid_certificate"](spark, "").collect()}
+    assert rows == {("classifier", 16, 0), ("regressor", 8, 0)}
+
+
 def test_grid_search(spark, fleet):
     """Scores equal those of the folds' forests by a loop; the best combination is fitted."""
     grid = {"numTrees": (3, 6), "maxDepth": (2, 5), "minInstancesPerNode": (1, 4), "minSamplesSplit": (2, 30)}
