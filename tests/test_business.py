@@ -43,6 +43,21 @@ def test_fleet_risk_counts_levels_told_from_all_readings(spark, rows, health, mo
     assert got == count(F.col("risk_level")) != count(risk.risk_from_health(F.col("global_health_score")))
 
 
+def test_fleet_risk_counts_the_levels_of_dossiers_too(spark, rows, monkeypatch):
+    """Every machine counts at the level of its readings and at that of its dossier, machines with equal or no ids too."""
+    more = [(7, "model1", 5, 9.0, 1, 170.0, 450.0, 100.0, 46.0, 0, 3), (None, "model1", 5, 9.0, 0, None, None, None, None, None, None)]
+    known = rows.unionByName(spark.createDataFrame([*more, *more], FLEET))
+    monkeypatch.setattr(catalogue, "_fleet", lambda *_: known)
+    got = {r.risk_level: r for r in catalogue.QUERIES["fleet_risk_distribution"](spark, "").collect()}
+    told = {r[0]: r[1] for r in features.health_features(known).groupBy("risk_level").count().collect()}
+    assert {k: r.machines for k, r in got.items()} == told and sum(told.values()) == 10
+    health = features.raw_health_features(known).select(risk.risk_from_health(F.col("global_health_score")).alias("level"))
+    analysed = {r[0]: r[1] for r in health.groupBy("level").count().collect()}
+    levels = {name: sum(r[f"dossiers_{short}"] for r in got.values()) for short, name in fleet.LEVELS.items()}
+    assert {k: v for k, v in levels.items() if v} == analysed != told
+    assert all(r.machines == sum(r[f"dossiers_{short}"] for short in fleet.LEVELS) for r in got.values())
+
+
 def test_economics_settings(spark):
     df = spark.createDataFrame([("a",), ("b",)], "model string")
     cheap = Economics(hourly_downtime_cost=100, emergency_repair_cost=0, downtime_hours={"a": 1.0}, default_downtime_hours=15)
