@@ -267,7 +267,7 @@ def edges_of(rows: DataFrame, features: Sequence[str]) -> list[np.ndarray]:
     ends = F.floor(F.col("upto") * BINS / F.col("n")) > F.floor((F.col("upto") - F.col("c")) * BINS / F.col("n"))
     found: list[list[float]] = [[] for _ in features]
     for r in told.where(F.col("next").isNotNull() & (ends | (F.col("values") <= BINS))).select("feature", "x", "next").collect():
-        found[r.feature].append(r.x + (r.next - r.x) / 2)
+        found[r.feature].append(r.x / 2 + r.next / 2)
     return [np.array(sorted(v)) for v in found]
 
 

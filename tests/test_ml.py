@@ -193,6 +193,8 @@ def test_grown_nodes_hold_the_best_splits(spark, fleet):
     told = rows.withColumn("key", F.xxhash64("machineID")).collect()
     edges = forest.edges_of(rows, names)
     assert len(edges[0]) == 31 and edges[1].tolist() == [v + 0.5 for v in range(19)]
+    odd = spark.createDataFrame([(float("-inf"),), (float("nan"),), (None,), (4.0,)], "vibration double")
+    assert forest.edges_of(odd, ["vibration"])[0].tolist() == [float("-inf"), 2.0]
     x = np.array([[float(r[c]) for c in names] for r in told])
     w = forest._drawn(np.array([r.key for r in told], np.int64).view(np.uint64), forest._root(5, 0))
     assert 0.5 < np.mean(w > 0) < 0.75 and 0.8 < w.mean() < 1.2
